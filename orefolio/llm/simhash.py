@@ -8,7 +8,7 @@ are numpy). All linking is DataFrame work on distinct fingerprints:
   under its 2 x 32 variants, and equal variants meet.
 * A variant shared by two or three fingerprints gives its pairs, which are verified on all 64 bits.
 * A variant shared by more is dense: its pairs would grow with the square of the group. Its fingerprints are indexed a
-  second time by all values at most one bit away from them. Two fingerprints differ in at most two bits exactly if they
+  second time, by all values at most one bit away from them. Two fingerprints differ in at most two bits exactly if they
   share such a value, at most 65 fingerprints can share one, and all that do are linked to each other, so links from the
   smallest of them to the rest say the same as all pairs.
 
@@ -83,7 +83,14 @@ def links(prints: DataFrame) -> DataFrame:
            .select(F.explode(F.when(F.col("n") == 2, F.array(pair(first, last)))
                              .otherwise(F.array(pair(first, middle), pair(middle, last), pair(first, last)))).alias("p"))
            .select("p.a", "p.b"))
-    dense = (index.join(shared.where("n > 3").select("key"), "key", "left_semi").select("fp").distinct())
+    # A dense variant names two values of a segment; fingerprints are found by their two segments, not by 64 variants.
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("key", SEGMENT).bitwiseAND(F.lit(SEGMENT - 1)).cast("int"))
+    masked = F.col("key").bitwiseAND(F.lit((1 << SEGMENT) - 1))
+    values = (shared.where("n > 3").select(F.shiftright("key", SEGMENT + 5).alias("seg"), F.explode(F.array(masked, masked.bitwiseOR(bit))).alias("part"))
+              .distinct())
+    halves = F.array(F.struct(F.lit(0).cast("long").alias("seg"), low.alias("part")), F.struct(F.lit(1).cast("long").alias("seg"), high.alias("part")))
+    dense = (prints.select("fp", F.explode(halves).alias("half")).select("fp", "half.seg", "half.part")
+             .join(values, ["seg", "part"], "left_semi").select("fp").distinct())
     around = F.transform(F.sequence(F.lit(0), F.lit(63)),
                          lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     many = (dense.select("fp", F.explode(F.concat(F.array("fp"), around)).alias("key"))
