@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -34,7 +34,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bounds of what is sent to every task: words, and bytes of each.
 HOT_WORDS, HOT_BYTES = 1 << 19, 48
 LONG_WORD = 400
-BUCKETS = 1 << 13
+BUCKETS, SPREAD = 1 << 15, 31
 NO_RANK = (1 << 31) - 1
 OPEN = b"\xff\xff\xff\xff"
 #: Entries of a worker's memory of white-space separated chunks.
@@ -51,13 +51,30 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a literal: an array of small maps, by a checksum of the piece; pieces as Latin-1 strings."""
-    parts: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        text = piece.decode("latin-1")
-        parts[zlib.crc32(text.encode()) % BUCKETS][text] = rank
-    return F.from_json(F.lit(json.dumps(parts)), "array<map<string,int>>")
+class Ranks:
+    """The ranks as literals of the plan: ids of single bytes by value, and ids of merged pairs in buckets, keys and ids
+    side by side. A piece is known by its id, which is its rank; a pair's key is first id x 2^20 + second id."""
+
+    def __init__(self, table: dict[bytes, int]):
+        keys: list[list[int]] = [[] for _ in range(BUCKETS)]
+        ids: list[list[int]] = [[] for _ in range(BUCKETS)]
+        for piece, rank in table.items():
+            for cut in range(1, len(piece)):
+                first, second = table.get(piece[:cut]), table.get(piece[cut:])
+                if first is not None and second is not None:
+                    at = (first * SPREAD + second) % BUCKETS
+                    keys[at].append((first << 20) + second)
+                    ids[at].append(rank)
+        single = [table[bytes([k])] for k in range(256)]
+        self.literal = F.from_json(F.lit(json.dumps({"single": single, "keys": keys, "ids": ids})),
+                                   "single array<int>, keys array<array<bigint>>, ids array<array<int>>")
+
+
+def pair_rank(ranks: Column, first: Column, second: Column) -> Column:
+    """The rank of a pair of ids, NO_RANK for none."""
+    at = ((first * SPREAD + second) % BUCKETS).cast("int")
+    place = F.array_position(F.get(ranks["keys"], at), first.cast("bigint") * (1 << 20) + second).cast("int") - 1
+    return F.coalesce(F.get(F.get(ranks["ids"], at), place), F.lit(NO_RANK))
 
 
 def _bind(value: Column, body) -> Column:
@@ -65,34 +82,38 @@ def _bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def fold_merges(word: Column, ranks: Column) -> Column:
-    """ids of a word given as a Latin-1 string of its bytes: always merge the leftmost pair of lowest rank."""
-    rank = lambda piece: F.coalesce(
-        F.try_element_at(F.get(ranks, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece), F.lit(NO_RANK))
+def fold_merges(word: Column, ranks: Ranks) -> Column:
+    """ids of a word given as a Latin-1 string of its bytes; the literal stands in the plan once."""
+    return _bind(ranks.literal, lambda literal: _fold(word, literal))
+
+
+def _fold(word: Column, ranks: Column) -> Column:
+    """Always merge the leftmost pair of lowest rank.
+
+    The fold carries p, the ids so far, and r, the rank of every pair of neighbours. A merge at k puts the pair's rank in
+    place of both ids and looks up the two pairs that are new.
+    """
     none = F.array().cast("array<int>")
 
-    def start(pieces: Column) -> Column:
-        pairs = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
-                            lambda x, i: rank(F.concat(x, F.get(pieces, i + 1))))
-        return F.struct(pieces.alias("p"), pairs.alias("r"))
+    def start(ids: Column) -> Column:
+        pairs = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda x, i: pair_rank(ranks, x, F.get(ids, i + 1)))
+        return F.struct(ids.alias("p"), pairs.alias("r"), F.array_min(pairs).alias("low"))
 
     def merge(acc: Column, k: Column) -> Column:
-        p, r = acc["p"], acc["r"]
-        return _bind(F.concat(F.get(p, k - 1), F.get(p, k)), lambda piece: F.struct(
-            F.concat(F.slice(p, 1, k - 1), F.array(piece), F.slice(p, k + 2, F.size(p))).alias("p"),
-            F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))),
-                     F.when(k > 1, F.array(rank(F.concat(F.get(p, k - 2), piece)))).otherwise(none),
-                     F.when(k + 1 < F.size(p), F.array(rank(F.concat(piece, F.get(p, k + 1))))).otherwise(none),
-                     F.slice(r, k + 2, F.size(p))).alias("r")))
+        p, r, new = acc["p"], acc["r"], acc["low"]
+        pairs = F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))),
+                         F.when(k > 1, F.array(pair_rank(ranks, F.get(p, k - 2), new))).otherwise(none),
+                         F.when(k + 1 < F.size(p), F.array(pair_rank(ranks, new, F.get(p, k + 1)))).otherwise(none),
+                         F.slice(r, k + 2, F.size(p)))
+        return _bind(pairs, lambda r: F.struct(F.concat(F.slice(p, 1, k - 1), F.array(new), F.slice(p, k + 2, F.size(p))).alias("p"),
+                                               r.alias("r"), F.array_min(r).alias("low")))
 
     def step(acc: Column, _: Column) -> Column:
-        return _bind(F.array_min(acc["r"]), lambda low: F.when(
-            F.coalesce(low, F.lit(NO_RANK)) == NO_RANK, acc).otherwise(
-            _bind(F.array_position(acc["r"], low).cast("int"), lambda k: merge(acc, k))))
+        return F.when(F.coalesce(acc["low"], F.lit(NO_RANK)) == NO_RANK, acc).otherwise(
+            _bind(F.array_position(acc["r"], acc["low"]).cast("int"), lambda k: merge(acc, k)))
 
-    return _bind(F.split(word, ""), lambda pieces: F.aggregate(
-        F.sequence(F.lit(1), F.size(pieces)), start(pieces), step,
-        lambda acc: F.transform(acc["p"], rank)))
+    ids = F.transform(F.split(word, ""), lambda c: F.get(ranks["single"], F.ascii(c)))
+    return _bind(ids, lambda ids: F.aggregate(F.sequence(F.lit(1), F.size(ids)), start(ids), step, lambda acc: acc["p"]))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -127,34 +148,37 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def chunks(text: str) -> list[str] | None:
-    """text cut before its single spaces, where no match of the pattern can cross; None if there are other cases."""
-    parts = text.split(" ")
-    for x in parts:
-        if not x or x[0] in EDGE or x[-1] in EDGE:
-            return None
-    return [parts[0], *[" " + x for x in parts[1:]]]
+ODD = re.compile("[" + "".join(sorted(EDGE - {" ", "\n"})) + "]|  | \n|\n |^[ \n]|[ \n]$")
+
+
+def chunks(text: str) -> list[str]:
+    """text cut at its single spaces, where no match of the pattern can cross: chunk k > 0 stands for a space and its
+    text. A text with white space beside a space, at its ends or of other kinds stays one chunk."""
+    return [text] if ODD.search(text) else text.split(" ")
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """w, n: every distinct word of column text with its count over all rows."""
 
-    def flush(seen: Counter):
+    def flush(seen: tuple[Counter, Counter]):
         words: Counter = Counter()
-        for chunk, n in seen.items():
-            for w in SPLIT.findall(chunk):
-                words[w] += n
-        seen.clear()
+        for part, before in zip(seen, ("", " ")):
+            for chunk, n in part.items():
+                for w in SPLIT.findall(before + chunk):
+                    words[w] += n
+            part.clear()
         return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["w", "n"])
 
     def run(batches):
-        seen: Counter = Counter()
+        seen = first, rest = Counter(), Counter()
         for batch in batches:
-            for value in batch.column(0):
-                text = value.as_py()
+            for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(chunks(text) or [text])
-                    if len(seen) > MEMO:
+                    parts = chunks(text)
+                    first[parts[0]] += 1
+                    del parts[0]
+                    rest.update(parts)
+                    if len(first) + len(rest) > MEMO:
                         yield flush(seen)
         yield flush(seen)
 
@@ -165,7 +189,7 @@ def latin(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
-def hot_words(texts: DataFrame, ranks: Column, most: int = HOT_WORDS) -> dict[str, bytes]:
+def hot_words(texts: DataFrame, ranks: Ranks, most: int = HOT_WORDS) -> dict[str, bytes]:
     """The ids of the most frequent words, `most` at most: all words from a count on, ties in or out together."""
     counts = staged(count_words(texts), "words").where(F.octet_length("w") <= HOT_BYTES)
     down = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -192,7 +216,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     """
     spark = docs.sparkSession
     table = read_ranks(ranks_path)
-    ranks = rank_literal(table)
+    ranks = Ranks(table)
     rows = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
     hot = spark.sparkContext.broadcast((hot_words(rows.select("text"), ranks, most), table))
 
@@ -200,9 +224,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         known, table = hot.value
         memo: dict[str, object] = {}
 
-        def look(chunk: str):
+        def look(chunk: str, before: str = " "):
             ids, open_words = [], []
-            for w in SPLIT.findall(chunk):
+            for w in SPLIT.findall(before + chunk):
                 if (found := known.get(w)) is None:
                     raw = w.encode()
                     if len(raw) > LONG_WORD:
@@ -211,18 +235,21 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                         found = OPEN
                         open_words.append(raw.decode("latin-1"))
                 ids.append(found)
-            if len(memo) >= MEMO:
-                memo.clear()
-            memo[chunk] = found = (b"".join(ids), open_words) if open_words else b"".join(ids)
+            found = (b"".join(ids), open_words) if open_words else b"".join(ids)
+            if before:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                memo[chunk] = found
             return found
 
         for batch in batches:
             ids, opened = [], []
-            for value in batch.column(1):
-                text = value.as_py()
+            for text in batch.column(1).to_pylist():
                 out, left = [], []
-                for chunk in (chunks(text) or [text]) if text else ():
-                    if (found := memo.get(chunk)) is None:
+                for k, chunk in enumerate(chunks(text)):
+                    if not k:
+                        found = look(chunk, "")
+                    elif (found := memo.get(chunk)) is None:
                         found = look(chunk)
                     if type(found) is tuple:
                         left += found[1]
