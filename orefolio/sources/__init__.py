@@ -1 +1 @@
-
+"""Sources, sinks and table maintenance."""
