@@ -75,11 +75,22 @@ class Encoder:
                 for text, words in zip(texts, split)]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process: its memory outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def train_dictionary(rows: DataFrame, path: str) -> bytes:
     """rows: doc_id, text. A small or empty sample gives a dictionary of its raw bytes, or none."""
-    sample = (rows.where(F.octet_length("text") <= SAMPLE_BYTES)
-              .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).select("text"))
-    arrays = Encoder(path).encode([r["text"] for r in sample.toLocalIterator()])
+    h = F.xxhash64("doc_id")
+    cut = rows.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    sample = rows.where((h <= cut) & (F.octet_length("text") <= SAMPLE_BYTES)).limit(SAMPLE_DOCS).select("text")
+    arrays = encoder_of(path).encode(sorted(r["text"] for r in sample.toLocalIterator())) if cut is not None else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
     except zstandard.ZstdError:
@@ -104,8 +115,11 @@ def write_packs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         shard = TaskContext.get().partitionId()
-        encoder = Encoder(vocabulary)
-        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw))
+        encoder = encoder_of(vocabulary)
+        dictionary = _dictionary(raw)
+        if dictionary:
+            dictionary.precompute_compress(level=LEVEL)
+        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary)
         index, frames, size, number = [], [], 0, 0
 
         def pack():
