@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import compare, periods, text
 from ..schemas import COMPARABLE, EXTRACTED_ONLY, REQUIRED
+from ..sources.staging import staged
 
 STATUSES = ["pending", "approved", "flagged", "dismissed"]
 FINDING = ["id", "type", "severity", "title", "field_name", "mine_name", "organisation", "source_a", "source_b", "detail"]
@@ -58,19 +59,21 @@ def conflicts(reports: DataFrame) -> DataFrame:
     by_period = (stated.groupBy("mine_key", "field", "value_key", "year", "quarter")
                  .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("documents"),
                       F.min_by(F.struct("value", "filename", "mine_name", "organisation"), "id").alias("s"))
-                 .withColumn("p", compare.parsed(F.col("s.value"))))  # parsed here once; the window's exchange keeps it so
+                 .withColumn("p", compare.parsed(F.col("s.value"))))
     w = Window.partitionBy("mine_key", "field", "value_key")
     sensitive = F.col("field").isin([f for f, _, _, p in COMPARABLE if p])
-    ranked = (by_period.withColumn("first_id", F.min("id").over(w)).withColumn("total", F.sum("documents").over(w))
-              .where(sensitive | (F.col("id") == F.col("first_id"))))
+    ranked = staged(by_period.withColumn("first_id", F.min("id").over(w)).withColumn("total", F.sum("documents").over(w))
+                    .where(sensitive | (F.col("id") == F.col("first_id"))), "positions")  # four sides read it
     side = lambda x: ranked.select("mine_key", "field", *[F.col(c).alias(f"{c}_{x}") for c in
-                                                           ("value_key", "year", "quarter", "id", "first_id", "total", "s", "p")])
+                                                           ("value_key", "year", "quarter", "id", "first_id")])
     differ = periods.periods_differ(*[F.col(c) for c in ("year_a", "quarter_a", "year_b", "quarter_b")])
     pairs = (side("a").join(side("b"), ["mine_key", "field"])
              .where((F.col("first_id_a") < F.col("first_id_b")) & (~sensitive | ~differ)))
-    best = pairs.groupBy("mine_key", "field", "value_key_a", "value_key_b").agg(
-        F.min(F.struct("id_a", "id_b", "s_a", "s_b", "total_a", "total_b", "p_a", "p_b")).alias("p")).select("field", "p.*")
-    judged = best.where(compare.values_conflict(F.col("p_a"), F.col("p_b")))
+    best = pairs.groupBy("mine_key", "field", "value_key_a", "value_key_b").agg(F.min(F.struct("id_a", "id_b")).alias("p")).select("mine_key", "field", "p.*")
+    # Pairs are narrow; what is shown and judged of a side is fetched for the chosen pairs only.
+    about = lambda x: ranked.select("mine_key", "field", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "total", "s", "p")])
+    judged = (best.join(about("a"), ["mine_key", "field", "id_a"]).join(about("b"), ["mine_key", "field", "id_b"])
+              .where(compare.values_conflict(F.col("p_a"), F.col("p_b"))))
     label = _of(F.col("field"), {f: x for f, x, *_ in COMPARABLE})
     many = F.when((F.col("total_a") > 1) | (F.col("total_b") > 1),
                   F.concat(F.lit(" The first value appears in "), F.col("total_a").cast("string"), F.lit(" document(s), the second in "),

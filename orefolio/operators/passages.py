@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import text
 
@@ -125,9 +126,7 @@ def embed(passages: DataFrame, fn: Callable[[list[str]], list[list[float]]] | No
                 vectors += [[float(x) for x in v] for v in found]
             yield frame.assign(embedding=vectors)
 
-    from pyspark.sql.types import StructType
-
-    schema = StructType(passages.schema.fields[:]).add("embedding", "array<double>")
+    schema = StructType([*passages.schema.fields, StructField("embedding", ArrayType(DoubleType()))])
     return passages.mapInPandas(run, schema)
 
 

@@ -41,7 +41,7 @@ def parse_replies(rows: DataFrame, column: str = "reply") -> DataFrame:
     """Rows with `object`, the JSON object that a reply states, or null. Replies that are an object as a whole stay in
     the JVM; only the others are scanned."""
     plain = rows.withColumn("__text", unwrapped(F.col(column)))
-    whole = F.col("__text").startswith("{") & F.try_parse_json("__text").isNotNull()
+    whole = F.col("__text").rlike(r"(?s)^\{.*\}$") & (F.json_object_keys("__text").isNotNull()) & ~F.col("__text").rlike(r"\}[^\"]*\{")
     marked = plain.withColumn("__whole", F.coalesce(whole, F.lit(False)))
     easy = marked.where("__whole").withColumn("object", F.col("__text"))
     hard = marked.where("NOT __whole").withColumn("object", _largest_object("__text"))

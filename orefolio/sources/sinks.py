@@ -18,9 +18,12 @@ def csv_lines(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """The header with a byte order mark, then the lines, CRLF between them. Files of one partition keep row order."""
-    head = rows.sparkSession.range(1).select(F.lit(BOM + ",".join(rows.columns)).alias("value"))
-    head.unionByName(csv_lines(rows)).coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    """One file for a spreadsheet: the header with a byte order mark, then the lines in the table's order, CRLF
+    between them."""
+    lines = csv_lines(rows).withColumn("__n", F.monotonically_increasing_id())
+    head = rows.sparkSession.range(1).select(F.lit(BOM + ",".join(rows.columns)).alias("value"), F.lit(-1).cast("long").alias("__n"))
+    (head.unionByName(lines).coalesce(1).sortWithinPartitions("__n").select("value")
+     .write.mode("overwrite").option("lineSep", "\r\n").text(path))
 
 
 def write_csv_parts(rows: DataFrame, path: str) -> None:
