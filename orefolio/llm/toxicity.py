@@ -4,8 +4,10 @@ Many voters look at the words of a whole text: a word of a public insult list, o
 labels in the training rows. A generative label model (one hidden class, voters that fire or abstain) estimates by
 expectation-maximisation how often each voter fires in either class, and from what the classes leave unexplained how
 strongly voters are correlated; correlated voters share their weight. Known labels of training rows are one more voter.
-A linear classifier on the voters' counts is trained on the posterior labels. Everything is fitted on a bounded sample of
-labelled rows (`MAX_ROWS`).
+A linear classifier is trained on the posterior labels. Its features are which voters fire and how many distinct words fire
+a voter of at least each level of estimated accuracy; these totals hardly pay for their size, single voters do, so that a
+text with one sure word is judged by the word's level and not by how often that word was seen. Everything is fitted on a
+bounded sample of labelled rows (`MAX_ROWS`).
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ MAX_ROWS = 20_000
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 #: Learned voters at most, and rows that one must have fired on.
-PATTERNS, SUPPORT = 256, 8
+PATTERNS, SUPPORT = 512, 4
+#: Levels of estimated accuracy.
+LEVELS = (0.8, 0.9, 0.97)
 MEMO = 500_000
 
 # Words of the insult voters.
@@ -46,60 +50,74 @@ def keys_of(word: str) -> list[str]:
 
 @dataclass
 class Voters:
-    """Voters by what they look for, and the linear classifier on the logarithm of their counts."""
+    """Voters by what they look for, their levels, and the linear classifier."""
 
     place: dict[str, int]
+    level: np.ndarray
     weights: np.ndarray
-    bias: float
-
-    def counts(self, text: str, memo: dict[str, tuple[int, ...]]) -> np.ndarray:
-        out = np.zeros(len(self.place))
-        for chunk, n in Counter(text.lower().split()).items():
-            fired = memo.get(chunk)
-            if fired is None:
+    bias: float = 0.0
+
+    def fired(self, text: str, memo: dict[str, tuple[int, ...]]) -> np.ndarray:
+        """Which voters fire (0 or 1), then the number of distinct chunks that fire one of at least each level."""
+        n = len(self.place)
+        out = np.zeros(n + len(LEVELS) + 1, np.uint16)
+        for chunk in set(text.lower().split()):
+            found = memo.get(chunk)
+            if found is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                memo[chunk] = fired = tuple(self.place[k] for w in LETTERS.findall(chunk) for k in keys_of(w) if k in self.place)
-            for v in fired:
-                out[v] += n
+                memo[chunk] = found = tuple(self.place[k] for w in LETTERS.findall(chunk) for k in keys_of(w) if k in self.place)
+            if found:
+                out[list(found)] = 1
+                out[n:n + 1 + max(self.level[v] for v in found)] += 1
         return out
 
-    def score(self, counts: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(np.log1p(counts) @ self.weights + self.bias)))
+    def features(self, fired: np.ndarray) -> np.ndarray:
+        words = fired[:, len(self.place):].astype(np.float32)
+        return np.hstack([fired[:, :len(self.place)].astype(np.float32), np.log1p(words), words > 0, words > 1])
+
+    def score(self, fired: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.features(fired) @ self.weights + self.bias)))
 
 
-def label_model(fired: np.ndarray, y: np.ndarray, trust: float = 0.98, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of the toxic class per row, and the weight of each voter (1: independent of all others)."""
+def label_model(fired: np.ndarray, y: np.ndarray, known_good: int = 0, trust: float = 0.98, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the toxic class per row, the accuracy of each voter when it fires, and its weight (1: independent of
+    all others). The first known_good voters start from an assumed accuracy of 0.9, worth two votes. fired holds 0 and 1;
+    all that is made of its size are two products."""
     n, m = fired.shape
     known = np.log(trust / (1 - trust)) * (2 * y - 1)
     posterior = 1 / (1 + np.exp(-known))
     weight = np.ones(m)
+    together = (fired.T @ fired).astype(float)
     for turn in range(rounds):
         total = posterior.sum()
         prior = (total + 1) / (n + 2)
-        in_toxic = (posterior @ fired + 0.5) / (total + 1)
-        in_clean = ((1 - posterior) @ fired + 0.5) / (n - total + 1)
-        if turn % 10 == 5:
-            rest = fired - np.outer(posterior, in_toxic) - np.outer(1 - posterior, in_clean)
-            scale = np.sqrt((rest**2).mean(0)) + 1e-6
-            linked = np.abs(rest.T @ rest / n / np.outer(scale, scale))
+        in_toxic = (posterior.astype(np.float32) @ fired + 0.5) / (total + 1)
+        in_clean = ((1 - posterior).astype(np.float32) @ fired + 0.5) / (n - total + 1)
+        if turn % 10 == 5:  # covariance that the classes leave unexplained
+            rest = together / n - total / n * np.outer(in_toxic, in_toxic) - (1 - total / n) * np.outer(in_clean, in_clean)
+            scale = np.sqrt(np.maximum(np.diag(rest), 1e-9))
+            linked = np.abs(rest / np.outer(scale, scale))
             np.fill_diagonal(linked, 0)
-            weight = 1 / (1 + np.where(linked > 0.2, linked, 0).sum(0))
-        odds = (fired * (weight * np.log(in_toxic / in_clean))).sum(1) + ((1 - fired) * (weight * np.log((1 - in_toxic) / (1 - in_clean)))).sum(1)
+            weight = 1 / (1 + np.where(linked > 0.2, np.minimum(linked, 1), 0).sum(0))
+        fires, abstains = weight * np.log(in_toxic / in_clean), weight * np.log((1 - in_toxic) / (1 - in_clean))
+        odds = fired @ (fires - abstains).astype(np.float32) + abstains.sum()
         posterior = 1 / (1 + np.exp(-np.clip(odds + np.log(prior / (1 - prior)) + known, -30, 30)))
-    return posterior, weight
+    votes = np.where(np.arange(m) < known_good, 2.0, 1.0)
+    accuracy = (posterior.astype(np.float32) @ fired + np.where(votes > 1, 1.8, 0.5)) / (fired.sum(0) + votes)
+    return posterior, accuracy, weight
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on soft targets by Newton steps."""
-    design = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.full(design.shape[1], ridge)
-    penalty[-1] = 1e-3
+def fit_linear(x: np.ndarray, target: np.ndarray, ridge: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets by Newton steps, with a penalty for each feature."""
+    design = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    penalty = np.append(ridge, 1e-3)
     w = np.zeros(design.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         grad = design.T @ (p - target) + penalty * w
-        curve = (design * (p * (1 - p) + 1e-4)[:, None]).T @ design + np.diag(penalty)
+        curve = sum((part * (q * (1 - q) + 1e-4)[:, None].astype(x.dtype)).T @ part for part, q in  # in blocks of rows
+                    ((design[k:k + 4096], p[k:k + 4096]) for k in range(0, len(x), 4096))) + np.diag(penalty)
         step = np.linalg.solve(curve, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -126,22 +144,28 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Voters:
                .where((F.col("n") >= SUPPORT) & (F.col("t") >= F.col("n") * max(0.5, 3 * share)))
                .orderBy(F.desc(z), "key").limit(PATTERNS))
     place = {key: k for k, key in enumerate(dict.fromkeys(["=" + w for w in INSULTS] + [r["key"] for r in learned.collect()]))}
-    blank = Voters(place, np.zeros(len(place)), 0.0)
+    voters = Voters(place, np.zeros(len(place), int), np.zeros(len(place) + 3 * (len(LEVELS) + 1)))
 
-    def count(batches):
-        memo: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            x = [blank.counts(t.as_py().decode(), memo) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))],
-                                             names=["doc_id", "y", "x"])
+    def fired(voters: Voters) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches):
+            memo: dict[str, tuple[int, ...]] = {}
+            for batch in batches:
+                x = [voters.fired(t.as_py().decode(), memo).tobytes() for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
+
+        found = sample.mapInArrow(run, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "y"], kind="stable")
+        return np.frombuffer(b"".join(map(bytes, found["x"])), np.uint16).reshape(len(found), len(place) + len(LEVELS) + 1), found["y"].to_numpy(float)
 
-    found = sample.mapInArrow(count, "doc_id long, y int, x array<double>").toPandas().sort_values(["doc_id", "y"], kind="stable")
-    x = np.array(found["x"].tolist(), float).reshape(-1, len(place))
+    x, y = fired(voters)
     if not len(x):
-        return blank
-    posterior, weight = label_model((x > 0).astype(float), found["y"].to_numpy(float))
-    w, bias = fit_linear(np.log1p(x), posterior)
-    return Voters(place, w, bias)
+        return voters
+    posterior, accuracy, _ = label_model(x[:, :len(place)].astype(np.float32), y, len(INSULTS))
+    voters.level = np.searchsorted(LEVELS, accuracy, side="right")
+    x, _ = fired(voters)
+    ridge = np.full(len(voters.weights), 0.01)
+    ridge[:len(place)] = 20.0
+    voters.weights, voters.bias = fit_linear(voters.features(x), posterior, ridge)
+    return voters
 
 
 def scorer(model: Voters):
@@ -150,8 +174,8 @@ def scorer(model: Voters):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        x = [model.counts(t.as_py() or "", memo) for t in text]
-        return pa.array(model.score(np.array(x).reshape(-1, len(model.place))))
+        out = [model.score(model.fired(t.as_py() or "", memo)[None])[0] for t in text]
+        return pa.array(out, pa.float64())
 
     return score
 
