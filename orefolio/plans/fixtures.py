@@ -59,7 +59,7 @@ DECISIONS = """
 SELECT concat('missing:mineral_type:', cast(o_orderkey AS varchar(20))) AS finding_id,
   CASE o_orderkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'flagged' WHEN 2 THEN 'pending' ELSE 'dismissed' END AS status,
   concat('note ', cast(v AS varchar(2))) AS note, concat('auditor', cast((o_orderkey + v) % 5 AS varchar(2))) AS resolved_by, v AS step
-FROM {orders} CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 AS v) s WHERE o_orderkey % 3 < v
+FROM (SELECT o_orderkey, 1 AS v FROM {orders} UNION ALL SELECT o_orderkey, 2 AS v FROM {orders}) s WHERE o_orderkey % 3 < v
 """
 
 PAGES = """

@@ -5,6 +5,8 @@ Every query reads the given tables, or inputs that Spark derives from them (fixt
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from ..operators import selection as L
 from ..operators import views as V
 from ..sources import reports as S
 from ..sources import sinks as K
+from ..sources.staging import shared_dir
 from ..streaming import streams as T
 from . import fixtures as I
 
@@ -731,6 +734,13 @@ def a13(spark, d):
     return A.corpus_profile(I.pages(spark, d), _chunks(spark, d)).drop("notes")
 
 
+@query("a13_corpus_totals", f"""WITH {CHUNKS}, p AS (SELECT report_id, count(*) AS pages, sum(length(trim(text, chr(10) || chr(9) || ' '))) AS chars FROM raw_pages GROUP BY 1)
+  SELECT (SELECT count(*) FROM p) AS documents, (SELECT CAST(sum(pages) AS BIGINT) FROM p) AS pages, count(*) AS passages, (SELECT count(*) FROM p WHERE chars < pages * 120) AS without_layer,
+    CAST(ceil(CAST(count(*) AS DOUBLE) / 100) AS BIGINT) AS minutes FROM chunks""")
+def a13b(spark, d):
+    return A.corpus_totals(A.corpus_profile(I.pages(spark, d), _chunks(spark, d)))
+
+
 @query("a14_capacity", f"""WITH {CHUNKS}, p AS (SELECT count(*) AS pages, count(DISTINCT report_id) AS documents FROM raw_pages), c AS (SELECT count(*) AS passages, sum(length(content)) AS chars FROM chunks)
   SELECT pages, documents, passages, round(CAST(passages AS DOUBLE) / pages, 4) AS per_page, round(CAST(chars AS DOUBLE) / passages, 2) AS chars_per_passage, round(CAST(passages AS DOUBLE) / documents, 4) AS per_document FROM p, c""")
 def a14(spark, d):
@@ -793,6 +803,13 @@ def a8(spark, d):
     return row.select("corpus", F.round("accuracy", 6).alias("accuracy"), F.round("beside", 6).alias("beside"))
 
 
+@query("s8_measurement", WITH + f", {VERDICTS}, {BY_CORPUS} SELECT corpus, round(CAST(correct AS DOUBLE) / scored, 6) AS accuracy, true AS measured FROM s")
+def s8(spark, d):
+    path = f"{shared_dir(spark)}/measurement-{uuid.uuid4().hex}"
+    K.write_measurement(X.score_by_corpus(X.verdicts(_labels(spark, d), _extractions(spark, d))).select("corpus", "scored", "correct", "accuracy"), path)
+    return K.read_measurement(spark, path).select("corpus", F.round("accuracy", 6).alias("accuracy"), "measured")
+
+
 @query("a16_label_census", WITH + "SELECT CASE WHEN id % 3 = 0 THEN 'real' ELSE 'synthetic' END AS corpus, count(*) AS labels, count(*) FILTER (WHERE id % 4 = 0) AS drafts FROM reports WHERE status = 'completed' GROUP BY 1")
 def a16(spark, d):
     return A.label_census(_labels(spark, d))
@@ -846,6 +863,14 @@ def t1(spark, d):
     return T.rate_audit(_calls(spark, d), limit=2, window=86_400)
 
 
+@query("t1_rate_audit_stream")
+def t1b(spark, d):
+    table = spark.read.parquet(f"{d}/events.parquet")
+    calls = spark.readStream.schema(table.schema).parquet(f"{d}/events.parquet*").select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return T.run_to_table(T.rate_audit_stream(calls, limit=2, window=86_400), "rate-audit")
+
+
 @query("t2_ingest", f"""WITH {PAGES} SELECT report_id AS id, min(filename) AS filename, count(*) AS pages, CAST(least(sum(length(text)) + count(*) - 1, 50000) AS BIGINT) AS chars FROM pages_of GROUP BY 1""")
 def t2(spark, d):
     return T.ingest(I.pages(spark, d)).select("id", "filename", F.size("page_texts").cast("bigint").alias("pages"), F.length("raw_text").cast("bigint").alias("chars"))

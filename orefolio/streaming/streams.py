@@ -3,6 +3,7 @@ that is run again writes the same rows to the same place."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,7 @@ from ..operators import passages
 from ..operators.findings import latest_decisions
 from ..sources import reports as source
 from ..sources import sinks
+from ..sources.staging import shared_dir
 
 LIMIT, LIMIT_READONLY, WINDOW = 60, 15, 3600
 AUDIT = "key string, call_id long, at double, allowed boolean, remaining int, retry_after int"
@@ -88,6 +90,16 @@ def _start(rows: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], No
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def run_to_table(rows: DataFrame, name: str) -> DataFrame:
+    """Run an append stream over what is there now into Parquet in the shared folder and read it back."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    query = (rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-log")
+             .outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def ingest(pages: DataFrame) -> DataFrame:
     """What one batch of pages (report_id, filename, page, text) becomes: cleaned, read by the keyword rules, one row per
     report with fields and failure."""

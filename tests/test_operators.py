@@ -183,6 +183,18 @@ def test_rate_audit_stream_equals_batch(spark, tmp_path):
     assert pick(spark.table("audit")) == pick(streams.rate_audit(calls, 5, 60))
 
 
+def test_query_counts_stream_equals_batch(spark, tmp_path):
+    rows = [(f"a{k % 3}", k * 400) for k in range(60)]
+    history = spark.createDataFrame(rows, "account string, s long").select("account", F.timestamp_seconds(F.col("s") + 3600).alias("created_at"))
+    history.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(history.schema).parquet(str(tmp_path / "in"))
+    for batch, live in ((streams.query_counts(history), streams.query_counts(stream, lateness="10 minutes")),
+                        (streams.query_counts(history, "1 hour", "20 minutes"), streams.query_counts(stream, "1 hour", "20 minutes", "10 minutes"))):
+        closed = F.col("end") <= F.timestamp_seconds(F.lit(3600 + 59 * 400 - 600))
+        got = sorted(tuple(r) for r in streams.run_to_table(live, "counts").collect())
+        assert got == sorted(tuple(r) for r in batch.where(closed).collect()) and got
+
+
 def test_streams(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a.pdf", 1, "Underground coal"), (1, "a.pdf", 2, "Gujarat"), (2, "b.pdf", 1, "  ")], "report_id long, filename string, page int, text string")
     pages.write.parquet(str(tmp_path / "pages"))
