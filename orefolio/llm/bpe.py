@@ -3,8 +3,9 @@
 Merges are folded by Spark higher-order functions over the bytes of distinct words, by ranks that stand in the plan as a
 literal. Words are the matches of the split pattern.
 
-1. Count all words of all documents (per task first, then by a shuffle of distinct words).
-2. Fold the frequent words, `HOT_WORDS` at most, once each. Their number and length are bounded, so they go to every task.
+1. Count the words of `SAMPLE_DOCS` documents at most (those with the smallest hash of their id).
+2. Fold the most frequent of them, `HOT_WORDS` at most, once each. Their number and length are bounded, so they go to every
+   task. Which words these are decides only where a word is folded, not what it becomes.
 3. Walk the documents: frequent words are looked up, the others are left open in place and listed beside the row.
 4. Fold the listed words of a row with the same expression and put their ids where they were left open. Nothing is
    shuffled or regrouped: a row's open words stay with the row.
@@ -32,13 +33,17 @@ from .common import documents, staged, text_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bounds of what is sent to every task: words, and bytes of each.
-HOT_WORDS, HOT_BYTES = 1 << 19, 48
+HOT_WORDS, HOT_BYTES = 1 << 20, 32
+#: Bound of the documents that frequent words are chosen from.
+SAMPLE_DOCS = 50_000
 LONG_WORD = 400
 BUCKETS, SPREAD = 1 << 15, 31
 NO_RANK = (1 << 31) - 1
 OPEN = b"\xff\xff\xff\xff"
 #: Entries of a worker's memory of white-space separated chunks.
-MEMO = 300_000
+MEMO = 200_000
+#: Rows that Python holds at a time.
+ROWS = 500
 
 # Fixed value: the white space of the split pattern, spelled out, since libraries differ on U+001C to U+001F.
 EDGE = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -93,20 +98,16 @@ def _fold(word: Column, ranks: Column) -> Column:
     The fold carries p, the ids so far, and r, the rank of every pair of neighbours. A merge at k puts the pair's rank in
     place of both ids and looks up the two pairs that are new.
     """
-    none = F.array().cast("array<int>")
-
     def start(ids: Column) -> Column:
         pairs = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda x, i: pair_rank(ranks, x, F.get(ids, i + 1)))
         return F.struct(ids.alias("p"), pairs.alias("r"), F.array_min(pairs).alias("low"))
 
-    def merge(acc: Column, k: Column) -> Column:
+    def merge(acc: Column, k: Column) -> Column:  # k counts from 1; lambdas with an index are far cheaper than slices
         p, r, new = acc["p"], acc["r"], acc["low"]
-        pairs = F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))),
-                         F.when(k > 1, F.array(pair_rank(ranks, F.get(p, k - 2), new))).otherwise(none),
-                         F.when(k + 1 < F.size(p), F.array(pair_rank(ranks, new, F.get(p, k + 1)))).otherwise(none),
-                         F.slice(r, k + 2, F.size(p)))
-        return _bind(pairs, lambda r: F.struct(F.concat(F.slice(p, 1, k - 1), F.array(new), F.slice(p, k + 2, F.size(p))).alias("p"),
-                                               r.alias("r"), F.array_min(r).alias("low")))
+        pairs = F.transform(r, lambda x, i: F.when(i == k - 2, pair_rank(ranks, F.get(p, i), new))
+                            .when(i == k, pair_rank(ranks, new, F.get(p, i + 1))).otherwise(x))
+        ids = F.filter(F.transform(p, lambda x, i: F.when(i == k - 1, new).otherwise(x)), lambda x, i: i != k)
+        return _bind(F.filter(pairs, lambda x, i: i != k - 1), lambda r: F.struct(ids.alias("p"), r.alias("r"), F.array_min(r).alias("low")))
 
     def step(acc: Column, _: Column) -> Column:
         return F.when(F.coalesce(acc["low"], F.lit(NO_RANK)) == NO_RANK, acc).otherwise(
@@ -189,15 +190,23 @@ def latin(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
-def hot_words(texts: DataFrame, ranks: Ranks, most: int = HOT_WORDS) -> dict[str, bytes]:
-    """The ids of the most frequent words, `most` at most: all words from a count on, ties in or out together."""
+def hot_words(rows: DataFrame, ranks: Ranks, most: int = HOT_WORDS) -> dict[str, bytes]:
+    """The ids of the most frequent words of the sample, `most` at most: all words from a count on, ties in or out
+    together. rows: doc_id, text."""
+    h = F.xxhash64("doc_id")
+    cut = rows.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    if cut is None or not most:
+        return {}
+    texts = rows.where(h <= cut).select("text")  # ties of the last hash come along
     counts = staged(count_words(texts), "words").where(F.octet_length("w") <= HOT_BYTES)
     down = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     least = (counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("through", F.sum("words").over(down))
              .where(F.col("through") <= most).agg(F.min("n")).first()[0])
     if least is None:
         return {}
-    found = counts.where(F.col("n") >= least).select("w", fold_merges(latin(F.col("w")), ranks).alias("ids")).toArrow()
+    parts = 3 * rows.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: by cores, not by size
+    found = (counts.where(F.col("n") >= least).select("w").repartition(parts)
+             .select("w", fold_merges(latin(F.col("w")), ranks).alias("ids")).toArrow())
     values = np.asarray(found["ids"].combine_chunks().flatten(), "<u4")
     ends = np.cumsum(np.asarray(found["ids"].combine_chunks().value_lengths())).tolist()
     whole, at, out = values.tobytes(), 0, {}
@@ -218,16 +227,20 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     table = read_ranks(ranks_path)
     ranks = Ranks(table)
     rows = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
-    hot = spark.sparkContext.broadcast((hot_words(rows.select("text"), ranks, most), table))
+    known = hot_words(rows, ranks, most)
+    spaced = {w[1:]: ids for w, ids in known.items() if w[0] == " " and len(w) > 1}  # by what stands behind the space
+    bare = {w: ids for w, ids in known.items() if w[0] != " " or len(w) == 1}
+    hot = spark.sparkContext.broadcast((spaced, bare, table))
+    del known, spaced, bare
 
     def walk(batches):
-        known, table = hot.value
+        spaced, bare, table = hot.value
         memo: dict[str, object] = {}
 
         def look(chunk: str, before: str = " "):
             ids, open_words = [], []
             for w in SPLIT.findall(before + chunk):
-                if (found := known.get(w)) is None:
+                if (found := spaced.get(w[1:]) if w[0] == " " and len(w) > 1 else bare.get(w)) is None:
                     raw = w.encode()
                     if len(raw) > LONG_WORD:
                         found = np.array(merge_long(raw, table), "<u4").tobytes()
@@ -242,34 +255,37 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 memo[chunk] = found
             return found
 
-        for batch in batches:
-            ids, opened = [], []
-            for text in batch.column(1).to_pylist():
-                out, left = [], []
-                for k, chunk in enumerate(chunks(text)):
-                    if not k:
-                        found = look(chunk, "")
-                    elif (found := memo.get(chunk)) is None:
-                        found = look(chunk)
-                    if type(found) is tuple:
-                        left += found[1]
-                        found = found[0]
-                    out.append(found)
-                ids.append(b"".join(out))
-                opened.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(opened, pa.list_(pa.string()))],
-                                             names=["doc_id", "ids", "opened"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                ids, opened = [], []
+                for text in batch.column(1).to_pylist():
+                    first, *rest = chunks(text)
+                    out, left = [look(first, "")], []
+                    for chunk in rest:
+                        if (found := spaced.get(chunk)) is None and (found := memo.get(chunk)) is None:
+                            found = look(chunk)
+                        out.append(found)
+                    if tuple in map(type, out):
+                        left = [w for x in out if type(x) is tuple for w in x[1]]
+                        out = [x[0] if type(x) is tuple else x for x in out]
+                    ids.append(b"".join(out))
+                    opened.append(left)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(opened, pa.list_(pa.string()))],
+                                                 names=["doc_id", "ids", "opened"])
 
     def fill(batches):
-        for batch in batches:
-            out = []
-            for ids, folded in zip(batch.column(1), batch.column(2)):
-                ids, folded = ids.as_py(), folded.as_py()
-                if folded:
-                    parts = np.split(np.frombuffer(ids, "<u4"), np.flatnonzero(np.frombuffer(ids, "<u4") == 0xFFFFFFFF))
-                    ids = parts[0].tobytes() + b"".join(np.array(x, "<u4").tobytes() + y[1:].tobytes() for x, y in zip(folded, parts[1:]))
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch, out = whole.slice(at, ROWS), []
+                for ids, folded in zip(batch.column(1), batch.column(2)):
+                    ids, folded = ids.as_py(), folded.as_py()
+                    if folded:
+                        parts = np.frombuffer(ids, "<u4")
+                        parts = np.split(parts, np.flatnonzero(parts == 0xFFFFFFFF))
+                        ids = parts[0].tobytes() + b"".join(np.array(x, "<u4").tobytes() + y[1:].tobytes() for x, y in zip(folded, parts[1:]))
+                    out.append(ids)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     kind = dict(rows.dtypes)["doc_id"]
     opened = rows.mapInArrow(walk, f"doc_id {kind}, ids binary, opened array<string>")
