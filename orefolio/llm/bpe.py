@@ -33,7 +33,7 @@ from .common import documents, staged, text_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bounds of what is sent to every task: words, and bytes of each.
-HOT_WORDS, HOT_BYTES = 1 << 20, 32
+HOT_WORDS, HOT_BYTES = 1 << 19, 32
 #: Bound of the documents that frequent words are chosen from.
 SAMPLE_DOCS = 50_000
 LONG_WORD = 400
