@@ -56,8 +56,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    rows = tagged(docs)
+    """The documents that stay, with all their columns. Rows are staged with their tags, so that no tag is computed twice."""
+    rows = staged(tagged(docs), "tagged")
     norm = ascii_lower(text_of(rows, text_col))
     keyed = staged(rows.select("__rid", rows[id_col].alias("id"), norm.alias("norm"))
                    .select("__rid", "id", F.unhex(F.sha2("norm", 256)).alias("digest"),

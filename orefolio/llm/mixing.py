@@ -47,8 +47,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE) -> D
             .select("source", "src_id", "n_docs", "source_size", "target", "budget"))
 
 
-def _shuffled(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
-    rows = tagged(docs)
+def _shuffled(rows: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
     return rows.select("__rid", rows[id_col].alias("doc_id"), rows[source_col].alias("source"), *keep,
                        F.regexp_count(text_of(rows, text_col), F.lit(WORD)).cast("long").alias("size"),
                        F.md5(F.coalesce(rows[id_col].cast("string"), F.lit("")).cast("binary")).alias("u"))
@@ -62,7 +61,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last. Equal shuffle keys fall back to doc_id; repeated rows with one id are taken or left together at the cut. An
     empty table gives an empty result; extra columns are ignored.
     """
-    sizes = staged(_shuffled(docs, id_col, text_col, source_col, []), "sizes")
+    return mix_tagged(tagged(docs), id_col, text_col, source_col, weights, share)
+
+
+def mix_tagged(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               weights=WEIGHTS, share: float = SHARE) -> DataFrame:
+    """The same of rows that have their tags."""
+    sizes = staged(_shuffled(rows, id_col, text_col, source_col, []), "sizes")
     sources = staged(source_targets(sizes, weights, share), "sources")
     rows = (sizes.join(sources, sizes["source"].eqNullSafe(sources["source"]))
             .drop(sources["source"])
@@ -118,10 +123,12 @@ def _cut(finished: DataFrame) -> DataFrame:
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the documents' columns, a row per copy taken."""
-    copies = (mix(docs, id_col, text_col, source_col)
+    """The mix itself: the documents' columns, a row per copy taken. Rows are staged with their tags, so that no tag is
+    computed twice."""
+    rows = staged(tagged(docs), "tagged")
+    copies = (mix_tagged(rows, id_col, text_col, source_col)
               .where("taken > 0").select("__rid", (F.col("taken") / F.col("size")).cast("int").alias("__copies")))
-    return (tagged(docs).join(copies, "__rid")
+    return (rows.join(copies, "__rid")
             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns))
 
 

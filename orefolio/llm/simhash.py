@@ -52,7 +52,11 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Row tag, id and fingerprint (as a signed 64-bit number) of every row."""
-    rows = tagged(docs)
+    return tagged_fingerprints(tagged(docs), id_col, text_col, shingle)
+
+
+def tagged_fingerprints(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The same of rows that have their tags."""
     rows = rows.select("__rid", rows[id_col].cast("long").alias("doc_id"), text_of(rows, text_col).cast("binary").alias("text"))
 
     def run(batches):
@@ -127,7 +131,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words than a shingle are one shingle. Equal fingerprints are one component; repeated rows are too. A null id never
     names a component that has another id. An empty table gives an empty result; extra columns are ignored.
     """
-    prints = staged(fingerprints(docs, id_col, text_col, shingle), "prints")
+    return grouped(fingerprints(docs, id_col, text_col, shingle))
+
+
+def grouped(prints: DataFrame) -> DataFrame:
+    """The groups of near_duplicates, of rows with tag, id and fingerprint."""
+    prints = staged(prints, "prints")
     distinct = staged(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid")).alias("first")),
                       "fps")
     roots = components(links(distinct))
@@ -141,9 +150,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns."""
-    stay = near_duplicates(docs, id_col, text_col).where("keeper").select("__rid")
-    return tagged(docs).join(stay, "__rid", "left_semi").select(*docs.columns)
+    """One document of each group, with all its columns. Rows are staged with their tags, so that no tag is computed twice."""
+    rows = staged(tagged(docs), "tagged")
+    stay = grouped(tagged_fingerprints(rows, id_col, text_col)).where("keeper").select("__rid")
+    return rows.join(stay, "__rid", "left_semi").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
