@@ -282,6 +282,13 @@ def n23(spark, d):
     return I.flat_reports(spark, d).where("id % 9 NOT IN (3, 5)").select("id", F.array_join(numbers.search_variants(F.col("quantity_extracted")), "|").alias("variants"))
 
 
+@query("n23_n24_variants_all", WITH + f"""SELECT id, CASE WHEN id % 9 IN (0, 1) THEN '' WHEN id % 9 = 2 THEN concat(quantity_extracted, '|', q_num) WHEN id % 9 = 4 THEN concat(quantity_extracted, '|', q_num, '.0')
+  WHEN id % 9 = 3 THEN concat('Q1 1998: ', b, ' t|Q1 1998: ', q_num, ' t') WHEN id % 9 = 5 THEN concat('FY1998: ', b, ' tonnes|FY1998: ', q_num, ' tonnes|', b, ' tonnes|1998')
+  ELSE concat(b, ' MT|', q_num, ' MT|', b, '|', q_num) END AS variants FROM (SELECT *, concat(q_num // 1000, ',', lpad(cast(q_num % 1000 AS varchar), 3, '0')) AS b FROM reports)""")
+def n23_all(spark, d):
+    return I.flat_reports(spark, d).select("id", F.array_join(numbers.search_variants(F.col("quantity_extracted")), "|").alias("variants"))
+
+
 @query("n25_words", "SELECT doc_id, len(w) AS words, array_to_string(list_slice(w, 1, 20), ' ') AS head FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}][\\p{L}\\p{N}_]*'), lambda x: length(x) >= 3) AS w FROM documents)")
 def n25(spark, d):
     w = text.words(F.col("text"))
