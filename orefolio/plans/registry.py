@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import compare, numbers, periods, text
@@ -22,7 +22,7 @@ from ..operators import selection as L
 from ..operators import views as V
 from ..sources import reports as S
 from ..sources import sinks as K
-from ..sources.staging import shared_dir
+from ..sources.staging import shared_dir, staged
 from ..streaming import streams as T
 from . import fixtures as I
 
@@ -197,6 +197,16 @@ def w2(spark, d):
     return D.order_findings(D.missing_fields(r).unionByName(D.failures(r))).select("id", "severity").limit(500)
 
 
+@query("w2_order_all_findings", WITH + f", {FINDINGS} SELECT id, severity, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, id) AS position FROM findings")
+def w2_all(spark, d):
+    ordered = D.order_findings(D.all_findings(I.reports(spark, d))).select("id", "severity", F.monotonically_increasing_id().alias("at"))
+    rows = staged(ordered, "ordered").select("id", "severity", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    # One row per partition of the sort, so the running sum is over few rows.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return rows.join(offsets, "part").select("id", "severity", (F.col("offset") + F.col("at") + 1).alias("position"))
+
+
 # --- 2.3 scalar functions -----------------------------------------------------------------------------------------------
 
 @query("n_text", WITH + f"""SELECT id, {norm('mine_name')} AS n1_norm, {canon('mine_name')} AS n2_canonical, array_to_string(list_sort(list_distinct(string_split({canon('mine_name')}, ' '))), ' ') AS n3_tokens,
@@ -396,7 +406,11 @@ def s17(spark, d):
 
 
 def _parsed(spark, d):
-    return I.flat_reports(spark, d).where("id % 17 <> 0").select(
+    return _all_parsed(spark, d).where("id % 17 <> 0")
+
+
+def _all_parsed(spark, d):
+    return I.flat_reports(spark, d).select(
         "id", F.when(F.col("status") != "error", F.col("page1")).alias("fields"), F.concat("error_message", F.lit("\0!")).alias("failure"), F.lit(False).alias("provider_failed"))
 
 
@@ -406,6 +420,13 @@ def s18(spark, d):
     return S.quarantine(_parsed(spark, d))[1]
 
 
+@query("s18_quarantine_both", WITH + """SELECT id, 'completed' AS status, CAST(NULL AS VARCHAR) AS error_message, page1 AS fields FROM reports WHERE status <> 'error'
+  UNION ALL SELECT id, 'error', CASE WHEN error_message IS NULL THEN 'No fields could be read' ELSE concat(error_message, '!') END, NULL FROM reports WHERE status = 'error'""")
+def s18_both(spark, d):
+    good, bad = S.quarantine(_all_parsed(spark, d))
+    return good.select("id", "status", F.lit(None).cast("string").alias("error_message"), "fields").unionByName(bad.withColumn("fields", F.lit(None).cast("string")))
+
+
 @query("s20_extraction_cache", WITH + "SELECT id, id % 2 = 0 AND id % 3 <> 0 AS hit FROM reports")
 def s20(spark, d):
     todo = I.flat_reports(spark, d).select("id", F.concat("page1", F.col("id").cast("string")).alias("content"))
@@ -859,6 +880,13 @@ def f8b(spark, d):
     return X.run_gate(labels, _shelf(spark, d), source).where("reason <> 'labels are malformed'")
 
 
+@query("f8_run_gate_all", f"SELECT * FROM ({ORACLES['f8_run_gate']}) UNION ALL SELECT 'labels are malformed', count(*) FROM ({ORACLES['f7_label_problems']})")
+def f8_all(spark, d):
+    labels = _labels(spark, d)
+    source = labels.select("document", F.when(F.col("id") % 6 == 0, "mock").otherwise("real").alias("provider"))
+    return X.run_gate(labels, _shelf(spark, d), source)
+
+
 # --- 2.9 streaming operators in batch form ------------------------------------------------------------------------------
 
 def _calls(spark, d):

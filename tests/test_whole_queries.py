@@ -10,6 +10,7 @@ from orefolio.plans import fixtures, registry
 
 WHOLE = [
     "n23_n24_variants_all",
+    "w2_order_all_findings", "s18_quarantine_both", "f8_run_gate_all",
 ]
 
 
