@@ -146,9 +146,9 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array("r1", "r2").alias("report_ids_used")))
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, embedding: vectors whose id is divisible by 50, as questions over the embeddings table."""
-    return (spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 50 = 0")
+def questions(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
+    """qid, embedding: vectors whose id is divisible by `every`, as questions over the embeddings table."""
+    return (spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") % every == 0)
             .select(F.col("vec_id").alias("qid"), "embedding"))
 
 
