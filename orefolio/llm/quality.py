@@ -48,7 +48,7 @@ def statistics(raw: bytes) -> list[float]:
     repeats = np.fromiter(found.values(), np.float64, len(found))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     n_lines = max(1, len(lines))
-    starts = Counter(zip(words[::3], words[1::3], words[2::3]))
+    triples = set(zip(words, words[1:], words[2:]))
     mean = float(lengths @ repeats) / n_words if found else 0.0
     upper = ends = 0.0
     for word, k in found.items():
@@ -58,7 +58,7 @@ def statistics(raw: bytes) -> list[float]:
         float(np.log1p(n)), float(np.log1p(len(words))), mean, len(found) / n_words,
         max(found.values(), default=0) / n_words, float(np.log1p(len(lines))), 1 - len(set(lines)) / n_lines if lines else 0.0,
         n / n_lines, sum(len(x) < 30 for x in lines) / n_lines, upper / n_words, ends / n_words,
-        1 - len(starts) / max(1, sum(starts.values())) if starts else 0.0,
+        1 - len(triples) / (len(words) - 2) if triples else 0.0,
         float(np.sqrt(max(0.0, ((lengths - mean) ** 2) @ repeats / n_words))) if found else 0.0]
 
 
