@@ -305,6 +305,17 @@ def n25(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("bigint").alias("words"), F.array_join(F.slice("w", 1, 20), " ").alias("head"))
 
 
+@query("n25_words_all", "SELECT doc_id, len(w) AS words, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}][\\p{L}\\p{N}_]*'), lambda x: length(x) >= 3) AS w FROM documents)")
+def n25_all(spark, d):
+    w = text.words(F.col("text"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("bigint").alias("words"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
+
+
+@query("s3_clean_text", "SELECT doc_id, md5(substring(replace(text, chr(0), ''), 1, 50000)) AS capped FROM documents")
+def s3_clean(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(text.clean_text(F.col("text"), 50_000).cast("binary")).alias("capped"))
+
+
 @query("n26_rule_fields", WITH + "SELECT id, 'Coal' AS mineral, CAST(NULL AS VARCHAR) AS state, 'Opencast' AS method FROM reports")
 def n26(spark, d):
     return I.flat_reports(spark, d).select("id", text.rule_fields(F.col("page2")).alias("r")).select("id", "r.*")

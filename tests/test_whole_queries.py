@@ -12,6 +12,7 @@ WHOLE = [
     "n23_n24_variants_all",
     "w2_order_all_findings", "s18_quarantine_both", "f8_run_gate_all",
     "c4_w5_cosine_search_20", "w4_top_k_per_query_20", "c5_retrieval_context_20", "c7_answer_inputs_20",
+    "n25_words_all", "s3_clean_text",
 ]
 
 
