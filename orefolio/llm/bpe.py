@@ -5,13 +5,14 @@ literal. Words are the matches of the split pattern.
 
 1. Count the words of `SAMPLE_DOCS` documents at most (those with the smallest hash of their id).
 2. Fold the most frequent of them, `HOT_WORDS` at most, once each. Their number and length are bounded, so they go to every
-   task. Which words these are decides only where a word is folded, not what it becomes.
-3. Walk the documents: frequent words are looked up, the others are left open in place and listed beside the row.
-4. Fold the listed words of a row with the same expression and put their ids where they were left open. Nothing is
-   shuffled or regrouped: a row's open words stay with the row.
+   task, as two flat Arrow arrays. Which words these are decides only where a word is folded, not what it becomes.
+3. Walk the documents in slices of about `SLICE` bytes: a slice's distinct words are looked up at once. A slice gives a
+   row of the words that are not known, each once, and then its documents, where ids of such words are left open.
+4. Fold the words of such a row with the same expression, and close the open places of the documents that follow it.
+   Nothing is shuffled or regrouped between walk and close: a slice's rows stay together, in order, in one task.
 
 Words of over `LONG_WORD` bytes, for which a fold over arrays would take time with the square of the length, are merged
-by a queue of ranked pairs instead; the result is the same. Decoding concatenates the byte pieces of the ids.
+by a queue of ranked pairs instead; the result is the same. Decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import re
-from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,17 +35,14 @@ from .common import documents, staged, text_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bounds of what is sent to every task: words, and bytes of each.
-HOT_WORDS, HOT_BYTES = 1 << 19, 32
+HOT_WORDS, HOT_BYTES = 1 << 21, 32
 #: Bound of the documents that frequent words are chosen from.
 SAMPLE_DOCS = 50_000
 LONG_WORD = 400
 BUCKETS, SPREAD = 1 << 15, 31
 NO_RANK = (1 << 31) - 1
-OPEN = b"\xff\xff\xff\xff"
-#: Entries of a worker's memory of white-space separated chunks.
-MEMO = 200_000
-#: Rows that Python holds at a time.
-ROWS = 500
+#: Bytes of text, or of ids, that Python works on at a time; a longer document is a slice of its own.
+SLICE = 6 << 20
 
 # Fixed value: the white space of the split pattern, spelled out, since libraries differ on U+001C to U+001F.
 EDGE = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -149,39 +148,158 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-ODD = re.compile("[" + "".join(sorted(EDGE - {" ", "\n"})) + "]|  | \n|\n |^[ \n]|[ \n]$")
-
-
-def chunks(text: str) -> list[str]:
-    """text cut at its single spaces, where no match of the pattern can cross: chunk k > 0 stands for a space and its
-    text. A text with white space beside a space, at its ends or of other kinds stays one chunk."""
-    return [text] if ODD.search(text) else text.split(" ")
+# White space beside a space, at an end or of other kinds: such a text is not cut at its spaces.
+ODD = "[" + "".join(sorted(EDGE - {" ", "\n"})) + "]|  | \n|\n |^[ \n]|[ \n]$"
+
+
+#: Latin letters, or ASCII digits, behind a space or none: one match of the pattern in every version of Unicode.
+SIMPLE = "^ ?([A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+)$"
+
+
+def slices(batches, column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut at rows, where `SLICE` bytes of a string or binary column are full."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(size[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(size, before + SLICE, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+class Units:
+    """Texts as sequences of units. A text is cut at its single spaces, where no match of the pattern can cross; its first
+    chunk is a unit, and so is every further chunk with its space. An odd text is one unit. Chunks that repeat in the
+    texts are one unit; units: the distinct ones, at: the unit of every place, ends: the places of each text, summed."""
+
+    def __init__(self, texts: pa.StringArray):
+        odd = pc.match_substring_regex(texts, ODD)
+        whole = odd.to_numpy(zero_copy_only=False).astype(bool)
+        parts = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        chunks = parts.flatten().dictionary_encode()
+        count = np.ones(len(texts), np.int64)
+        count[~whole] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        self.ends = np.cumsum(count)
+        place = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(count[~whole]) - count[~whole]
+        spaced = np.ones(len(place), bool)
+        spaced[first] = False
+        used = np.zeros(len(chunks.dictionary), bool)
+        used[place[spaced]] = True
+        number = np.cumsum(used) - 1
+        led = pc.binary_join_element_wise(" ", chunks.dictionary.filter(pa.array(used)), "")
+        bare = chunks.dictionary.take(chunks.indices.take(pa.array(first)))
+        self.units = pa.concat_arrays([led, bare, texts.filter(odd)])
+        inside = number[place]
+        inside[first] = len(led) + np.arange(len(first))
+        self.at = np.empty(int(self.ends[-1]) if len(count) else 0, np.int64)
+        even = np.repeat(~whole, count)
+        self.at[even] = inside
+        self.at[~even] = len(led) + len(bare) + np.arange(int(whole.sum()))
+
+
+def words_of(units: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """Distinct words of the units, the word of every match of the pattern, unit after unit, and each unit's matches.
+    A simple unit is one match."""
+    simple = pc.match_substring_regex(units, SIMPLE)
+    one = simple.to_numpy(zero_copy_only=False).astype(bool)
+    found = [SPLIT.findall(u) for u in units.filter(pc.invert(simple)).to_pylist()]
+    counts = np.ones(len(units), np.int64)
+    counts[~one] = np.fromiter(map(len, found), np.int64, len(found))
+    words = pa.concat_arrays([units.filter(simple), pa.array(chain.from_iterable(found), pa.string())]).dictionary_encode()
+    place = words.indices.to_numpy(zero_copy_only=False)
+    at = np.empty(len(place), np.int64)
+    single = np.repeat(one, counts)
+    at[single] = place[:int(one.sum())]
+    at[~single] = place[int(one.sum()):]
+    return words.dictionary, at, counts
+
+
+def regroup(lists: pa.ListArray, counts: np.ndarray) -> pa.ListArray:
+    """Neighbouring lists joined: counts[k] of them make list k."""
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    return pa.ListArray.from_arrays(lists.offsets.take(pa.array(ends)), lists.values)
+
+
+def look_up(texts: pa.StringArray, words: pa.StringArray, ids: pa.ListArray, table: dict[bytes, int]) -> tuple[pa.ListArray, list[str]]:
+    """The ids of every text by known words and their ids, and the other words as Latin-1 strings of their bytes: the k-th
+    of them stands in a text as -1 - k."""
+    texts = Units(texts)
+    distinct, at, counts = words_of(texts.units)
+    found = pc.index_in(distinct, value_set=words)
+    lists, opened = [], []
+    for w in distinct.filter(found.is_null()).to_pylist():
+        raw = w.encode()
+        if len(raw) > LONG_WORD:
+            lists.append(merge_long(raw, table))
+        else:
+            opened.append(raw.decode("latin-1"))
+            lists.append([-len(opened)])
+    place = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    place[place < 0] = len(words) + np.arange(len(lists))
+    pool = pa.concat_arrays([ids, pa.array(lists, ids.type)])
+    split = regroup(pool.take(pa.array(place[at])), counts)
+    return regroup(split.take(pa.array(texts.at)), np.diff(texts.ends, prepend=0)), opened
+
+
+def as_binary(lists: pa.ListArray) -> pa.BinaryArray:
+    """Lists of 32-bit numbers as bytes."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values.to_numpy()[ends[0]:ends[-1]]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(((ends - ends[0]) * 4).astype(np.int32)), pa.py_buffer(values)])
+
+
+def numbers(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of a binary column without nulls, and where each row's end."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    data = column.buffers()[2]
+    values = np.frombuffer(data, "<i4", int(ends[-1] - ends[0]) // 4, int(ends[0])) if data is not None else np.zeros(0, "<i4")
+    return values, (ends[1:] - ends[0]) // 4
+
+
+def close(values: np.ndarray, ends: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values with every open place -1 - k replaced by its word's ids, ids[starts[k]:][:sizes[k]], and the new ends."""
+    left_open = values < 0
+    if not left_open.any():
+        return values, ends
+    word = -1 - values[left_open]
+    n = np.ones(len(values), np.int64)
+    n[left_open] = sizes[word]
+    after = np.cumsum(n)
+    out = np.empty(int(after[-1]), "<i4")
+    out[(after - n)[~left_open]] = values[~left_open]
+    n = sizes[word]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(after[left_open] - n, n) + step] = ids[np.repeat(starts[word], n) + step]
+    return out, np.concatenate(([0], after))[ends]
+
+
+def pieces_of(table: dict[bytes, int]) -> pa.BinaryArray:
+    """The pieces by id."""
+    out = [b""] * (max(table.values()) + 1)
+    for piece, rank in table.items():
+        out[rank] = piece
+    return pa.array(out, pa.binary())
+
+
+def decoded(values: np.ndarray, ends: np.ndarray, pieces: pa.BinaryArray) -> pa.BinaryArray:
+    """The pieces of each row's ids, concatenated."""
+    taken = pieces.take(pa.array(values))
+    at = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1)[np.concatenate(([0], ends))]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at.copy()), taken.buffers()[2] or pa.py_buffer(b"")])
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """w, n: every distinct word of column text with its count over all rows."""
 
-    def flush(seen: tuple[Counter, Counter]):
-        words: Counter = Counter()
-        for part, before in zip(seen, ("", " ")):
-            for chunk, n in part.items():
-                for w in SPLIT.findall(before + chunk):
-                    words[w] += n
-            part.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["w", "n"])
-
     def run(batches):
-        seen = first, rest = Counter(), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    parts = chunks(text)
-                    first[parts[0]] += 1
-                    del parts[0]
-                    rest.update(parts)
-                    if len(first) + len(rest) > MEMO:
-                        yield flush(seen)
-        yield flush(seen)
+        for batch in slices(batches, 0):
+            texts = Units(batch.column(0))
+            times = np.bincount(texts.at, minlength=len(texts.units))
+            words, at, counts = words_of(texts.units)
+            n = np.bincount(at, np.repeat(times, counts), len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([words, pa.array(n)], names=["w", "n"])
 
     return texts.mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -190,107 +308,78 @@ def latin(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
-def hot_words(rows: DataFrame, ranks: Ranks, most: int = HOT_WORDS) -> dict[str, bytes]:
-    """The ids of the most frequent words of the sample, `most` at most: all words from a count on, ties in or out
+def hot_words(rows: DataFrame, ranks: Ranks, most: int = HOT_WORDS) -> tuple[pa.StringArray, pa.ListArray]:
+    """The most frequent words of the sample, `most` at most, and their ids: all words from a count on, ties in or out
     together. rows: doc_id, text."""
+    none = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
     h = F.xxhash64("doc_id")
     cut = rows.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
     if cut is None or not most:
-        return {}
+        return none
     texts = rows.where(h <= cut).select("text")  # ties of the last hash come along
     counts = staged(count_words(texts), "words").where(F.octet_length("w") <= HOT_BYTES)
     down = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     least = (counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("through", F.sum("words").over(down))
              .where(F.col("through") <= most).agg(F.min("n")).first()[0])
     if least is None:
-        return {}
-    parts = 3 * rows.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: by cores, not by size
+        return none
+    parts = 8 * rows.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: by cores, not by size
     found = (counts.where(F.col("n") >= least).select("w").repartition(parts)
              .select("w", fold_merges(latin(F.col("w")), ranks).alias("ids")).toArrow())
-    values = np.asarray(found["ids"].combine_chunks().flatten(), "<u4")
-    ends = np.cumsum(np.asarray(found["ids"].combine_chunks().value_lengths())).tolist()
-    whole, at, out = values.tobytes(), 0, {}
-    for w, end in zip(found["w"].to_pylist(), ends):
-        out[w], at = whole[4 * at:4 * end], end
-    return out
+    return tuple(pa.concat_arrays([*column.cast(kind.type).chunks, kind]) for column, kind in zip(found.columns, none))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS,
-           most: int = HOT_WORDS) -> DataFrame:
-    """doc_id and ids (binary: unsigned 32-bit little-endian) of every row.
-
-    Null text counts as empty; an empty text has no ids. Special tokens in a text are ordinary text. Rows are encoded one
-    by one, so ties, null ids and repeated rows pass through; an empty table gives an empty result; extra columns are
-    ignored.
-    """
-    spark = docs.sparkSession
+def _encoded(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, most: int, decode_too: bool) -> DataFrame:
     table = read_ranks(ranks_path)
     ranks = Ranks(table)
     rows = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
-    known = hot_words(rows, ranks, most)
-    spaced = {w[1:]: ids for w, ids in known.items() if w[0] == " " and len(w) > 1}  # by what stands behind the space
-    bare = {w: ids for w, ids in known.items() if w[0] != " " or len(w) == 1}
-    hot = spark.sparkContext.broadcast((spaced, bare, table))
-    del known, spaced, bare
+    hot = docs.sparkSession.sparkContext.broadcast(hot_words(rows, ranks, most))
+    pa.default_memory_pool().release_unused()
+    kind = dict(rows.dtypes)["doc_id"]
 
     def walk(batches):
-        spaced, bare, table = hot.value
-        memo: dict[str, object] = {}
-
-        def look(chunk: str, before: str = " "):
-            ids, open_words = [], []
-            for w in SPLIT.findall(before + chunk):
-                if (found := spaced.get(w[1:]) if w[0] == " " and len(w) > 1 else bare.get(w)) is None:
-                    raw = w.encode()
-                    if len(raw) > LONG_WORD:
-                        found = np.array(merge_long(raw, table), "<u4").tobytes()
-                    else:
-                        found = OPEN
-                        open_words.append(raw.decode("latin-1"))
-                ids.append(found)
-            found = (b"".join(ids), open_words) if open_words else b"".join(ids)
-            if before:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[chunk] = found
-            return found
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                ids, opened = [], []
-                for text in batch.column(1).to_pylist():
-                    first, *rest = chunks(text)
-                    out, left = [look(first, "")], []
-                    for chunk in rest:
-                        if (found := spaced.get(chunk)) is None and (found := memo.get(chunk)) is None:
-                            found = look(chunk)
-                        out.append(found)
-                    if tuple in map(type, out):
-                        left = [w for x in out if type(x) is tuple for w in x[1]]
-                        out = [x[0] if type(x) is tuple else x for x in out]
-                    ids.append(b"".join(out))
-                    opened.append(left)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(opened, pa.list_(pa.string()))],
+        words, ids = hot.value
+        table = read_ranks(ranks_path)
+        for batch in slices(batches, 1):
+            lists, opened = look_up(batch.column(1), words, ids, table)
+            if opened:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.schema.field(0).type), pa.nulls(1, pa.binary()), pa.array([opened], pa.list_(pa.string()))],
                                                  names=["doc_id", "ids", "opened"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), as_binary(lists), pa.nulls(len(lists), pa.list_(pa.string()))],
+                                             names=["doc_id", "ids", "opened"])
 
     def fill(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch, out = whole.slice(at, ROWS), []
-                for ids, folded in zip(batch.column(1), batch.column(2)):
-                    ids, folded = ids.as_py(), folded.as_py()
-                    if folded:
-                        parts = np.frombuffer(ids, "<u4")
-                        parts = np.split(parts, np.flatnonzero(parts == 0xFFFFFFFF))
-                        ids = parts[0].tobytes() + b"".join(np.array(x, "<u4").tobytes() + y[1:].tobytes() for x, y in zip(folded, parts[1:]))
-                    out.append(ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+        pieces = pieces_of(read_ranks(ranks_path)) if decode_too else None
+        words = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for batch in slices(batches, 1):
+            folded = batch.column(2)
+            at = 0
+            for head in [*np.flatnonzero(folded.is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]:
+                part = batch.slice(at, head - at)
+                values, ends = close(*numbers(part.column(1)), *words)
+                lists = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), values)
+                out = [part.column(0), as_binary(lists), *([decoded(values, ends, pieces)] if decode_too else [])]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "ids", "decoded"][:len(out)])
+                if head < batch.num_rows:
+                    found = folded.slice(head, 1).flatten()  # a list of ids for each word
+                    offsets = found.offsets.to_numpy().astype(np.int64)
+                    words = (found.values.to_numpy(), offsets[:-1], np.diff(offsets))
+                at = head + 1
 
-    kind = dict(rows.dtypes)["doc_id"]
     opened = rows.mapInArrow(walk, f"doc_id {kind}, ids binary, opened array<string>")
     folded = opened.select("doc_id", "ids", F.transform("opened", lambda w: fold_merges(w, ranks)).alias("folded"))
-    return folded.mapInArrow(fill, f"doc_id {kind}, ids binary")
+    return folded.mapInArrow(fill, f"doc_id {kind}, ids binary" + ", decoded binary" * decode_too)
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS,
+           most: int = HOT_WORDS) -> DataFrame:
+    """doc_id and ids (binary: unsigned 32-bit little-endian) of every row.
+
+    Null text counts as empty; an empty text has no ids. Special tokens in a text are ordinary text. Rows are encoded one
+    by one, so ties, null ids and repeated rows pass through; an empty table gives an empty result; extra columns are
+    ignored.
+    """
+    return _encoded(docs, id_col, text_col, ranks_path, most, False)
 
 
 def decode(encoded: DataFrame, ranks_path: str = RANKS) -> DataFrame:
@@ -298,30 +387,29 @@ def decode(encoded: DataFrame, ranks_path: str = RANKS) -> DataFrame:
 
     @F.arrow_udf("binary")
     def join(column: pa.Array) -> pa.Array:
-        pieces = _pieces(ranks_path)
-        return pa.array([b"".join(map(pieces.__getitem__, np.frombuffer(x.as_py(), "<u4").tolist())) for x in column], pa.binary())
+        return decoded(*numbers(column), _pieces(ranks_path))
 
     return encoded.withColumn("decoded", join("ids"))
 
 
-_PIECES: dict[str, list[bytes]] = {}
+_PIECES: dict[str, pa.BinaryArray] = {}
 
 
-def _pieces(path: str) -> list[bytes]:
+def _pieces(path: str) -> pa.BinaryArray:
     if path not in _PIECES:
-        table = read_ranks(path)
-        out = [b""] * (max(table.values()) + 1)
-        for piece, rank in table.items():
-            out[rank] = piece
-        _PIECES[path] = out
+        _PIECES[path] = pieces_of(read_ranks(path))
     return _PIECES[path]
 
 
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS, most: int = HOT_WORDS) -> DataFrame:
+    """encode() with decode()'s column beside it, in one pass through Python."""
+    return _encoded(docs, id_col, text_col, ranks_path, most, True)
+
+
 def encode_digests(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return (decode(encode(docs))
-            .select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                    F.sha2("decoded", 256).alias("decoded_sha256")))
+    return round_trip(docs).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                                   F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

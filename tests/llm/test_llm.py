@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,8 +88,30 @@ def test_bpe(docs, real):
     rng = random.Random(2)
     for _ in range(300):
         text = "".join(rng.choice(list("ab  \n\t\x1c\u0085 'sétl12.,!　中")) for _ in range(rng.randint(0, 14)))
-        parts = [(" " if k else "") + c for k, c in enumerate(bpe.chunks(text))]
-        assert [i for c in parts for w in bpe.SPLIT.findall(c) for i in bpe.merge_long(w.encode(), table)] == library.encode_ordinary(text)
+        cut = bpe.Units(pa.array([text, "a b", ""]))
+        units = [cut.units[int(k)].as_py() for k in cut.at[:cut.ends[0]]]
+        assert "".join(units) == text
+        assert [i for u in units for w in bpe.SPLIT.findall(u) for i in bpe.merge_long(w.encode(), table)] == library.encode_ordinary(text)
+
+
+def test_bpe_slices(docs, real, monkeypatch):
+    """Open words of one slice are not taken for those of another; null ids and repeated rows pass through."""
+    import public_tokenizers
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(), special_tokens={})
+    texts = pa.array([f"alpha{k % 7} wordy{k} 'tis" + "x" * (k % 5) for k in range(40)])
+    none = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), texts], names=["doc_id", "text"])
+    monkeypatch.setattr(bpe, "SLICE", 200)
+    for part in bpe.slices([batch], 1):
+        lists, opened = bpe.look_up(part.column(1), *none, bpe.read_ranks())
+        folded = [bpe.merge_long(w.encode("latin-1"), bpe.read_ranks()) for w in opened]
+        sizes = np.array([len(x) for x in folded])
+        values, ends = bpe.close(*bpe.numbers(bpe.as_binary(lists)), np.concatenate(folded), np.cumsum(sizes) - sizes, sizes)
+        got = [x.tolist() for x in np.split(values, ends[:-1])]
+        assert got == [library.encode_ordinary(t) for t in part.column(1).to_pylist()]
+        assert bpe.decoded(values, ends, bpe.pieces_of(bpe.read_ranks())).to_pylist() == [t.encode() for t in part.column(1).to_pylist()]
 
 
 def test_chat(spark):
