@@ -6,7 +6,7 @@ literal. Words are the matches of the split pattern.
 1. Count the words of `SAMPLE_DOCS` documents at most (those with the smallest hash of their id).
 2. Fold the most frequent of them, `HOT_WORDS` at most, once each. Their number and length are bounded, so they go to every
    task, as two flat Arrow arrays. Which words these are decides only where a word is folded, not what it becomes.
-3. Walk the documents in slices of about `SLICE` bytes: a slice's distinct words are looked up at once. A slice gives a
+3. Walk the documents in slices of a few MB: a slice's distinct words are looked up at once. A slice gives a
    row of the words that are not known, each once, and then its documents, where ids of such words are left open.
 4. Fold the words of such a row with the same expression, and close the open places of the documents that follow it.
    Nothing is shuffled or regrouped between walk and close: a slice's rows stay together, in order, in one task.
@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -31,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, staged, text_of
+from .common import documents, slices, staged, text_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bounds of what is sent to every task: words, and bytes of each.
@@ -41,8 +40,6 @@ SAMPLE_DOCS = 50_000
 LONG_WORD = 400
 BUCKETS, SPREAD = 1 << 15, 31
 NO_RANK = (1 << 31) - 1
-#: Bytes of text, or of ids, that Python works on at a time; a longer document is a slice of its own.
-SLICE = 6 << 20
 
 # Fixed value: the white space of the split pattern, spelled out, since libraries differ on U+001C to U+001F.
 EDGE = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -156,18 +153,6 @@ ODD = "[" + "".join(sorted(EDGE - {" ", "\n"})) + "]|  | \n|\n |^[ \n]|[ \n]$"
 SIMPLE = "^ ?([A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+)$"
 
 
-def slices(batches, column: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut at rows, where `SLICE` bytes of a string or binary column are full."""
-    for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        at = 0
-        while at < batch.num_rows:
-            before = int(size[at - 1]) if at else 0
-            stop = max(at + 1, int(np.searchsorted(size, before + SLICE, side="right")))
-            yield batch.slice(at, stop - at)
-            at = stop
-
-
 class Units:
     """Texts as sequences of units. A text is cut at its single spaces, where no match of the pattern can cross; its first
     chunk is a unit, and so is every further chunk with its space. An odd text is one unit. Chunks that repeat in the
@@ -227,18 +212,20 @@ def look_up(texts: pa.StringArray, words: pa.StringArray, ids: pa.ListArray, tab
     of them stands in a text as -1 - k."""
     texts = Units(texts)
     distinct, at, counts = words_of(texts.units)
-    found = pc.index_in(distinct, value_set=words)
+    found = pc.index_in(words, value_set=distinct)  # this way round the table of hashes is a slice's
+    known = found.is_valid().to_numpy(zero_copy_only=False).nonzero()[0]
+    place = np.full(len(distinct), -1)
+    place[found.drop_null().to_numpy()] = np.arange(len(known))
     lists, opened = [], []
-    for w in distinct.filter(found.is_null()).to_pylist():
+    for w in distinct.filter(pa.array(place < 0)).to_pylist():
         raw = w.encode()
         if len(raw) > LONG_WORD:
             lists.append(merge_long(raw, table))
         else:
             opened.append(raw.decode("latin-1"))
             lists.append([-len(opened)])
-    place = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    place[place < 0] = len(words) + np.arange(len(lists))
-    pool = pa.concat_arrays([ids, pa.array(lists, ids.type)])
+    place[place < 0] = len(known) + np.arange(len(lists))
+    pool = pa.concat_arrays([ids.take(pa.array(known)), pa.array(lists, ids.type)])
     split = regroup(pool.take(pa.array(place[at])), counts)
     return regroup(split.take(pa.array(texts.at)), np.diff(texts.ends, prepend=0)), opened
 
@@ -338,6 +325,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, most:
     kind = dict(rows.dtypes)["doc_id"]
 
     def walk(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back
         words, ids = hot.value
         table = read_ranks(ranks_path)
         for batch in slices(batches, 1):
@@ -349,6 +337,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, most:
                                              names=["doc_id", "ids", "opened"])
 
     def fill(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         pieces = pieces_of(read_ranks(ranks_path)) if decode_too else None
         words = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
         for batch in slices(batches, 1):

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,9 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Java form of the word pattern of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of text, or of ids, that Python works on at a time; a longer document is a slice of its own.
+SLICE = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; own temporary one only where it is unset."""
@@ -52,3 +59,16 @@ def ascii_lower(column):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def slices(batches, column: int, full: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batches cut at rows, where `full` (`SLICE`) bytes of a string or binary column are full."""
+    full = full or SLICE
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(size[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(size, before + full, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orefolio.llm import bpe, chat, exact_dedup, mixing, pii, quality, simhash, token_store, topk, toxicity
+from orefolio.llm import bpe, chat, common, exact_dedup, mixing, pii, quality, simhash, token_store, topk, toxicity
 
 LONG = "lorem ipsum " * 4000
 TEXTS = [(1, "Hello World again and again", "a"), (2, "hello world AGAIN and again", "a"), (3, None, None), (4, "", "b"), (5, LONG, "b"), (5, LONG, "b"), (6, " \n\t ", "a"),
@@ -103,7 +103,7 @@ def test_bpe_slices(docs, real, monkeypatch):
     texts = pa.array([f"alpha{k % 7} wordy{k} 'tis" + "x" * (k % 5) for k in range(40)])
     none = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), texts], names=["doc_id", "text"])
-    monkeypatch.setattr(bpe, "SLICE", 200)
+    monkeypatch.setattr(common, "SLICE", 200)
     for part in bpe.slices([batch], 1):
         lists, opened = bpe.look_up(part.column(1), *none, bpe.read_ranks())
         folded = [bpe.merge_long(w.encode("latin-1"), bpe.read_ranks()) for w in opened]
