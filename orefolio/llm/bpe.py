@@ -6,10 +6,9 @@ literal. Words are the matches of the split pattern.
 1. Count the words of `SAMPLE_DOCS` documents at most (those with the smallest hash of their id).
 2. Fold the most frequent of them, `HOT_WORDS` at most, once each. Their number and length are bounded, so they go to every
    task, as two flat Arrow arrays. Which words these are decides only where a word is folded, not what it becomes.
-3. Walk the documents in slices of a few MB: a slice's distinct words are looked up at once. A slice gives a
-   row of the words that are not known, each once, and then its documents, where ids of such words are left open.
-4. Fold the words of such a row with the same expression, and close the open places of the documents that follow it.
-   Nothing is shuffled or regrouped between walk and close: a slice's rows stay together, in order, in one task.
+3. Walk the documents in slices of a few MB: a slice's distinct words are looked up at once. A slice becomes one row of its
+   documents' ids, where ids of words that are not known are left open, and of these words, each once. The rows are staged.
+4. Fold the words of every such row with the same expression, and close the row's open places. Nothing is shuffled.
 
 Words of over `LONG_WORD` bytes, for which a fold over arrays would take time with the square of the length, are merged
 by a queue of ranked pairs instead; the result is the same. Decoding concatenates the binary pieces of the ids.
@@ -230,19 +229,25 @@ def look_up(texts: pa.StringArray, words: pa.StringArray, ids: pa.ListArray, tab
     return regroup(split.take(pa.array(texts.at)), np.diff(texts.ends, prepend=0)), opened
 
 
-def as_binary(lists: pa.ListArray) -> pa.BinaryArray:
-    """Lists of 32-bit numbers as bytes."""
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    values = lists.values.to_numpy()[ends[0]:ends[-1]]
-    return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(((ends - ends[0]) * 4).astype(np.int32)), pa.py_buffer(values)])
+def as_binary(values: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """Rows of numbers, given one after the other with the end of each row, as bytes."""
+    offsets = np.concatenate(([0], ends * values.itemsize)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def numbers(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
-    """The 32-bit numbers of a binary column without nulls, and where each row's end."""
+def numbers(column: pa.BinaryArray, dtype: str = "<i4") -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a binary column without nulls, and where each row's end."""
+    width = np.dtype(dtype).itemsize
     ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
     data = column.buffers()[2]
-    values = np.frombuffer(data, "<i4", int(ends[-1] - ends[0]) // 4, int(ends[0])) if data is not None else np.zeros(0, "<i4")
-    return values, (ends[1:] - ends[0]) // 4
+    values = np.frombuffer(data, dtype, int(ends[-1] - ends[0]) // width, int(ends[0])) if data is not None else np.zeros(0, dtype)
+    return values, (ends[1:] - ends[0]) // width
+
+
+def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of lists, and where each list's end."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy()[ends[0]:ends[-1]], ends[1:] - ends[0]
 
 
 def close(values: np.ndarray, ends: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,6 +315,7 @@ def hot_words(rows: DataFrame, ranks: Ranks, most: int = HOT_WORDS) -> tuple[pa.
              .where(F.col("through") <= most).agg(F.min("n")).first()[0])
     if least is None:
         return none
+    pa.set_memory_pool(pa.system_memory_pool())
     parts = 8 * rows.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: by cores, not by size
     found = (counts.where(F.col("n") >= least).select("w").repartition(parts)
              .select("w", fold_merges(latin(F.col("w")), ranks).alias("ids")).toArrow())
@@ -321,42 +327,43 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, most:
     ranks = Ranks(table)
     rows = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
     hot = docs.sparkSession.sparkContext.broadcast(hot_words(rows, ranks, most))
-    pa.default_memory_pool().release_unused()
     kind = dict(rows.dtypes)["doc_id"]
 
+    narrow = max(table.values()) < 0xFFFF  # ids take two bytes between walk and fill, 0xFFFF for an open place
+
     def walk(batches):
         pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back
         words, ids = hot.value
         table = read_ranks(ranks_path)
         for batch in slices(batches, 1):
             lists, opened = look_up(batch.column(1), words, ids, table)
-            if opened:
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.schema.field(0).type), pa.nulls(1, pa.binary()), pa.array([opened], pa.list_(pa.string()))],
-                                                 names=["doc_id", "ids", "opened"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), as_binary(lists), pa.nulls(len(lists), pa.list_(pa.string()))],
-                                             names=["doc_id", "ids", "opened"])
+            values, ends = flat(lists)
+            left = -1 - values[values < 0]
+            if narrow:
+                values = np.where(values < 0, 0xFFFF, values).astype("<u2")
+            one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+            yield pa.RecordBatch.from_arrays([one(batch.column(0)), one(as_binary(values, ends)), pa.array([left.astype("<i4").tobytes()], pa.binary()),
+                                              pa.array([opened], pa.list_(pa.string()))], names=["doc_id", "ids", "left", "opened"])
 
     def fill(batches):
         pa.set_memory_pool(pa.system_memory_pool())
         pieces = pieces_of(read_ranks(ranks_path)) if decode_too else None
-        words = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for batch in slices(batches, 1):
-            folded = batch.column(2)
-            at = 0
-            for head in [*np.flatnonzero(folded.is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]:
-                part = batch.slice(at, head - at)
-                values, ends = close(*numbers(part.column(1)), *words)
-                lists = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), values)
-                out = [part.column(0), as_binary(lists), *([decoded(values, ends, pieces)] if decode_too else [])]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                doc_ids, ids, left, words = (batch.column(c).slice(k, 1) for c in range(4))
+                values, ends = numbers(ids.flatten(), "<u2" if narrow else "<i4")
+                if narrow:
+                    values = values.astype("<i4")
+                    values[values == 0xFFFF] = -1 - np.frombuffer(left[0].as_py(), "<i4")
+                words = words.flatten()  # a list of ids for each word
+                found, stops = flat(words)
+                sizes = np.diff(stops, prepend=0)
+                values, ends = close(values, ends, found, stops - sizes, sizes)
+                out = [doc_ids.flatten(), as_binary(values, ends), *([decoded(values, ends, pieces)] if decode_too else [])]
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "ids", "decoded"][:len(out)])
-                if head < batch.num_rows:
-                    found = folded.slice(head, 1).flatten()  # a list of ids for each word
-                    offsets = found.offsets.to_numpy().astype(np.int64)
-                    words = (found.values.to_numpy(), offsets[:-1], np.diff(offsets))
-                at = head + 1
-
-    opened = rows.mapInArrow(walk, f"doc_id {kind}, ids binary, opened array<string>")
-    folded = opened.select("doc_id", "ids", F.transform("opened", lambda w: fold_merges(w, ranks)).alias("folded"))
+
+    walked = staged(rows.mapInArrow(walk, f"doc_id array<{kind}>, ids array<binary>, left binary, opened array<string>"), "walked")
+    folded = walked.select("doc_id", "ids", "left", F.transform("opened", lambda w: fold_merges(w, ranks)).alias("folded"))
     return folded.mapInArrow(fill, f"doc_id {kind}, ids binary" + ", decoded binary" * decode_too)
 
 

@@ -37,7 +37,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     makes costly columns and row tags computed once, and gives later joins true sizes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

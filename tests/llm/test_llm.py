@@ -108,7 +108,7 @@ def test_bpe_slices(docs, real, monkeypatch):
         lists, opened = bpe.look_up(part.column(1), *none, bpe.read_ranks())
         folded = [bpe.merge_long(w.encode("latin-1"), bpe.read_ranks()) for w in opened]
         sizes = np.array([len(x) for x in folded])
-        values, ends = bpe.close(*bpe.numbers(bpe.as_binary(lists)), np.concatenate(folded), np.cumsum(sizes) - sizes, sizes)
+        values, ends = bpe.close(*bpe.numbers(bpe.as_binary(*bpe.flat(lists))), np.concatenate(folded), np.cumsum(sizes) - sizes, sizes)
         got = [x.tolist() for x in np.split(values, ends[:-1])]
         assert got == [library.encode_ordinary(t) for t in part.column(1).to_pylist()]
         assert bpe.decoded(values, ends, bpe.pieces_of(bpe.read_ranks())).to_pylist() == [t.encode() for t in part.column(1).to_pylist()]
