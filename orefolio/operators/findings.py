@@ -97,11 +97,12 @@ def _of(c: Column, values: dict) -> Column:
 
 
 def _copies(rows: DataFrame, key: Column, kind: str, title: str, detail: str) -> DataFrame:
-    """The first row of each key against every later one."""
-    w = Window.partitionBy("__key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first(F.struct("id", "filename", F.coalesce(value_of("mine_name"), value_of("location")).alias("mine_name"),
-                             value_of("company_name").alias("organisation"))).over(w)
-    return (rows.withColumn("__key", key).withColumn("__first", first).where(F.col("id") > F.col("__first.id"))
+    """The first row of each key against every later one. First rows are found by partial aggregates and joined, so that a
+    common key is not one task."""
+    first = F.min_by(F.struct("id", "filename", F.coalesce(value_of("mine_name"), value_of("location")).alias("mine_name"),
+                              value_of("company_name").alias("organisation")), "id")
+    firsts = rows.groupBy(key.alias("__of")).agg(first.alias("__first"))
+    return (rows.select("id", "filename", key.alias("__key")).join(firsts, F.col("__key").eqNullSafe(F.col("__of"))).where(F.col("id") > F.col("__first.id"))
             .select(F.concat_ws(":", F.lit("duplicate"), F.lit(kind), "__first.id", "id").alias("id"), F.lit("duplicate").alias("type"),
                     F.lit("medium").alias("severity"), F.lit(title).alias("title"), F.lit(kind).alias("field_name"),
                     F.col("__first.mine_name").alias("mine_name"), F.col("__first.organisation").alias("organisation"),

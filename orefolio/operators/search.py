@@ -13,6 +13,10 @@ BLOCK = 256
 CONTEXT_CAP = 6000
 
 
+#: Parts that the passages of a search are dealt to.
+SHARDS = 64
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -21,20 +25,22 @@ def with_norm(rows: DataFrame) -> DataFrame:
     return rows.withColumn("norm", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))))
 
 
-def top_k_per_query(questions: DataFrame, passages: DataFrame, k: int = K, organisation: str | None = None, blocks: int = 1) -> DataFrame:
+def top_k_per_query(questions: DataFrame, passages: DataFrame, k: int = K, organisation: str | None = None, blocks: int = 1, shards: int = SHARDS) -> DataFrame:
     """Qid, rank, report_id, chunk_index, page, filename, content, organisation, distance.
 
-    The organisation filter stands below the join. Questions are dealt to `blocks` blocks and every block meets every
-    passage through an equality join on the block, so neither side is assumed to be small; the rank window keeps k rows
-    per question and task before the shuffle.
+    The organisation filter stands below the join. Questions are dealt to `blocks` blocks and passages to `shards` shards, and
+    every block meets every shard through an equality join on both, so neither side is assumed to be small and no key holds
+    all pairs; the rank window keeps k rows per question and task before the shuffle.
     """
     rows = passages if organisation in (None, "ALL") else passages.where(F.col("organisation") == organisation)
     asked = with_norm(questions.select("qid", "embedding")).select(
-        "qid", F.col("embedding").alias("q"), F.col("norm").alias("qn"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
+        "qid", F.col("embedding").alias("q"), F.col("norm").alias("qn"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     right = with_norm(rows.select("report_id", "chunk_index", "page", "filename", "content", "organisation", "embedding")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn(
+        "shard", F.pmod(F.xxhash64("report_id", "chunk_index"), F.lit(shards)))
     cosine = _dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("norm"))
-    scored = right.join(asked, "block").where((F.col("norm") > 0) & (F.col("qn") > 0)).select(
+    scored = right.join(asked, ["block", "shard"]).where((F.col("norm") > 0) & (F.col("qn") > 0)).select(
         "qid", "report_id", "chunk_index", "page", "filename", "content", "organisation", (F.lit(1.0) - cosine).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "report_id", "chunk_index"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -151,8 +151,8 @@ def f4(spark, d):
 
 @query("f5_all_findings", WITH + f", {FINDINGS}, {DECISIONS} SELECT f.*, coalesce(l.status, 'pending') AS decision FROM findings f LEFT JOIN latest l ON f.id = l.finding_id")
 def f5(spark, d):
-    found = D.with_decisions(D.order_findings(D.all_findings(I.reports(spark, d))), I.decisions(spark, d))
-    return found.select(
+    found = D.with_decisions(D.all_findings(I.reports(spark, d)), I.decisions(spark, d))
+    return D.order_findings(found).select(
         "id", "type", "severity", "field_name", "mine_name", "organisation", F.col("source_a.document_id").alias("a_id"), F.col("source_a.value").alias("a_value"),
         F.col("source_b.document_id").alias("b_id"), F.col("source_b.value").alias("b_value"), "detail", "decision")
 
