@@ -363,6 +363,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, most:
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "ids", "decoded"][:len(out)])
 
     walked = staged(rows.mapInArrow(walk, f"doc_id array<{kind}>, ids array<binary>, left binary, opened array<string>"), "walked")
+    hot.destroy()
     folded = walked.select("doc_id", "ids", "left", F.transform("opened", lambda w: fold_merges(w, ranks)).alias("folded"))
     return folded.mapInArrow(fill, f"doc_id {kind}, ids binary" + ", decoded binary" * decode_too)
 

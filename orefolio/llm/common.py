@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_dir, staged  # noqa: F401  the library's, for all operators
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,25 +22,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; own temporary one only where it is unset."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="orefolio-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors,
-    makes costly columns and row tags computed once, and gives later joins true sizes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tagged(df: DataFrame, name: str = "__rid") -> DataFrame:
     """A row tag, so that repeated rows and repeated ids stay apart. Stable on a file scan: it is built of the
     split's number and the row's place in it."""

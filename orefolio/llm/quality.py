@@ -135,12 +135,13 @@ def held_out(column, folds: int, fold: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, most: int) -> DataFrame:
-    """text, y of at most `most` labelled documents outside the held-out fold: those with the smallest id hash."""
+    """text, y of at most `most` labelled documents outside the held-out fold: those with the smallest id hash.
+    Rows without an id take no part; of rows that share an id one is taken, so that the bound holds."""
     ids = (labels.where(labels[label].isNotNull() & ~held_out(labels["doc_id"], folds, fold))
            .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     return (docs.select(docs["doc_id"], text_of(docs).cast("binary").alias("text"))
-            .join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y"))
+            .join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Trees:
