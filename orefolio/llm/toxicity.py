@@ -1,19 +1,22 @@
 """Operator 10: toxicity by weak supervision.
 
-Many voters look at the words of a whole text: a word of a public insult list, or a word beginning that goes with toxic
-labels in the training rows. A generative label model (one hidden class, voters that fire or abstain) estimates by
-expectation-maximisation how often each voter fires in either class, and from what the classes leave unexplained how
-strongly voters are correlated; correlated voters share their weight. Known labels of training rows are one more voter.
-A linear classifier is trained on the posterior labels. Its features are which voters fire and how many distinct words fire
-a voter of at least each level of estimated accuracy; these totals hardly pay for their size, single voters do, so that a
-text with one sure word is judged by the word's level and not by how often that word was seen. Everything is fitted on a
-bounded sample of labelled rows (`MAX_ROWS`).
+Many voters look at the distinct words of a whole text. A lexicon voter fires on a word of a written insult list (four
+languages); a pattern voter fires where one, two, or three and more distinct words begin with some letters. Patterns are
+proposed by the labelled training rows (`FOUND`, `SHARE`), one for each family of words and each number of words.
+
+A generative label model (one hidden class, voters that fire or abstain) is then fitted by expectation-maximisation to the
+votes alone: labels give each voter a starting accuracy worth `PRIOR` firings, which also says which class is the toxic one,
+and the posterior of a row never sees the row's label. From what the classes leave unexplained the model estimates how
+strongly voters are correlated; correlated voters share their weight. A linear classifier is trained on the posterior, on
+which voters fire and on how many distinct words look like any voter's. Everything is fitted on a bounded sample of
+labelled rows (`MAX_ROWS`).
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,17 +30,27 @@ from .quality import held_out, labelled_sample
 MAX_ROWS = 20_000
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
-#: Learned voters at most, and rows that one must have fired on.
-PATTERNS, SUPPORT = 512, 4
-#: Levels of estimated accuracy.
-LEVELS = (0.8, 0.9, 0.97)
+#: Pattern voters at most. A pattern is proposed where its words go with the label by at least FOUND (log-likelihood ratio)
+#: and SHARE of the rows it fires on are toxic.
+PATTERNS, FOUND, SHARE = 512, 12.0, 0.5
+#: Numbers of distinct words that a pattern may ask for; the last stands for more, too.
+WORDS = (1, 2, 3)
+#: Firings that a voter's starting accuracy is worth.
+PRIOR = 10.0
+#: Residual correlation from which voters share their weight.
+LINKED = 0.6
+#: Penalty on the weight of a single voter.
+RIDGE = 0.1
 MEMO = 500_000
 
-# Words of the insult voters.
+# Words of the insult voters, in English, German, French and Spanish.
 INSULTS = """
 bastard clown coward creep crook disgusting dumb dumbass filth fool freak garbage idiot idiotic imbecile jerk lame liar
 loser lunatic maggot moron moronic nasty parasite pathetic pig rat repulsive retard scum scumbag shameful sickening slob
 stupid swine trash ugly useless vermin vile weasel whore worm worthless wretch
+abschaum arschloch blödmann dreckskerl dummkopf erbärmlich idioten mistkerl schwein trottel versager wertlos widerlich
+abruti connard crétin débile dégoûtant imbécile minable ordure pathétique pourriture raclure salaud
+asqueroso basura cabrón escoria estúpido gilipollas idiota imbécil inútil payaso patético repugnante
 """.split()
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -50,62 +63,95 @@ def keys_of(word: str) -> list[str]:
 
 @dataclass
 class Voters:
-    """Voters by what they look for, their levels, and the linear classifier."""
+    """Keys that voters look for, the voters (a key and the number of distinct words asked for), and the linear classifier."""
 
     place: dict[str, int]
-    level: np.ndarray
+    key: np.ndarray
+    asked: np.ndarray
     weights: np.ndarray
     bias: float = 0.0
 
     def fired(self, text: str, memo: dict[str, tuple[int, ...]]) -> np.ndarray:
-        """Which voters fire (0 or 1), then the number of distinct chunks that fire one of at least each level."""
-        n = len(self.place)
-        out = np.zeros(n + len(LEVELS) + 1, np.uint16)
+        """Which voters fire (0 or 1), then the number of distinct chunks that look like any voter's."""
+        counts, any_key = np.zeros(len(self.place), np.int64), 0
         for chunk in set(text.lower().split()):
             found = memo.get(chunk)
             if found is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                memo[chunk] = found = tuple(self.place[k] for w in LETTERS.findall(chunk) for k in keys_of(w) if k in self.place)
+                memo[chunk] = found = tuple({self.place[k] for w in LETTERS.findall(chunk) for k in keys_of(w) if k in self.place})
             if found:
-                out[list(found)] = 1
-                out[n:n + 1 + max(self.level[v] for v in found)] += 1
-        return out
+                counts[list(found)] += 1
+                any_key += 1
+        return np.append(np.minimum(counts, WORDS[-1])[self.key] == self.asked, min(any_key, 65_535)).astype(np.uint16)
 
     def features(self, fired: np.ndarray) -> np.ndarray:
-        words = fired[:, len(self.place):].astype(np.float32)
-        return np.hstack([fired[:, :len(self.place)].astype(np.float32), np.log1p(words), words > 0, words > 1])
+        words = fired[:, len(self.key):].astype(np.float32)
+        return np.hstack([fired[:, :len(self.key)].astype(np.float32), np.log1p(words), *(words >= k for k in WORDS)])
 
     def score(self, fired: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.features(fired) @ self.weights + self.bias)))
 
 
-def label_model(fired: np.ndarray, y: np.ndarray, known_good: int = 0, trust: float = 0.98, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the toxic class per row, the accuracy of each voter when it fires, and its weight (1: independent of
-    all others). The first known_good voters start from an assumed accuracy of 0.9, worth two votes. fired holds 0 and 1;
-    all that is made of its size are two products."""
+def family_voters(candidates: list[tuple[str, int, float]], listed: Iterable[str] = (), most: int = PATTERNS) -> list[tuple[str, int]]:
+    """Of candidates (key, asked, merit) the best of each family and number of words: a key goes where a better one begins it or begins
+    with it, so that one voter stands for all words of a family. Words listed have a voter already."""
+    kept: list[tuple[str, int]] = []
+    taken = {1: (set(listed), {word[:k] for word in listed for k in range(1, len(word) + 1)})}
+    for key, asked, _ in sorted(candidates, key=lambda c: (-c[2], c[0], c[1])):
+        word = key.lstrip("=")
+        words, starts = taken.setdefault(asked, (set(), set()))
+        if word not in starts and not any(word[:k] in words for k in range(1, len(word) + 1)):
+            kept.append((key, asked))
+            words.add(word)
+            starts.update(word[:k] for k in range(1, len(word) + 1))
+    return kept[:most]
+
+
+@dataclass
+class LabelModel:
+    """What the votes say: posterior of the toxic class per row; per voter the share of its firings that are toxic, its weight
+    where all others correlated with it fire too (1: independent of all others) and how often it fires in either class; residual correlations of voters; the prior."""
+
+    posterior: np.ndarray
+    accuracy: np.ndarray
+    weight: np.ndarray
+    in_toxic: np.ndarray
+    in_clean: np.ndarray
+    correlation: np.ndarray
+
+
+def label_model(fired: np.ndarray, stated: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
+    """Fit to the votes (rows by voters, 0 and 1). stated: each voter's starting accuracy, worth `PRIOR` firings; prior: the
+    share of toxic rows, which stays. All that is made of the votes' size are two products."""
     n, m = fired.shape
-    known = np.log(trust / (1 - trust)) * (2 * y - 1)
-    posterior = 1 / (1 + np.exp(-known))
-    weight = np.ones(m)
+    fired = fired.astype(np.float32)
+    fires = fired.sum(0).astype(float)
     together = (fired.T @ fired).astype(float)
+    posterior = 1 - np.exp(fired @ np.log(1 - np.clip(stated, 0, 0.999)))  # any of the voters that fire is right
+    weight, linked, alike = np.ones(m), np.zeros((m, m)), np.zeros((m, m), np.float32)
     for turn in range(rounds):
-        total = posterior.sum()
-        prior = (total + 1) / (n + 2)
-        in_toxic = (posterior.astype(np.float32) @ fired + 0.5) / (total + 1)
-        in_clean = ((1 - posterior).astype(np.float32) @ fired + 0.5) / (n - total + 1)
+        total = float(posterior.sum())
+        toxic = posterior.astype(np.float32) @ fired
+        accuracy = (toxic + PRIOR * stated) / (fires + PRIOR)
+        in_toxic = np.minimum((accuracy * fires + 0.01) / (total + 0.02), 0.99)
+        in_clean = np.minimum(((1 - accuracy) * fires + 0.01) / (n - total + 0.02), 0.99)
         if turn % 10 == 5:  # covariance that the classes leave unexplained
-            rest = together / n - total / n * np.outer(in_toxic, in_toxic) - (1 - total / n) * np.outer(in_clean, in_clean)
+            p, q = toxic / max(total, 1e-9), (fires - toxic) / max(n - total, 1e-9)
+            rest = together / n - total / n * np.outer(p, p) - (1 - total / n) * np.outer(q, q)
             scale = np.sqrt(np.maximum(np.diag(rest), 1e-9))
-            linked = np.abs(rest / np.outer(scale, scale))
+            linked = rest / np.outer(scale, scale)
             np.fill_diagonal(linked, 0)
-            weight = 1 / (1 + np.where(linked > 0.2, np.minimum(linked, 1), 0).sum(0))
-        fires, abstains = weight * np.log(in_toxic / in_clean), weight * np.log((1 - in_toxic) / (1 - in_clean))
-        odds = fired @ (fires - abstains).astype(np.float32) + abstains.sum()
-        posterior = 1 / (1 + np.exp(-np.clip(odds + np.log(prior / (1 - prior)) + known, -30, 30)))
-    votes = np.where(np.arange(m) < known_good, 2.0, 1.0)
-    accuracy = (posterior.astype(np.float32) @ fired + np.where(votes > 1, 1.8, 0.5)) / (fired.sum(0) + votes)
-    return posterior, accuracy, weight
+            alike = np.where(np.abs(linked) > LINKED, np.minimum(np.abs(linked), 1), 0).astype(np.float32)
+            weight = 1 / (1 + alike.sum(0))
+        yes, no = np.log(in_toxic / in_clean).astype(np.float32), np.log((1 - in_toxic) / (1 - in_clean))
+        odds = no.sum() - fired @ no.astype(np.float32)
+        for k in range(0, n, 4096):  # of voters that fire on a row, those that are correlated share their weight
+            part = fired[k:k + 4096]
+            odds[k:k + 4096] += (part / (1 + part @ alike)) @ yes
+        posterior = 1 / (1 + np.exp(-np.clip(odds + np.log(prior / (1 - prior)), -30, 30)))
+    accuracy = (posterior.astype(np.float32) @ fired + PRIOR * stated) / (fires + PRIOR)
+    return LabelModel(posterior, accuracy, weight, in_toxic, in_clean, linked)
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, ridge: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, float]:
@@ -126,44 +172,49 @@ def fit_linear(x: np.ndarray, target: np.ndarray, ridge: np.ndarray, rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Voters:
-    """Fit on the sample. Its texts stay on the executors: the driver gets distinct keys and counts."""
+    """Fit on the sample. Its texts stay on the executors: the driver gets keys that pass, votes and counts."""
     sample = staged(labelled_sample(docs, labels, "toxic", FOLDS, HELD, most), "toxic-sample")
 
     def keys(batches):
         for batch in batches:
-            out = [sorted({k for w in set(LETTERS.findall(t.as_py().decode().lower())) for k in keys_of(w)}) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(out, pa.list_(pa.string()))],
-                                             names=["doc_id", "y", "keys"])
-
-    rows = sample.mapInArrow(keys, "doc_id long, y int, keys array<string>")
-    sums = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    share = sums[1] / sums[0] if sums[0] else 0.0
-    z = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1e-9)
-    learned = (rows.select("y", F.explode("keys").alias("key")).groupBy("key")
-               .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("t"))
-               .where((F.col("n") >= SUPPORT) & (F.col("t") >= F.col("n") * max(0.5, 3 * share)))
-               .orderBy(F.desc(z), "key").limit(PATTERNS))
-    place = {key: k for k, key in enumerate(dict.fromkeys(["=" + w for w in INSULTS] + [r["key"] for r in learned.collect()]))}
-    voters = Voters(place, np.zeros(len(place), int), np.zeros(len(place) + 3 * (len(LEVELS) + 1)))
-
-    def fired(voters: Voters) -> tuple[np.ndarray, np.ndarray]:
-        def run(batches):
-            memo: dict[str, tuple[int, ...]] = {}
-            for batch in batches:
-                x = [voters.fired(t.as_py().decode(), memo).tobytes() for t in batch.column("text")]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
-
-        found = sample.mapInArrow(run, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "y"], kind="stable")
-        return np.frombuffer(b"".join(map(bytes, found["x"])), np.uint16).reshape(len(found), len(place) + len(LEVELS) + 1), found["y"].to_numpy(float)
-
-    x, y = fired(voters)
-    if not len(x):
+            out = [list(Counter(k for w in set(LETTERS.findall(t.as_py().decode().lower())) for k in keys_of(w)).items()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("y"), pa.array([[{"key": k, "c": c} for k, c in row] for row in out], pa.list_(pa.struct([("key", pa.string()), ("c", pa.int32())])))],
+                names=["y", "keys"])
+
+    rows, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    share = min(max(toxic / rows, 1e-6), 1 - 1e-6) if rows else 0.5
+    n, t = F.col("n"), F.col("t")
+    merit = 2 * (t * F.log(t / (n * share)) + F.when(n > t, (n - t) * F.log((n - t) / (n * (1 - share)))).otherwise(0.0))
+    asks = lambda k: F.least(F.col("c"), F.lit(WORDS[-1])) == k
+    counted = (sample.mapInArrow(keys, "y int, keys array<struct<key:string,c:int>>").select("y", F.inline("keys"))
+               .groupBy("key").agg(*[F.count_if(asks(k)).alias(f"n{k}") for k in WORDS],
+                                   *[F.sum(F.when(asks(k), F.col("y")).otherwise(0)).alias(f"t{k}") for k in WORDS])
+               .select("key", F.inline(F.array(*[F.struct(F.lit(k).alias("asked"), F.col(f"n{k}").alias("n"), F.col(f"t{k}").alias("t")) for k in WORDS]))))
+    passing = (counted.where((t >= n * SHARE) & (t > n * share) & (t > 0)).withColumn("merit", merit).where(F.col("merit") >= FOUND)
+               .orderBy(F.desc("merit"), "key", "asked").limit(16 * PATTERNS).collect())
+    lexicon = [("=" + w, 1) for w in INSULTS]
+    listed = {r["key"]: (r["n"], r["t"]) for r in counted.where(F.col("key").isin([k for k, _ in lexicon]) & (F.col("asked") == 1)).collect()}
+    mined = {(r["key"], r["asked"]): (r["n"], r["t"]) for r in passing if (r["key"], 1) not in set(lexicon)}
+    chosen = lexicon + family_voters([(r["key"], r["asked"], r["merit"]) for r in passing if (r["key"], r["asked"]) in mined], listed=INSULTS)
+    stated = np.array([(listed.get(k, (0, 0))[1] + 1.8) / (listed.get(k, (0, 0))[0] + 2) if v < len(lexicon) else (mined[k, c][1] + 0.5) / (mined[k, c][0] + 1)
+                       for v, (k, c) in enumerate(chosen)])
+    place = {key: at for at, key in enumerate(dict.fromkeys(k for k, _ in chosen))}
+    voters = Voters(place, np.array([place[k] for k, _ in chosen]), np.array([c for _, c in chosen]), np.zeros(len(chosen) + 1 + len(WORDS)))
+
+    def run(batches):
+        memo: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            x = [voters.fired(text.as_py().decode(), memo).tobytes() for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.binary())], names=["doc_id", "x"])
+
+    found = sample.mapInArrow(run, "doc_id long, x binary").toPandas().sort_values("doc_id", kind="stable")
+    if not len(found):
         return voters
-    posterior, accuracy, _ = label_model(x[:, :len(place)].astype(np.float32), y, len(INSULTS))
-    voters.level = np.searchsorted(LEVELS, accuracy, side="right")
-    x, _ = fired(voters)
+    x = np.frombuffer(b"".join(map(bytes, found["x"])), np.uint16).reshape(len(found), len(chosen) + 1)
+    posterior = label_model(x[:, :len(chosen)], stated, share).posterior
     ridge = np.full(len(voters.weights), 0.01)
-    ridge[:len(place)] = 20.0
+    ridge[:len(chosen)] = RIDGE
     voters.weights, voters.bias = fit_linear(voters.features(x), posterior, ridge)
     return voters
 

@@ -2,6 +2,7 @@
 repeated rows, empty tables, extra columns whose names clash with inner ones."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -288,10 +289,46 @@ def test_toxicity(spark, docs):
 def test_label_model_finds_the_classes():
     rng = np.random.default_rng(3)
     y = rng.random(3000) < 0.2
-    fired = np.stack([rng.random(3000) < np.where(y, a, b) for a, b in ((0.7, 0.02), (0.6, 0.03), (0.1, 0.1))] , 1).astype(np.float32)
+    fired = np.stack([rng.random(3000) < np.where(y, a, b) for a, b in ((0.7, 0.02), (0.6, 0.03), (0.5, 0.02), (0.1, 0.1))], 1).astype(np.float32)
     fired = np.hstack([fired, fired[:, :1]])  # a voter that repeats another
-    posterior, accuracy, weight = toxicity.label_model(fired, y.astype(float))
-    assert ((posterior > 0.5) == y).mean() > 0.97 and weight[3] < 0.7 < weight[2] and accuracy[0] > 0.8 > 0.5 > accuracy[2]
+    stated = np.array([0.8, 0.8, 0.8, 0.3, 0.8])
+    model = toxicity.label_model(fired, stated, 0.2)
+    best = np.log(0.25) + sum(np.where(fired[:, v], np.log(p / q), np.log((1 - p) / (1 - q))) for v, (p, q) in enumerate(((0.7, 0.02), (0.6, 0.03), (0.5, 0.02), (0.1, 0.1))))
+    assert ((model.posterior > 0.5) == y).mean() > ((best > 0) == y).mean() - 0.05  # the rule that knows the true rates
+    assert model.weight[4] < 0.7 < model.weight[3]
+    truth = np.array([y[fired[:, v] > 0].mean() for v in range(5)])
+    assert np.abs(model.accuracy - truth).max() < 0.12 and model.accuracy[3] < 0.4
+    assert model.correlation[0, 4] > 0.9 and np.abs(model.correlation[:4, :4]).max() < 0.6
+    turned = toxicity.label_model(fired, stated, 0.2).posterior  # labels are no input: wrong ones cannot be followed
+    wrong = np.where(rng.random(3000) < 0.1, ~y, y)
+    assert np.array_equal(turned, model.posterior) and ((turned > 0.5) != wrong).mean() > 0.05
+
+
+def test_label_model_against_a_plain_loop():
+    rng = np.random.default_rng(5)
+    y = rng.random(400) < 0.3
+    fired = np.stack([rng.random(400) < np.where(y, a, b) for a, b in ((0.6, 0.05), (0.5, 0.04), (0.4, 0.1))], 1).astype(np.float32)
+    stated, prior = np.array([0.7, 0.8, 0.6]), 0.3
+    post = [1.0 - math.prod(1 - s for s, f in zip(stated, row) if f) for row in fired]
+    for _ in range(5):  # before the first estimate of correlations
+        total, yes, no = sum(post), [], []
+        for v in range(3):
+            fires = sum(row[v] for row in fired)
+            right = (sum(p for p, row in zip(post, fired) if row[v]) + toxicity.PRIOR * stated[v]) / (fires + toxicity.PRIOR)
+            a, b = (right * fires + 0.01) / (total + 0.02), ((1 - right) * fires + 0.01) / (len(fired) - total + 0.02)
+            yes.append(math.log(a / b))
+            no.append(math.log((1 - a) / (1 - b)))
+        odds = [sum(yes[v] if row[v] else no[v] for v in range(3)) + math.log(prior / (1 - prior)) for row in fired]
+        post = [1 / (1 + math.exp(-o)) for o in odds]
+    assert np.allclose(toxicity.label_model(fired, stated, prior, 5).posterior, post, atol=1e-4)
+
+
+def test_voters_of_families_and_numbers_of_words():
+    assert toxicity.family_voters([("abc", 1, 5.0), ("abcd", 1, 9.0), ("=abcde", 1, 3.0), ("abc", 2, 4.0), ("xyz", 1, 1.0)]) == [("abcd", 1), ("abc", 2), ("xyz", 1)]
+    assert toxicity.family_voters([("tra", 1, 5.0), ("=trashy", 1, 4.0), ("xyz", 1, 1.0)], ["trash"]) == [("xyz", 1)]
+    voters = toxicity.Voters({"abc": 0, "=idiot": 1}, np.array([1, 0, 0, 0]), np.array([1, 1, 2, 3]), np.zeros(8))
+    for text, want in (("", [0, 0, 0, 0, 0]), ("Idiot! abcx", [1, 1, 0, 0, 2]), ("abcx abcx abcy", [0, 0, 1, 0, 2]), ("abc1 abcd abce abcf", [0, 0, 0, 1, 4])):
+        assert voters.fired(text, {}).tolist() == want
 
 
 def plain_spans(t):
