@@ -32,13 +32,13 @@ FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 #: Pattern voters at most. A pattern is proposed where its words go with the label by at least FOUND (log-likelihood ratio)
 #: and SHARE of the rows it fires on are toxic.
-PATTERNS, FOUND, SHARE = 512, 12.0, 0.5
+PATTERNS, FOUND, SHARE = 512, 17.0, 0.5
 #: Numbers of distinct words that a pattern may ask for; the last stands for more, too.
 WORDS = (1, 2, 3)
 #: Firings that a voter's starting accuracy is worth.
 PRIOR = 10.0
 #: Residual correlation from which voters share their weight.
-LINKED = 0.6
+LINKED = 0.8
 #: Penalty on the weight of a single voter.
 RIDGE = 0.1
 MEMO = 500_000
@@ -144,11 +144,11 @@ def label_model(fired: np.ndarray, stated: np.ndarray, prior: float, rounds: int
             np.fill_diagonal(linked, 0)
             alike = np.where(np.abs(linked) > LINKED, np.minimum(np.abs(linked), 1), 0).astype(np.float32)
             weight = 1 / (1 + alike.sum(0))
-        yes, no = np.log(in_toxic / in_clean).astype(np.float32), np.log((1 - in_toxic) / (1 - in_clean))
-        odds = no.sum() - fired @ no.astype(np.float32)
-        for k in range(0, n, 4096):  # of voters that fire on a row, those that are correlated share their weight
+        yes, no = np.log(in_toxic / in_clean).astype(np.float32), np.log((1 - in_toxic) / (1 - in_clean)).astype(np.float32)
+        odds = np.zeros(n, np.float32)
+        for k in range(0, n, 4096):  # of the voters that fire on a row, and of those that abstain, correlated ones share their weight
             part = fired[k:k + 4096]
-            odds[k:k + 4096] += (part / (1 + part @ alike)) @ yes
+            odds[k:k + 4096] = (part / (1 + part @ alike)) @ yes + ((1 - part) / (1 + (1 - part) @ alike)) @ no
         posterior = 1 / (1 + np.exp(-np.clip(odds + np.log(prior / (1 - prior)), -30, 30)))
     accuracy = (posterior.astype(np.float32) @ fired + PRIOR * stated) / (fires + PRIOR)
     return LabelModel(posterior, accuracy, weight, in_toxic, in_clean, linked)
