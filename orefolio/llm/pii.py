@@ -1,15 +1,21 @@
 """Operator 1: personal data by patterns and a character-level bidirectional LSTM with CRF transitions.
 
-The patterns give the base spans. The network is trained in numpy on windows around labelled spans of a bounded sample of
-documents (`SAMPLE_DOCS`, smallest hash of id among those with a digit or an at sign). In a text, overlapping windows are
-laid over every place with a digit or an at sign: a span of the kinds it knows cannot do without one, so all other places
-are outside by rule. Windows are decoded on their own; spans that touch a window's edge are left to its neighbour, and the
-rest are reconciled over the whole text, the surest first, against each other and the base spans, which always stay.
+The patterns give the base spans. The network is trained in numpy on windows of a bounded sample of documents
+(`SAMPLE_DOCS`, smallest hash of id and text among those with a place to look at; `SAMPLE_WINDOWS` of one document at most). Its labelled spans are the base spans as
+they stand and rewritten ones: seven base spans in ten are written as people disguise or misspell it (`rewrite`: spelled-out
+at and dot, brackets, other separators, broken grouping, lines cut within a number), which no pattern matches and which
+keeps its label. Numbers that are no base span stay as they are, labelled outside.
+
+In a text, overlapping windows are laid over every place with a digit, an at sign or a spelled-out one (`TRIGGER`).
+The tag probabilities of all windows over a place are averaged, a window counting less near its edges; the places that are
+not surely outside are then decoded together into one path over the text. Base spans always stay; of the path's spans those
+that are sure enough (`SURE`) and touch no base span are added.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -21,10 +27,15 @@ from .common import documents, staged, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 1500
-WINDOW, STRIDE = 64, 32
+#: Times that a document is rewritten for training.
+TIMES = 4
+#: Training windows of one document at most, drawn from its whole text.
+SAMPLE_WINDOWS = 64
+WINDOW, STRIDE = 96, 48
 EMBED, HIDDEN = 12, 20
 TAGS = 1 + 2 * len(KINDS)
-SURE = 0.9
+#: Least mean probability of an added span's tags, and the probability from which a place is outside for certain.
+SURE, OUTSIDE = 0.9, 0.999
 
 # The base patterns of the contract. Lookbehind and possessive repeats only keep them linear.
 EMAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -32,7 +43,8 @@ EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = "[0-9@]"
+TRIGGER = r"(?i)[0-9@]|\bdot\b|[\[({<] ?at ?[\])}>]"
+TRIGGERS = re.compile(TRIGGER)
 
 
 def luhn(digits: str) -> bool:
@@ -94,13 +106,42 @@ def tags_of(spans, n: int) -> np.ndarray:
 
 
 def windows_of(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an at sign."""
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    hits = np.flatnonzero(((points >= 48) & (points <= 57)) | (points == 64))
-    if not len(hits):
-        return []
-    cells = np.unique(hits // STRIDE)
-    return sorted({max(0, int(c) - k) * STRIDE for c in cells for k in range(WINDOW // STRIDE)})
+    """Starts of the windows over the places to look at."""
+    cells = {m.start() // STRIDE for m in TRIGGERS.finditer(text)}
+    return sorted({max(0, c - k) * STRIDE for c in cells for k in range(WINDOW // STRIDE)})
+
+
+def rewrite(kind: str, text: str, rng: random.Random) -> str:
+    """A span as people disguise or misspell it; of no base pattern's form."""
+    if kind == "email":
+        name, _, host = text.partition("@")
+        at, dot = rng.choice([(" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", "."), ("(at)", "."), (" @ ", "."), ("@ ", " . "), ("{at}", "{dot}")])
+        return (name.replace(".", dot) if rng.random() < 0.5 else name) + at + host.replace(".", dot)
+    if kind == "ip":
+        return rng.choice(["[.]", " . ", "-", ",", " dot ", "(.)"]).join(text.split("."))
+    digits = _digits(text)
+    if kind == "card":
+        return rng.choice([".", "/", "  ", " - ", "_", "\n"]).join(digits[k:k + 4] for k in range(0, len(digits), 4))
+    head, tail = digits[:-10], digits[-10:]
+    body = rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{}/{}/{}", "{} {}\n{}"]).format(tail[:3], tail[3:6], tail[6:])
+    return rng.choice(["", f"00{head} ", f"+ {head} ", f"tel. {head}."]) + body if len(digits) > 9 else " ".join(digits)
+
+
+def rewritten(text: str, seed: int) -> tuple[str, list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """The text with seven base spans in ten rewritten, the spans in their new places, and the rewritten ones among them."""
+    rng, out, spans, new, last, size = random.Random(seed), [], [], [], 0, 0
+    for kind, a, b in sorted(base_spans(text), key=lambda s: (s[1], -s[2])):
+        if a < last:
+            continue
+        turn = rng.random() < 0.7
+        part = rewrite(kind, text[a:b], rng) if turn else text[a:b]
+        out += [text[last:a], part]
+        size += a - last
+        spans.append((kind, size, size + len(part)))
+        if turn:
+            new.append(spans[-1])
+        size, last = size + len(part), b
+    return "".join([*out, text[last:]]), spans, new
 
 
 def _sigmoid(x):
@@ -124,6 +165,13 @@ class Tagger:
             self.banned[[1 + 2 * k, 2 + 2 * k], 2 + 2 * k] = 0
         self.begin = np.array([0] + [0, -1e4] * len(KINDS), np.float32)
 
+    @classmethod
+    def constraints(cls) -> Tagger:
+        """A tagger whose transitions allow or forbid and weigh nothing: it decodes averaged probabilities."""
+        plain = cls()
+        plain.p["move"][:] = 0
+        return plain
+
     def _lstm(self, x: np.ndarray, way: str):
         n, steps = x.shape[:2]
         h = c = np.zeros((n, HIDDEN), np.float32)
@@ -208,7 +256,7 @@ class Tagger:
         np.add.at(g["embed"], codes, dx)
         return {k: v / n for k, v in g.items()}
 
-    def fit(self, codes: np.ndarray, tags: np.ndarray, steps: int = 220, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Tagger:
+    def fit(self, codes: np.ndarray, tags: np.ndarray, steps: int = 600, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Tagger:
         rng = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -227,71 +275,96 @@ def _window(codes: np.ndarray, start: int, pad: int) -> np.ndarray:
     return part if len(part) == WINDOW else np.concatenate([part, np.full(WINDOW - len(part), pad)])
 
 
-def training_windows(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and tags of the windows of one text; tags of a span that a window cuts are inside tags from its first place
-    on, so its first place is made a beginning."""
-    codes, tags = codes_of(text), tags_of(base_spans(text), len(text))
-    x = [_window(codes, s, CODES - 1) for s in windows_of(text)]
-    y = [_window(tags, s, 0).copy() for s in windows_of(text)]
+def training_windows(text: str, spans: list[tuple[str, int, int]] | None = None, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and tags of the windows of one text (spans: the base spans, if not given); tags of a span that a window cuts are
+    inside tags from its first place on, so its first place is made a beginning."""
+    codes, tags, starts = codes_of(text), tags_of(base_spans(text) if spans is None else spans, len(text)), windows_of(text)
+    starts = sorted(random.Random(seed).sample(starts, SAMPLE_WINDOWS)) if len(starts) > SAMPLE_WINDOWS else starts
+    x = [_window(codes, s, CODES - 1) for s in starts]
+    y = [_window(tags, s, 0).copy() for s in starts]
     for row in y:
         if row[0] and row[0] % 2 == 0:
             row[0] -= 1
     return np.array(x, np.int64).reshape(-1, WINDOW), np.array(y, np.int64).reshape(-1, WINDOW)
 
 
-def _plausible(kind: str, text: str) -> bool:
-    n = len(_digits(text))
-    return {"email": "@" in text[1:-1], "ip": n >= 4 and text.count(".") == 3, "card": n >= 12, "phone": n >= 7}[kind] and text == text.strip()
+_EDGE = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
 
 
-def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger: Tagger, block: int = 1024) -> list[list[tuple[str, int, int]]]:
-    """What the network adds to the base spans of each text."""
+def mean_marginals(texts: list[str], tagger: Tagger, block: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text the places that windows cover, in order, and the mean tag probabilities there."""
+    codes = [codes_of(t) for t in texts]
     where = [(k, s) for k, text in enumerate(texts) for s in windows_of(text)]
-    codes: dict[int, np.ndarray] = {}
-    found: list[list[tuple[float, int, int, str]]] = [[] for _ in texts]
+    covered = [np.zeros(len(t), bool) for t in texts]
+    for k, s in where:
+        covered[k][s:s + WINDOW] = True
+    places = [np.flatnonzero(c) for c in covered]
+    sums = [np.zeros((len(p), TAGS), np.float32) for p in places]
     for at in range(0, len(where), block):
         part = where[at:at + block]
-        codes = {k: codes[k] if k in codes else codes_of(texts[k]) for k in {k for k, _ in part}}
-        e, _ = tagger.emissions(np.stack([_window(codes[k], s, CODES - 1) for k, s in part]))
-        paths, sure = tagger.viterbi(e), tagger.marginals(e)[0]
-        for row in np.flatnonzero(paths.any(1)):
-            k, s = part[row]
-            path, width = paths[row], min(WINDOW, len(texts[k]) - s)
-            for first in np.flatnonzero(path % 2 == 1):
-                stop = int(first) + 1
-                while stop < WINDOW and path[stop] == path[first] + 1:
+        one = tagger.marginals(tagger.emissions(np.stack([_window(codes[k], s, CODES - 1) for k, s in part]))[0])[0] * _EDGE
+        for row, (k, s) in enumerate(part):
+            width = min(WINDOW, len(texts[k]) - s)
+            first = int(np.searchsorted(places[k], s))
+            sums[k][first:first + width] += one[row, :width]
+    return [(p, m / np.maximum(m.sum(1, keepdims=True), 1e-9)) for p, m in zip(places, sums)]
+
+
+def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
+    """What the network adds to the base spans of each text: the spans of one path over the text."""
+    found = mean_marginals(texts, tagger)
+    stretches = []  # runs of neighbouring places that are not surely outside, padded by nothing: outside borders them
+    for k, (places, mean) in enumerate(found):
+        open_ = np.flatnonzero(mean[:, 0] < OUTSIDE)
+        if len(open_):
+            cuts = np.flatnonzero((np.diff(open_) > 1) | (np.diff(places[open_]) > 1)) + 1
+            stretches += [(len(run), k, int(run[0])) for run in np.split(open_, cuts)]
+    stretches.sort()
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    free = [np.ones(len(t), bool) for t in texts]
+    for k, spans in enumerate(base):
+        for _, a, b in spans:
+            free[k][a:b] = False
+    decoder = Tagger.constraints()
+    for at in range(0, len(stretches), 256):
+        part = stretches[at:at + 256]
+        e = np.full((len(part), part[-1][0], TAGS), -30.0, np.float32)
+        e[:, :, 0] = 0
+        for row, (n, k, first) in enumerate(part):
+            e[row, :n] = np.log(np.maximum(found[k][1][first:first + n], 1e-13))
+        paths = decoder.viterbi(e)
+        for row, (n, k, first) in enumerate(part):
+            path, (places, mean) = paths[row], found[k]
+            for start in np.flatnonzero(path[:n] % 2 == 1):
+                stop = int(start) + 1
+                while stop < n and path[stop] == path[start] + 1:
                     stop += 1
-                whole = (first > 0 or s == 0) and (stop < width or s + width == len(texts[k])) and stop <= width
-                p = float(sure[row, np.arange(first, stop), path[first:stop]].min())
-                kind = KINDS[(path[first] - 1) // 2]
-                if whole and p >= SURE and _plausible(kind, texts[k][s + first:s + stop]):
-                    found[k].append((-p, s + int(first), s + stop, kind))
-    out = []
-    for spans, known in zip(found, base):
-        taken = [(a, b) for _, a, b in known]
-        new = []
-        for _, a, b, kind in sorted(spans):
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
-                new.append((kind, a, b))
-        out.append(new)
-    return out
+                sure = float(np.exp(e[row, np.arange(start, stop), path[start:stop]]).mean())
+                a, b = int(places[first + start]), int(places[first + stop - 1]) + 1
+                while a < b and texts[k][a].isspace():
+                    a += 1
+                while a < b and texts[k][b - 1].isspace():
+                    b -= 1
+                if sure >= SURE and a < b and free[k][a:b].all():
+                    out[k].append((KINDS[(path[start] - 1) // 2], a, b))
+    return [sorted(spans, key=lambda s: s[1]) for spans in out]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS) -> Tagger:
     sample = (docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
-              .where(F.col("text").rlike(TRIGGER) & (F.length("text") <= 20_000)))
+              .where(F.col("text").rlike(TRIGGER)))
     keep = staged(sample.select("id", F.xxhash64("id", "text").alias("h")).orderBy("h", "id").limit(most), "pii-sample")
 
     def run(batches):
         for batch in batches:
-            found = [training_windows(t.as_py()) for t in batch.column(1)]
+            found = [tuple(map(np.concatenate, zip(*(training_windows(*rewritten(t.as_py(), h.as_py() + k)[:2]) for k in range(TIMES)))))
+                     for h, t in zip(batch.column(0), batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x.astype(np.int8).tobytes() for x, _ in found]), pa.array([y.astype(np.int8).tobytes() for _, y in found])],
                 names=["h", "x", "y"])
 
     rows = (sample.withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(keep.select("h").distinct()), "h")  # `most` rows
-            .select("h", "text").mapInArrow(run, "h long, x binary, y binary").orderBy("h").toPandas())
+            .groupBy("h").agg(F.min("text").alias("text")).mapInArrow(run, "h long, x binary, y binary").orderBy("h").toPandas())
     both = [np.frombuffer(b"".join(map(bytes, rows[c])), np.int8).reshape(-1, WINDOW).astype(np.int64) for c in "xy"]
     return Tagger().fit(*both)
 

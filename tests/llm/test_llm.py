@@ -2,6 +2,7 @@
 repeated rows, empty tables, extra columns whose names clash with inner ones."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -350,17 +351,77 @@ def test_base_spans():
 
 def test_pii(spark, docs, real):
     texts = spark.createDataFrame([(101, "write to jo.smith42@mail7.example.com or +1 (415) 555-2671 from 10.0.0.1"), (102, None), (103, "4111 1111 1111 1111 ok"), (103, "4111 1111 1111 1111 ok")], "doc_id long, text string")
-    tagger = pii.train(real)
+    large = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    tagger = pii.train(large.where("doc_id % 7 != 3"))
     found = [(r["doc_id"], [tuple(s) for s in r["base"]], [tuple(s) for s in r["spans"]]) for r in pii.find_pii(texts, tagger).collect()]
     by = {i: (b, s) for i, b, s in found}
     assert by[102] == ([], []) and len(found) == 4
     for r in texts.collect():
         assert by[r["doc_id"]][0] == plain_spans(r["text"] or "") and set(by[r["doc_id"]][0]) <= set(by[r["doc_id"]][1])
+    fresh = large.where("doc_id % 7 = 3").orderBy("doc_id")
+    written, wanted = [], {}
+    for r in fresh.collect():  # spans that no pattern matches, in documents the tagger was not trained on
+        text, _, new = pii.rewritten(r["text"] or "", r["doc_id"])
+        written.append((r["doc_id"], text))
+        wanted[r["doc_id"]] = new
+    found = pii.find_pii(spark.createDataFrame(written, "doc_id long, text string"), tagger).collect()
+    added = {r["doc_id"]: [tuple(s) for s in r["spans"] if s not in r["base"]] for r in found}
+    hit = sum(len(set(wanted[i]) & set(added[i])) for i in wanted)
+    assert hit / sum(map(len, wanted.values())) > 0.6 and hit / sum(map(len, added.values())) > 0.8
     assert pii.find_pii(docs, tagger).count() == len(TEXTS) and pii.find_pii(docs.limit(0), tagger).count() == 0
     assert pii.train(docs.limit(0)).p["move"].shape == (pii.TAGS, pii.TAGS)
     assert pii.plain_digest([("phone", 1, 2), ("email", 5, 9), ("email", 3, 4)]) == hashlib.sha256(b"email:3:4,email:5:9,phone:1:2").hexdigest()
 
 
+def test_paths_against_enumeration():
+    tagger = pii.Tagger(4)
+    rng = np.random.default_rng(6)
+    tagger.p["move"] = rng.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+    e = rng.standard_normal((2, 4, pii.TAGS)).astype(np.float32) * 2
+    move = tagger.p["move"] + tagger.banned
+    paths = list(itertools.product(range(pii.TAGS), repeat=4))
+    for k in range(2):
+        score = np.array([tagger.begin[p[0]] + sum(e[k, t, p[t]] for t in range(4)) + sum(move[a, b] for a, b in zip(p, p[1:])) for p in paths], float)
+        assert tuple(tagger.viterbi(e)[k]) == paths[int(score.argmax())]
+        chance = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        want = np.zeros((4, pii.TAGS))
+        for p, c in zip(paths, chance):
+            want[np.arange(4), p] += c
+        assert np.allclose(tagger.marginals(e)[0][k], want, atol=1e-4)
+
+
+def test_windows_are_averaged_over_the_text():
+    tagger = pii.Tagger(2)
+    text = "word " * 30 + "call 415 555 2671 now " + "word " * 30 + "x"
+    (places, mean), = pii.mean_marginals([text], tagger)
+    starts = pii.windows_of(text)
+    assert sorted(places) == sorted({p for s in starts for p in range(s, min(s + pii.WINDOW, len(text)))}) and np.allclose(mean.sum(1), 1, atol=1e-4)
+    at = text.index("555")
+    total = np.zeros(pii.TAGS)
+    for s in starts:
+        if s <= at < s + pii.WINDOW:
+            codes = np.full(pii.WINDOW, pii.CODES - 1)
+            part = pii.codes_of(text)[s:s + pii.WINDOW]
+            codes[:len(part)] = part
+            total += tagger.marginals(tagger.emissions(codes[None])[0])[0][0, at - s] * min(at - s + 1, pii.WINDOW - (at - s))
+    assert np.allclose(mean[list(places).index(at)], total / total.sum(), atol=1e-4)
+    long = "1" * 40_000  # every place is looked at
+    assert len(pii.mean_marginals([long], tagger)[0][0]) == 40_000 and pii.mean_marginals(["", "no place"], tagger)[1][0].size == 0
+    assert all(0 <= a < b <= 40_000 for _, a, b in pii.added_spans([long], [[]], tagger)[0])
+
+
+def test_rewritten_spans_leave_the_patterns():
+    text = "mail a.b7@c.de or 10.0.0.1 and +1 (415) 555-2671 or 4111 1111 1111 1111 end"
+    kinds = set()
+    for seed in range(200):
+        out, spans, new = pii.rewritten(text, seed)
+        assert len(spans) == 4 and [k for k, _, _ in spans] == ["email", "ip", "phone", "card"] and set(new) <= set(spans)
+        assert out.startswith("mail ") and out.endswith(" end") and pii.windows_of(out)
+        assert not set(new) & set(pii.base_spans(out))
+        kinds |= {k for k, _, _ in new}
+    assert kinds == set(pii.KINDS) and pii.rewritten("", 1) == ("", [], [])
+
+
 def test_tagger_gradients():
     tagger = pii.Tagger(1)
     x, y = pii.training_windows("mail a.b7@c.de or 10.0.0.1 and +1 (415) 555-2671 but not 12 of 99 things")
