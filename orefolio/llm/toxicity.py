@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged, text_of
+from .common import SLICE, documents, slices, staged, text_of
 from .quality import held_out, labelled_sample
 
 MAX_ROWS = 20_000
@@ -176,27 +176,32 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Voters:
     sample = staged(labelled_sample(docs, labels, "toxic", FOLDS, HELD, most), "toxic-sample")
 
     def keys(batches):
-        for batch in batches:
-            out = [list(Counter(k for w in set(LETTERS.findall(t.as_py().decode().lower())) for k in keys_of(w)).items()) for t in batch.column("text")]
+        for part in slices(batches, 1, SLICE // 8):  # text is the second column; sums of a slice, not rows of its words
+            n, t = Counter(), Counter()
+            for text, y in zip(part.column("text"), part.column("y").to_pylist()):
+                found = Counter(k for w in set(LETTERS.findall(text.as_py().decode().lower())) for k in keys_of(w))
+                asked = [(k, min(c, WORDS[-1])) for k, c in found.items()]
+                n.update(asked)
+                if y:
+                    t.update(asked)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), pa.array([[{"key": k, "c": c} for k, c in row] for row in out], pa.list_(pa.struct([("key", pa.string()), ("c", pa.int32())])))],
-                names=["y", "keys"])
+                [pa.array([k for k, _ in n], pa.string()), pa.array([c for _, c in n], pa.int32()), pa.array(list(n.values()), pa.int64()),
+                 pa.array([t[k] for k in n], pa.int64())], names=["key", "asked", "n", "t"])
 
     rows, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     share = min(max(toxic / rows, 1e-6), 1 - 1e-6) if rows else 0.5
     n, t = F.col("n"), F.col("t")
     merit = 2 * (t * F.log(t / (n * share)) + F.when(n > t, (n - t) * F.log((n - t) / (n * (1 - share)))).otherwise(0.0))
-    asks = lambda k: F.least(F.col("c"), F.lit(WORDS[-1])) == k
-    counted = (sample.mapInArrow(keys, "y int, keys array<struct<key:string,c:int>>").select("y", F.inline("keys"))
-               .groupBy("key").agg(*[F.count_if(asks(k)).alias(f"n{k}") for k in WORDS],
-                                   *[F.sum(F.when(asks(k), F.col("y")).otherwise(0)).alias(f"t{k}") for k in WORDS])
-               .select("key", F.inline(F.array(*[F.struct(F.lit(k).alias("asked"), F.col(f"n{k}").alias("n"), F.col(f"t{k}").alias("t")) for k in WORDS]))))
-    passing = (counted.where((t >= n * SHARE) & (t > n * share) & (t > 0)).withColumn("merit", merit).where(F.col("merit") >= FOUND)
-               .orderBy(F.desc("merit"), "key", "asked").limit(16 * PATTERNS).collect())
     lexicon = [("=" + w, 1) for w in INSULTS]
-    listed = {r["key"]: (r["n"], r["t"]) for r in counted.where(F.col("key").isin([k for k, _ in lexicon]) & (F.col("asked") == 1)).collect()}
-    mined = {(r["key"], r["asked"]): (r["n"], r["t"]) for r in passing if (r["key"], 1) not in set(lexicon)}
-    chosen = lexicon + family_voters([(r["key"], r["asked"], r["merit"]) for r in passing if (r["key"], r["asked"]) in mined], listed=INSULTS)
+    listed = F.col("key").isin([k for k, _ in lexicon]) & (F.col("asked") == 1)
+    passes = (t >= n * SHARE) & (t > n * share) & (t > 0) & (F.col("merit") >= FOUND)
+    counted = (sample.mapInArrow(keys, "key string, asked int, n long, t long").groupBy("key", "asked").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+               .withColumn("merit", merit).withColumn("listed", listed).where(F.col("listed") | passes)
+               .orderBy(F.desc("listed"), F.desc("merit"), "key", "asked").limit(len(lexicon) + 16 * PATTERNS).collect())
+    listed = {r["key"]: (r["n"], r["t"]) for r in counted if r["listed"]}
+    passing = [r for r in counted if not r["listed"]]
+    mined = {(r["key"], r["asked"]): (r["n"], r["t"]) for r in passing}
+    chosen = lexicon + family_voters([(r["key"], r["asked"], r["merit"]) for r in passing], listed=INSULTS)
     stated = np.array([(listed.get(k, (0, 0))[1] + 1.8) / (listed.get(k, (0, 0))[0] + 2) if v < len(lexicon) else (mined[k, c][1] + 0.5) / (mined[k, c][0] + 1)
                        for v, (k, c) in enumerate(chosen)])
     place = {key: at for at, key in enumerate(dict.fromkeys(k for k, _ in chosen))}
