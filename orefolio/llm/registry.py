@@ -1,6 +1,7 @@
 """Queries and oracle SQL of the training-data operators."""
 
-from . import bpe, chat, exact_dedup, mixing, pii, quality, simhash, token_store, topk, toxicity
+from . import (bpe, chat, compression, divergence, exact_dedup, mixing, pii, prefix_trie, quality, simhash, token_store, topk,
+               toxicity)
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,6 +14,9 @@ QUERIES = {
     "op8_token_store": token_store.op8_token_store,
     "op9_quality": quality.op9_quality,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_compression": compression.op11_compression,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
@@ -20,4 +24,6 @@ ORACLES = {
     "op4_chat_format": chat.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_top_k": topk.SQL,
+    "op12_divergence": divergence.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
