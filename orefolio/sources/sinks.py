@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
+from . import versioned
+from .staging import staged
 
-BUCKETS = 16
+#: Passages to a bucket of the passages table, about: some 500 MB with a vector of 64 floats.
+ROWS_PER_BUCKET = 1 << 18
 BOM = "﻿"
 
 
@@ -60,23 +66,70 @@ def check_counts(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return (c.join(v, "report_id", "full").fillna(0, ["chunks", "vectors"]).where("chunks <> vectors"))
 
 
-def write_passages(new: DataFrame, path: str) -> None:
-    """Overwrite the touched buckets only. The result is staged beside the table first, so that a failed job leaves
-    the old table whole."""
+def address(report_id: Column, buckets: int) -> Column:
+    """The bucket of a report among `buckets`: its hash modulo the next power of two, or modulo half of it where that bucket does
+    not exist yet. One bucket more takes rows from one other bucket only."""
+    wide = 1 << (buckets - 1).bit_length()
+    h = F.xxhash64(report_id)
+    place = F.pmod(h, F.lit(wide))
+    return F.when(place < buckets, place).otherwise(F.pmod(h, F.lit(max(1, wide // 2)))).cast("int")
+
+
+def _parents(held: int, buckets: int) -> set[int]:
+    """Buckets among the first `held` whose rows move when there are `buckets`."""
+    found = set()
+    for new in range(held, buckets):
+        while new >= held:
+            new -= 1 << (new.bit_length() - 1)
+        found.add(new)
+    return found
+
+
+def _stored(spark: SparkSession, root: str, content: dict, schema, only: set[int] | None = None) -> DataFrame:
+    paths = [f"{root.rstrip('/')}/{folder}" for b, folder in content.get("folders", {}).items() if only is None or int(b) in only]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_passages(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The passages table as its last (or a given) manifest has it."""
+    _, content = versioned.manifest(spark, root, version)
+    if not content:
+        raise ValueError(f"{root} holds no passages")
+    return _stored(spark, root, content, StructType.fromJson(content["schema"]))
+
+
+def write_passages(new: DataFrame, root: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """All passages of the reports in `new` replace what these reports had. Returns the manifest's number.
+
+    Passages lie in buckets by report, whose number grows with the table (see `address`), so that a bucket keeps about its size.
+    A write puts the touched buckets, and those that are split, into a folder of its own and then switches the manifest: readers
+    and other writers see the whole change or nothing. Two writers at once: the second one merges again with what the first one
+    wrote. A writer that dies leaves the table as it was.
+    """
     spark = new.sparkSession
-    bucket = F.pmod(F.hash("report_id"), F.lit(BUCKETS)).alias("bucket")
-    rows = new.select("*", bucket)
-    try:
-        old = spark.read.parquet(path)
-    except Exception as error:  # the first write
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        rows.write.partitionBy("bucket").parquet(path)
-        return
-    touched = rows.select("bucket").distinct()
-    staged = f"{path.rstrip('/')}__staged"
-    replace_passages(old.join(F.broadcast(touched), "bucket", "left_semi"), rows).write.mode("overwrite").parquet(staged)  # BUCKETS rows at most
-    (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    rows = staged(new, "passages")
+    added = rows.count()
+    if not added:
+        return versioned.manifest(spark, root)[0]
+
+    def step(content: dict) -> dict:
+        held = content.get("buckets", 1)
+        folders, sizes = dict(content.get("folders", {})), dict(content.get("rows", {}))
+        buckets = max(held, min(2 * held, -(-(sum(sizes.values()) + added) // rows_per_bucket))) if content else max(1, -(-added // rows_per_bucket))
+        if not content:
+            held = buckets
+        touched = {r[0] for r in rows.select(address(F.col("report_id"), held)).distinct().collect()} | _parents(held, buckets)  # bucket numbers only
+        name, path = versioned.new_folder(root)
+        merged = replace_passages(_stored(spark, root, content, rows.schema, touched), rows)
+        merged.withColumn("bucket", address(F.col("report_id"), buckets)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+        for b in touched:
+            folders.pop(str(b), None)
+            sizes.pop(str(b), None)
+        for b, n in spark.read.parquet(path).groupBy("bucket").count().collect():  # a row for each touched bucket
+            folders[str(b)], sizes[str(b)] = f"{name}/bucket={b}", n
+        return {"buckets": buckets, "folders": folders, "rows": sizes, "schema": json.loads(rows.schema.json())}
+
+    return versioned.change(spark, root, step)
 
 
 def check_index_model(meta: DataFrame, passages: DataFrame, model: str, dimension: int) -> DataFrame:

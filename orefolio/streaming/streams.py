@@ -5,19 +5,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text
 from ..operators import passages
 from ..operators.findings import latest_decisions
 from ..sources import reports as source
-from ..sources import sinks
-from ..sources.staging import shared_dir
+from ..schemas import DECISIONS
+from ..sources import sinks, versioned
+from ..sources.staging import shared_dir, staged
 
 LIMIT, LIMIT_READONLY, WINDOW = 60, 15, 3600
 AUDIT = "key string, call_id long, at double, allowed boolean, remaining int, retry_after int"
@@ -62,27 +64,61 @@ def rate_audit(calls: DataFrame, limit: int = LIMIT, window: int = WINDOW) -> Da
     return ordered.repartition("key").sortWithinPartitions("key", "at", "call_id").mapInPandas(run, AUDIT)
 
 
-def rate_audit_stream(calls: DataFrame, limit: int = LIMIT, window: int = WINDOW, lateness: str = "10 minutes") -> DataFrame:
-    """T-1 as a stream: state is the accepted times of a key within the window, dropped once the watermark has passed
-    them; rows later than the watermark are dropped by Spark and counted in the query's progress."""
+class _AuditCalls(StatefulProcessor):
+    """Holds a key's calls until the watermark has passed them, then walks them in order of time."""
+
+    def __init__(self, limit: int, window: float) -> None:
+        self.limit, self.window = limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", "call_id long, at double")
+        self.kept = handle.getValueState("kept", "times array<double>")
+
+    def _wake(self, at: float) -> None:
+        self.handle.registerTimer(int(at * 1000) + 1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            self.pending.appendList([(None if pd.isna(c) else int(c), float(t)) for c, t in zip(frame["call_id"], frame["at"])])
+            self._wake(frame["at"].min())
+        return iter(())
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        held = list(self.pending.get()) if self.pending.exists() else []
+        ready = sorted((c for c in held if c[1] <= passed), key=lambda c: (c[1], c[0] is not None, c[0] or 0))
+        if not ready:
             return
-        kept = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            frame = frame.sort_values(["at", "call_id"], kind="stable")
-            found, kept = audit_calls(frame["at"].tolist(), kept, limit, window)
-            yield pd.DataFrame({"key": key[0], "call_id": frame["call_id"].to_numpy(), "at": frame["at"].to_numpy(),
-                                "allowed": [x[0] for x in found], "remaining": [x[1] for x in found], "retry_after": [x[2] for x in found]})
-        state.update((kept,))
-        if kept:
-            state.setTimeoutTimestamp(max(int((kept[-1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
+        later = [c for c in held if c[1] > passed]
+        self.pending.clear()
+        if later:
+            self.pending.put(later)
+            self._wake(min(t for _, t in later))
+        found, kept = audit_calls([t for _, t in ready], list(self.kept.get()[0]) if self.kept.exists() else [], self.limit, self.window)
+        self.kept.update((kept,))
+        yield pd.DataFrame({"key": key[0], "call_id": pd.array([c for c, _ in ready], "Int64"), "at": [t for _, t in ready], "allowed": [x[0] for x in found],
+                            "remaining": [x[1] for x in found], "retry_after": [x[2] for x in found]})
+
 
+def rate_audit_stream(calls: DataFrame, limit: int = LIMIT, window: int = WINDOW, lateness: str = "10 minutes") -> DataFrame:
+    """T-1 as a stream: the decisions of the batch form, whatever the order in which calls arrive.
+
+    A call is judged once the watermark has passed it, because an earlier one may still come until then; calls that come later
+    than `lateness` allows are dropped by Spark and counted in the query's progress. State is the calls that wait and the accepted
+    times of one window. Start the query through `run_to_table` or with `STATE_STORE` set, which the state's kind needs."""
     rows = calls.withWatermark("ts", lateness).select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "call_id", "ts",
                                                       _seconds(F.col("ts")).alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(step, AUDIT, "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("key").transformWithStateInPandas(_AuditCalls(limit, window), AUDIT, "Append", "EventTime")
+
+
+#: State with timers and lists needs this store of Spark's.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """For queries started from now on."""
+    spark.conf.set(*STATE_STORE)
 
 
 def _start(rows: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], available_now: bool) -> StreamingQuery:
@@ -93,6 +129,7 @@ def _start(rows: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], No
 def run_to_table(rows: DataFrame, name: str) -> DataFrame:
     """Run an append stream over what is there now into Parquet in the shared folder and read it back."""
     spark = rows.sparkSession
+    keep_state_on_disk(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     query = (rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-log")
              .outputMode("append").trigger(availableNow=True).start())
@@ -100,32 +137,106 @@ def run_to_table(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def ingest(pages: DataFrame) -> DataFrame:
-    """What one batch of pages (report_id, filename, page, text) becomes: cleaned, read by the keyword rules, one row per
-    report with fields and failure."""
-    clean = text.clean_text(F.coalesce("text", F.lit("")), source.PAGE_CAP)
-    rows = pages.groupBy("report_id", "filename").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("page", clean.alias("t")))), lambda s: s["t"]).alias("page_texts"))
+def fields_of(assembled: DataFrame) -> DataFrame:
+    """Of report_id, filename, page_texts: the report's row with what the keyword rules read, and the failure if nothing can be."""
     raw = F.left(F.array_join("page_texts", "\n"), F.lit(source.RAW_CAP))
-    return (rows.withColumn("raw_text", raw).withColumn("fields", text.rule_fields(F.col("raw_text")))
+    return (assembled.withColumn("raw_text", raw).withColumn("fields", text.rule_fields(F.col("raw_text")))
             .select(F.col("report_id").alias("id"), "filename", "page_texts", "raw_text", "fields",
                     F.when(text.clean(F.col("raw_text")).isNull(), "no text could be read").alias("failure"), F.lit(False).alias("provider_failed")))
 
 
-def ingest_stream(pages: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """T-2: good rows under out/reports, failed ones under out/quarantine, each in a folder of its batch."""
+def _page_text() -> Column:
+    return text.clean_text(F.coalesce("text", F.lit("")), source.PAGE_CAP)
+
+
+def ingest(pages: DataFrame) -> DataFrame:
+    """T-2 in batch: pages (report_id, filename, page, text) -> one row per report. A page that is given twice counts once, with the
+    text that sorts last; of several filenames the last one stays."""
+    rows = pages.groupBy("report_id", "page").agg(F.max(_page_text()).alias("t"), F.max("filename").alias("filename"))
+    return fields_of(rows.groupBy("report_id").agg(F.max("filename").alias("filename"),
+                                                   F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda s: s["t"]).alias("page_texts")))
+
+
+ASSEMBLED = "report_id long, filename string, page_texts array<string>, late boolean"
+
+
+class _AssembleReports(StatefulProcessor):
+    """Gathers the pages of a report over any number of batches and hands it on once."""
+
+    def __init__(self, patience_ms: int, memory_ms: int) -> None:
+        self.patience_ms, self.memory_ms = patience_ms, memory_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pages = handle.getMapState("pages", "page int", "t string")
+        self.facts = handle.getValueState("facts", "filename string, announced int, last_ms long, closed boolean")
+
+    def _close(self, key, facts, now_ms: int):
+        texts = [t for _, t in sorted((p[0], t[0]) for p, t in self.pages.iterator())]
+        self.pages.clear()
+        self.facts.update((facts[0], facts[1], now_ms, True))
+        self.handle.registerTimer(now_ms + self.memory_ms)
+        return pd.DataFrame({"report_id": [key[0]], "filename": [facts[0]], "page_texts": [texts], "late": [False]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        facts = self.facts.get() if self.facts.exists() else (None, None, 0, False)
+        for frame in rows:
+            frame = frame.astype(object).where(frame.notna(), None)
+            for page, t, filename, announced, ms in zip(frame["page"], frame["t"], frame["filename"], frame["page_count"], frame["ms"]):
+                if facts[3]:
+                    yield pd.DataFrame({"report_id": [key[0]], "filename": [filename], "page_texts": [[t]], "late": [True]})
+                    continue
+                held = self.pages.getValue((int(page),))[0] if self.pages.containsKey((int(page),)) else None
+                self.pages.updateValue((int(page),), (max(t, held or ""),))
+                facts = (max(filename or "", facts[0] or "") or None, max(int(announced or 0), facts[1] or 0) or None, max(int(ms), facts[2]), False)
+        if facts[3]:
+            return
+        if facts[1] and sum(1 <= p[0] <= facts[1] for p in self.pages.keys()) == facts[1]:
+            yield self._close(key, facts, facts[2])
+        else:
+            self.facts.update(facts)
+            self.handle.registerTimer(facts[2] + self.patience_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.facts.exists():
+            return
+        now, facts = timerValues.getCurrentWatermarkInMs(), self.facts.get()
+        if facts[3] and now >= facts[2] + self.memory_ms:
+            self.facts.clear()
+        elif not facts[3] and now >= facts[2] + self.patience_ms:
+            yield self._close(key, facts, now)
+
+
+def assembled_reports(pages: DataFrame, patience: timedelta = timedelta(hours=1), lateness: str = "10 minutes", memory: timedelta = timedelta(days=30)) -> DataFrame:
+    """ASSEMBLED out of a stream of pages (report_id, filename, page, text, page_count, uploaded_at).
+
+    A report is handed on as soon as its `page_count` pages are there or, where no count is given or pages are missing, once the
+    watermark on uploaded_at is `patience` past its last page. A page that comes after that, within `memory`, is a late row."""
+    rows = pages.withWatermark("uploaded_at", lateness).select(
+        "report_id", "filename", F.col("page").cast("int").alias("page"), _page_text().alias("t"), F.col("page_count").cast("int").alias("page_count"), "uploaded_at",
+        F.unix_millis(F.col("uploaded_at").cast("timestamp")).alias("ms"))
+    step = _AssembleReports(int(patience.total_seconds() * 1000), int(memory.total_seconds() * 1000))
+    return rows.groupBy("report_id").transformWithStateInPandas(step, ASSEMBLED, "Append", "EventTime")
+
+
+def ingest_stream(pages: DataFrame, out: str, checkpoint: str, available_now: bool = True, **timing) -> StreamingQuery:
+    """T-2: one row per report under out/reports, failed ones and pages that came too late under out/quarantine, each in a folder
+    of its batch. Pages of a report may come in any order and over any number of batches (see `assembled_reports`)."""
+    keep_state_on_disk(pages.sparkSession)
 
     def each(batch: DataFrame, number: int) -> None:
-        parsed = ingest(batch)
+        rows = staged(batch, "assembled")
+        parsed = fields_of(rows.where("NOT late"))
         good, bad = source.quarantine(parsed)
+        late = rows.where("late").select(F.col("report_id").alias("id"), F.lit("error").alias("status"), F.lit("a page came after its report was closed").alias("error_message"))
         good.join(parsed.select("id", "filename", "page_texts", "raw_text"), "id").write.mode("overwrite").parquet(f"{out}/reports/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
+        bad.unionByName(late).write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
 
-    return _start(pages, checkpoint, each, available_now)
+    return _start(assembled_reports(pages, **timing), checkpoint, each, available_now)
 
 
 def passage_stream(reports: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """T-3: passages of newly completed reports replace what the reports had."""
+    """T-3: passages of newly completed reports replace what the reports had. Read them with `sinks.read_passages`."""
 
     def each(batch: DataFrame, _: int) -> None:
         rows = passages.pages_or_raw(batch.where("status = 'completed'"))
@@ -134,23 +245,70 @@ def passage_stream(reports: DataFrame, out: str, checkpoint: str, available_now:
     return _start(reports, checkpoint, each, available_now)
 
 
-def decision_stream(decisions: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """T-4: the latest decision per finding. A batch reads the table its predecessor wrote and writes its own."""
+#: Deltas of the decisions' store that are merged at a time, and the share of the base (one in so many rows) from which on the base is rewritten.
+DELTAS, ONE_IN = 8, 4
+
+
+def _latest(decisions: DataFrame) -> DataFrame:
+    row = F.struct("status", "note", "resolved_by", "resolved_at")
+    return decisions.groupBy("finding_id").agg(F.max_by(row, F.struct("resolved_at", "status", "note", "resolved_by")).alias("d")).select("finding_id", "d.*")
+
+
+def _folders(spark: SparkSession, store: str, names: list[str]) -> DataFrame:
+    return spark.read.schema(DECISIONS).parquet(*[f"{store.rstrip('/')}/{n}" for n in names])
+
+
+def compact(spark: SparkSession, store: str) -> None:
+    """Merge the deltas of a decisions' store: into the base if they hold a good part of its rows, else into one delta."""
+
+    def step(now: dict) -> dict | None:
+        deltas = list(now.get("deltas", {}))
+        if len(deltas) < 2:
+            return None
+        with_base = sum(now["deltas"].values()) * ONE_IN >= sum(now["base"].values())
+        name, path = versioned.new_folder(store)
+        _latest(_folders(spark, store, deltas + (list(now["base"]) if with_base else []))).write.parquet(path)
+        merged = {name: spark.read.parquet(path).count()}
+        return now | ({"base": merged, "deltas": {}} if with_base else {"deltas": merged})
+
+    versioned.change(spark, store, step)
+
+
+def decision_stream(decisions: DataFrame, store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """T-4: the latest decision per finding, in a store of a base and deltas under a manifest.
+
+    A batch writes its own latest rows as one delta and nothing else; every DELTAS deltas are merged. The manifest notes the last
+    batch of every query that writes, so a batch that is run again adds nothing, and a query with a new checkpoint goes on from
+    what the store holds."""
 
     def each(batch: DataFrame, number: int) -> None:
-        row = F.struct("status", "note", "resolved_by", "resolved_at")
-        latest = batch.groupBy("finding_id").agg(F.max_by(row, F.struct("resolved_at", "status", "note", "resolved_by")).alias("d")).select("finding_id", "d.*")
-        if number > 0:
-            latest = batch.sparkSession.read.parquet(f"{out}/batch={number - 1}").unionByName(latest)
-            latest = latest.groupBy("finding_id").agg(F.max_by(row, F.struct("resolved_at", "status", "note", "resolved_by")).alias("d")).select("finding_id", "d.*")
-        latest.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        writer = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if versioned.manifest(spark, store)[1].get("applied", {}).get(writer, -1) >= number:
+            return
+        name, path = versioned.new_folder(store)
+        _latest(batch.select("finding_id", "status", "note", "resolved_by", "resolved_at")).write.parquet(path)
+        rows = spark.read.schema(DECISIONS).parquet(path).count()
+
+        def step(now: dict) -> dict | None:
+            applied = now.get("applied", {})
+            if applied.get(writer, -1) >= number:
+                return None
+            added = {name: rows} if rows else {}
+            return {"base": now.get("base", {}), "deltas": now.get("deltas", {}) | added, "applied": applied | {writer: number}}
+
+        versioned.change(spark, store, step)
+        if len(versioned.manifest(spark, store)[1]["deltas"]) >= DELTAS:
+            compact(spark, store)
 
     return _start(decisions, checkpoint, each, available_now)
 
 
-def current_decisions(spark: SparkSession, out: str, number: int) -> DataFrame:
-    """Decisions after batch `number`, withdrawn ones left out."""
-    return latest_decisions(spark.read.parquet(f"{out}/batch={number}"))
+def current_decisions(spark: SparkSession, store: str) -> DataFrame:
+    """The latest decisions of a store, withdrawn ones left out."""
+    content = versioned.manifest(spark, store)[1]
+    names = [*content.get("base", {}), *content.get("deltas", {})]
+    return latest_decisions(_folders(spark, store, names) if names else spark.createDataFrame([], DECISIONS))
 
 
 def query_counts(history: DataFrame, window: str = "1 hour", slide: str | None = None, lateness: str | None = None) -> DataFrame:
