@@ -55,6 +55,14 @@ FROM (
 ) b
 """
 
+#: Pages of the reports with long stretches around what is looked for, and a figure first where no cue stands.
+LONG_PAGES = """
+SELECT r.id, concat(repeat('Survey notes of the region. ', 12), r.page1, repeat(' Further remarks follow here.', 15)) AS page1,
+  concat('Plate ', CASE r.id % 3 WHEN 0 THEN '45,000' WHEN 1 THEN '48500' ELSE '52000' END, ' shows the pit. ', repeat('Nothing else is said on this. ', 12), r.page2,
+    repeat(' More in the annex.', 14)) AS page2
+FROM ({reports}) r
+""".replace("{reports}", REPORTS)
+
 DECISIONS = """
 SELECT concat('missing:mineral_type:', cast(o_orderkey AS varchar(20))) AS finding_id,
   CASE o_orderkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'flagged' WHEN 2 THEN 'pending' ELSE 'dismissed' END AS status,
@@ -123,6 +131,12 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_reports(flat_reports(spark, sf_dir))
 
 
+def long_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """report_id, page, text of LONG_PAGES."""
+    return (spark_sql(spark, sf_dir, LONG_PAGES).select(F.col("id").alias("report_id"), F.posexplode(F.array("page1", "page2")).alias("pos", "text"))
+            .select("report_id", (F.col("pos") + 1).alias("page"), "text"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """report_id, organisation, filename, page, text over documents; pages of 2,000 characters, 64 at most in SQL form,
     all of them here."""

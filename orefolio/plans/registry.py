@@ -20,6 +20,7 @@ from ..operators import scoring as X
 from ..operators import search as Q
 from ..operators import selection as L
 from ..operators import views as V
+from ..schemas import CITABLE
 from ..sources import reports as S
 from ..sources import sinks as K
 from ..sources.staging import shared_dir, staged
@@ -790,12 +791,59 @@ def e1(spark, d):
     return found.select("id", "document_id", "field", "page_number")
 
 
-@query("e1_locate_evidence")
+# The values, their variants and the patterns in SQL without lookarounds: what must stand around a figure is matched along and
+# cut off again; a page's k-th match begins behind k pieces and k - 1 matches.
+WANTED = f"""citable AS (
+    SELECT reports.id, filename, v.field, v.label, trim(regexp_replace(CASE v.field WHEN 'quantity_extracted' THEN {QTY} WHEN 'reserve_estimate' THEN {RESERVE} WHEN 'mineral_type' THEN {MINERAL}
+      WHEN 'extraction_method' THEN {METHOD} WHEN 'mine_name' THEN nullif(mine_name, '') ELSE nullif(location, '') END, '\\s+', ' ', 'g')) AS v,
+      CASE v.field WHEN 'quantity_extracted' THEN {QTY} WHEN 'reserve_estimate' THEN {RESERVE} WHEN 'mineral_type' THEN {MINERAL}
+      WHEN 'extraction_method' THEN {METHOD} WHEN 'mine_name' THEN nullif(mine_name, '') ELSE nullif(location, '') END AS value
+    FROM reports, (VALUES {", ".join(f"('{f}', '{label}')" for f, label in CITABLE)}) v(field, label)),
+  formed AS (SELECT *, regexp_extract(v, '[0-9][0-9,]*\\.?[0-9]*') AS figure,
+    trim(regexp_extract(v, '(?i)[0-9][0-9,]*\\.?[0-9]*\\s*(?:million|billion|lakh|crore|thousand)?\\s*(?:tonnes?|tons?|mtpa|mt|cubic metres|cu\\.? ?m)\\b')) AS unit FROM citable WHERE v IS NOT NULL),
+  forms AS (SELECT id, filename, field, label, value, unnest(list_filter(list_distinct([v, replace(v, ',', ''), unit, figure, replace(figure, ',', '')]), lambda x: length(x) >= 3)) AS variant FROM formed),
+  wanted AS (SELECT *, CAST(row_number() OVER (PARTITION BY id, field ORDER BY length(variant) DESC, variant) - 1 AS INTEGER) AS rank,
+    field IN ('quantity_extracted', 'reserve_estimate') AND regexp_matches(variant, '^[0-9,.\\s]+$') AS needs_cue,
+    regexp_replace(regexp_replace(regexp_replace(variant, '([^\\p{{L}}\\p{{N}}\\s_])', '\\\\\\1', 'g'), '([0-9])([0-9])', '\\1[,[:space:]]*\\2', 'g'), '([0-9])([0-9])', '\\1[,[:space:]]*\\2', 'g') AS core FROM forms)"""
+LOCATED = """tried AS (
+    SELECT w.*, p.page, p.text, concat('(?i)', CASE WHEN regexp_matches(variant, '^[0-9]') THEN '(?:^|[^0-9.,])' ELSE '' END, core, CASE WHEN regexp_matches(variant, '[0-9]$') THEN '(?:[^0-9]|$)' ELSE '' END) AS whole
+    FROM wanted w JOIN pages_of_reports p ON p.id = w.id),
+  cut AS (SELECT *, regexp_extract_all(text, whole) AS hits, string_split_regex(text, whole) AS pieces FROM tried WHERE regexp_matches(text, whole)),
+  each AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM cut),
+  spans AS (SELECT *, length(array_to_string(list_slice(pieces, 1, k), '')) + length(array_to_string(list_slice(hits, 1, k - 1), '')) + strpos(lower(hits[k]), lower(regexp_extract(hits[k], concat('(?i)', core)))) - 1 AS pos,
+    length(regexp_extract(hits[k], concat('(?i)', core))) AS n FROM each),
+  seen AS (SELECT *, greatest(pos - 220, 0) AS b, least(pos + n + 220, length(text)) AS e FROM spans),
+  good AS (SELECT * FROM seen WHERE NOT needs_cue OR regexp_matches(lower(substring(text, b + 1, e - b)), CASE field WHEN 'reserve_estimate' THEN 'reserve|resource' ELSE 'production|produced|extracted|output' END)),
+  evidence AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY id, field ORDER BY rank, page, k) = 1)"""
+EVIDENCE = """SELECT concat('ev-', id, '-', field) AS id, id AS document_id, filename AS document_name, field, label AS section_header, value AS extracted_value, CAST(page AS INTEGER) AS page_number,
+  concat(CASE WHEN b > 0 THEN '… ' ELSE '' END, trim(regexp_replace(substring(text, b + 1, e - b), '\\s+', ' ', 'g')), CASE WHEN e < length(text) THEN ' …' ELSE '' END) AS original_context FROM evidence"""
+SHORT = "pages_of_reports AS (SELECT id, 1 AS page, page1 AS text FROM reports UNION ALL SELECT id, 2, page2 FROM reports)"
+LONG = f"long_pages AS ({I.duck(I.LONG_PAGES)}), " + SHORT.replace("FROM reports", "FROM long_pages")
+
+
+@query("e1_locate_evidence", f"{WITH}, {WANTED}, {SHORT}, {LOCATED} {EVIDENCE}")
 def e1b(spark, d):
     r = I.reports(spark, d)
     return E.locate_evidence(r, S.report_pages(r))
 
 
+@query("e1_evidence_in_long_pages", f"{WITH}, {WANTED}, {LONG}, {LOCATED} {EVIDENCE}")
+def e1_long(spark, d):
+    return E.locate_evidence(I.reports(spark, d), I.long_pages(spark, d))
+
+
+@query("j10_wanted_variants", f"{WITH}, {WANTED} SELECT id AS report_id, field, rank, variant, needs_cue FROM wanted")
+def j10(spark, d):
+    return E.wanted(I.reports(spark, d)).select("report_id", F.explode("wanted").alias("w")).select("report_id", "w.field", "w.rank", "w.variant", "w.needs_cue")
+
+
+@query("n24_figures_in_text", f"""{WITH}, {WANTED}, {LONG}, {LOCATED} SELECT w.id AS report_id, w.page, w.field, w.variant, CAST(coalesce(s.pos + 1, 0) AS INTEGER) AS found_at
+  FROM tried w LEFT JOIN spans s ON s.id = w.id AND s.page = w.page AND s.field = w.field AND s.rank = w.rank AND s.k = 1""")
+def n24(spark, d):
+    tried = E.wanted(I.reports(spark, d)).select("report_id", F.explode("wanted").alias("w")).join(I.long_pages(spark, d), "report_id")
+    return tried.select("report_id", "page", "w.field", "w.variant", F.regexp_instr("text", F.col("w.pattern")).alias("found_at"))
+
+
 @query("s10_get_report", WITH + "SELECT min(id) AS id, CAST(2 AS INTEGER) AS page_count FROM reports WHERE id = 7")
 def s10(spark, d):
     r = I.reports(spark, d)
