@@ -24,7 +24,7 @@ SCALE, PRIOR = 1_000_000_000, 5
 #: Terms to a bucket, about: the bound of an array in a pair task.
 BUCKET = 1 << 16
 #: Entries that a task counts before it hands them on.
-FLUSH = 1 << 18
+FLUSH = 1 << 19
 
 #: Fixed values of the contract: bytes of a term are ASCII letters and all of other characters; A-Z are lower-cased.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -183,11 +183,18 @@ def _pairs(entries: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _terms(entries: DataFrame, groups: DataFrame, top: int) -> DataFrame:
+    """Ranks to `top`. Values are counted by size class first, which tells from which class on a group's first `top` lie; only these
+    rows are sorted."""
     priced = entries.join(groups, ["lang", "source"]).select(
         "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
         (price(F.col("n"), F.col("total"), F.col("kept")) - price(F.col("lang_n"), F.col("lang_total"), F.col("kept"))).alias("value"))
+    rows = staged(priced.where("value > 0").withColumn("class", F.floor(F.log2("value") * 8).cast("int")), "priced")
+    above = Window.partitionBy("lang", "source").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
+    least = (rows.groupBy("lang", "source", "class").agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+             .where(F.col("above") < top).groupBy("lang", "source").agg(F.min("class").alias("least")))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    return priced.where("value > 0").withColumn("rank", rank).where(F.col("rank") <= top)
+    return (rows.join(least, ["lang", "source"]).where(F.col("class") >= F.col("least")).select("lang", "source", "part", "item", "value")
+            .withColumn("rank", rank).where(F.col("rank") <= top))
 
 
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
