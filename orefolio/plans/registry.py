@@ -987,17 +987,40 @@ def _calls(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), "ts")
 
 
-@query("t1_rate_audit")
+# A call's decision depends on earlier decisions: the walk takes every key's next call in each round and carries the accepted times.
+WALK = """WITH RECURSIVE c AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS call_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  walk AS (
+    SELECT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS call_id, CAST(NULL AS DOUBLE) AS t, CAST([] AS DOUBLE[]) AS kept, CAST(NULL AS BOOLEAN) AS allowed, CAST(0 AS BIGINT) AS held, CAST(0 AS DOUBLE) AS oldest FROM c WHERE n = 1
+    UNION ALL
+    SELECT key, n, call_id, t, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END, len(live) < 2, len(live), coalesce(live[1], 0)
+    FROM (SELECT c.key, c.n, c.call_id, c.t, list_filter(walk.kept, lambda x: x > c.t - 86400) AS live FROM walk JOIN c ON c.key = walk.key AND c.n = walk.n + 1))
+  SELECT key, call_id, t AS called_at, allowed, CAST(CASE WHEN allowed THEN 1 - held ELSE 0 END AS INTEGER) AS remaining,
+    CAST(CASE WHEN allowed THEN 0 ELSE greatest(trunc(oldest + 86400 - t) + 1, 1) END AS INTEGER) AS retry_after FROM walk WHERE n > 0"""
+
+
+@query("t1_rate_audit", WALK)
 def t1(spark, d):
-    return T.rate_audit(_calls(spark, d), limit=2, window=86_400)
+    return T.rate_audit(_calls(spark, d), limit=2, window=86_400).withColumnRenamed("at", "called_at")
 
 
-@query("t1_rate_audit_stream")
+def _streamed(rows: DataFrame, name: str) -> DataFrame:
+    """A stream of a derived table, a part of it a batch. The table's column `part` says in which of a few batches a row comes."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    parts = sorted(r[0] for r in rows.select("part").distinct().collect())  # a few numbers
+    for part in parts:
+        rows.where(F.col("part") == part).drop("part").coalesce(4).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
+@query("t1_rate_audit_stream", WALK)
 def t1b(spark, d):
-    table = spark.read.parquet(f"{d}/events.parquet")
-    calls = spark.readStream.schema(table.schema).parquet(f"{d}/events.parquet*").select(
-        F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return T.run_to_table(T.rate_audit_stream(calls, limit=2, window=86_400), "rate-audit")
+    """The calls come in four parts without order; a last call a day after them moves the watermark past all."""
+    calls = _calls(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = calls.agg(F.max("ts").alias("ts"), F.min("ts").alias("first"))
+    last = ends.select(F.lit(None).cast(calls.schema["key"].dataType).alias("key"), F.lit(-1).cast("long").alias("call_id"), (F.col("ts") + F.expr("INTERVAL 4000 DAYS")).alias("ts"), F.lit(9).alias("part"))
+    live = _streamed(staged(calls.withColumn("part", F.pmod(F.hash("call_id"), F.lit(4))).unionByName(last), "calls"), "calls-in")
+    return T.run_to_table(T.rate_audit_stream(live, 2, 86_400, "3999 days"), "rate-audit").where("call_id >= 0").withColumnRenamed("at", "called_at")
 
 
 @query("t2_ingest", f"""WITH {PAGES} SELECT report_id AS id, min(filename) AS filename, count(*) AS pages, CAST(least(sum(length(text)) + count(*) - 1, 50000) AS BIGINT) AS chars FROM pages_of GROUP BY 1""")
@@ -1005,16 +1028,72 @@ def t2(spark, d):
     return T.ingest(I.pages(spark, d)).select("id", "filename", F.size("page_texts").cast("bigint").alias("pages"), F.length("raw_text").cast("bigint").alias("chars"))
 
 
+INGESTED = f"""WITH {PAGES} SELECT report_id AS id, min(filename) AS filename, count(*) AS pages, CAST(least(sum(length(text)) + count(*) - 1, 50000) AS BIGINT) AS chars,
+  md5(substring(string_agg(replace(text, chr(0), ''), chr(10) ORDER BY page), 1, 50000)) AS raw_text FROM pages_of GROUP BY 1 HAVING length(trim(string_agg(text, '' ORDER BY page), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) > 0"""
+
+
+@query("t2_ingest_stream", INGESTED)
+def t2_stream(spark, d):
+    """The pages of every report come over three batches, those of every third report without their number; a last page moves the
+    watermark on."""
+    pages = I.pages(spark, d)
+    counts = pages.groupBy("report_id").agg(F.count(F.lit(1)).cast("int").alias("page_count"))
+    sent = pages.join(counts, "report_id").select(
+        "report_id", "filename", "page", "text", F.when(F.col("report_id") % 3 > 0, F.col("page_count")).alias("page_count"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page")).alias("uploaded_at"), F.pmod(F.hash("report_id", "page"), F.lit(3)).alias("part"))
+    last = spark.range(2).select((-F.col("id") - 1).alias("report_id"), F.lit("last").alias("filename"), F.lit(1).alias("page"), F.lit("").alias("text"), F.lit(1).alias("page_count"),
+                                 F.timestamp_seconds(F.lit(1_800_000_000) + F.col("id")).alias("uploaded_at"), (F.col("id") + 8).cast("int").alias("part"))
+    live = _streamed(staged(sent.unionByName(last), "sent"), "pages-in")
+    out = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    T.ingest_stream(live, out, f"{out}-log").awaitTermination()
+    return spark.read.parquet(f"{out}/reports").where("id >= 0").select(
+        "id", "filename", F.size("page_texts").cast("bigint").alias("pages"), F.length("raw_text").cast("bigint").alias("chars"), F.md5(F.col("raw_text").cast("binary")).alias("raw_text"))
+
+
 @query("t3_passages", WITH + f"SELECT id AS report_id, page, chunk_index FROM (SELECT id, 1 AS page, 0 AS chunk_index FROM reports UNION ALL SELECT id, 2, 1 FROM reports)")
 def t3(spark, d):
     return C.embed(C.chunk_pages(C.pages_or_raw(I.reports(spark, d)))).select("report_id", "page", "chunk_index")
 
 
+@query("t3_passage_stream", WITH + """, t AS (SELECT id, filename, CASE WHEN id % 5 = 0 THEN concat('Revised. ', page1) ELSE page1 END AS page1, page2 FROM reports WHERE status = 'completed')
+  SELECT id AS report_id, filename, CAST(1 AS INTEGER) AS page, CAST(0 AS INTEGER) AS chunk_index, page1 AS content FROM t UNION ALL SELECT id, filename, 2, 1, page2 FROM t""")
+def t3_stream(spark, d):
+    """Reports come in three batches, every fifth one again in a last batch with a revised page; the passages table is read whole."""
+    r = I.reports(spark, d)
+    again = r.where("id % 5 = 0").withColumn("page_texts", F.transform("page_texts", lambda t, k: F.when(k == 0, F.concat(F.lit("Revised. "), t)).otherwise(t)))
+    live = _streamed(staged(r.withColumn("part", F.pmod(F.hash("id"), F.lit(3))).unionByName(again.withColumn("part", F.lit(9))), "arrived"), "reports-in")
+    out = f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}"
+    T.passage_stream(live, out, f"{out}-log").awaitTermination()
+    return K.read_passages(spark, out).select("report_id", "filename", "page", "chunk_index", "content")
+
+
+@query("s12_write_passages", f"""WITH {PAGES} SELECT report_id, page, CASE WHEN report_id % 7 = 0 THEN 'third' WHEN report_id % 2 = 0 THEN 'second' ELSE 'first' END AS version
+  FROM pages_of WHERE report_id % 7 = 0 OR report_id % 2 = 1 OR page = 1""")
+def s12_write(spark, d):
+    """Three writes, each replacing the passages of its reports, into a table whose buckets split as it grows."""
+    p = I.pages(spark, d).select("report_id", "page")
+    root = f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}"
+    for version, rows in (("first", p), ("second", p.where("report_id % 2 = 0 AND page = 1")), ("third", p.where("report_id % 7 = 0"))):
+        K.write_passages(rows.withColumn("version", F.lit(version)), root, rows_per_bucket=10_000)
+    return K.read_passages(spark, root).select("report_id", "page", "version")
+
+
 @query("t4_latest_decisions", f"WITH {DECISIONS} SELECT finding_id, status, note, resolved_by FROM latest")
 def t4(spark, d):
     return D.latest_decisions(I.decisions(spark, d)).drop("resolved_at")
 
 
+@query("t4_decision_stream", f"WITH {DECISIONS} SELECT finding_id, status, note, resolved_by FROM latest")
+def t4_stream(spark, d):
+    """Later decisions come first for some findings, over three batches and two checkpoints."""
+    rows = I.decisions(spark, d).select("finding_id", "status", "note", "resolved_by", "resolved_at", F.pmod(F.hash("finding_id", "note"), F.lit(4)).alias("part"))
+    rows = staged(rows, "decided")
+    store = f"{shared_dir(spark)}/decisions-{uuid.uuid4().hex}"
+    for k, some in enumerate((rows.where("part < 3"), rows.where("part = 3"))):
+        T.decision_stream(_streamed(some, "decisions-in"), store, f"{store}-log{k}").awaitTermination()
+    return T.current_decisions(spark, store).drop("resolved_at")
+
+
 def _account(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("account"), F.col("ts").alias("created_at"))
 
