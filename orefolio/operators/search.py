@@ -1,20 +1,33 @@
-"""Exact cosine retrieval over a table of questions, contexts and citations."""
+"""Exact cosine retrieval over a table of questions, contexts and citations.
+
+Passages are dealt to shards around pivots, and a shard knows the largest angle between its pivot and a passage of it. By the
+triangle inequality of angles no passage of a shard is nearer to a question than the angle to the pivot less that radius. A
+question is asked in the nearest shards first, which gives it k distances; then only shards that can hold something nearer than
+the k-th of them are read. What is found is exact: bounds and a first look by matrix product only leave rows out that are
+further off by more than a margin, and the distances of the others are summed in the order of their components.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.staging import staged
 from .findings import completed, scope
 
 K, OVERFETCH = 8, 4
-BLOCK = 256
 CONTEXT_CAP = 6000
 
-
-#: Parts that the passages of a search are dealt to.
-SHARDS = 64
+#: At most so many pivots; passages of a shard that a task holds; questions that a task holds.
+PIVOTS, ROWS, QUESTIONS = 256, 1 << 15, 1 << 12
+#: Allowance for rounding in bounds (radians) and in a first look by matrix product.
+MARGIN = 1e-6
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -25,25 +38,151 @@ def with_norm(rows: DataFrame) -> DataFrame:
     return rows.withColumn("norm", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))))
 
 
-def top_k_per_query(questions: DataFrame, passages: DataFrame, k: int = K, organisation: str | None = None, blocks: int = 1, shards: int = SHARDS) -> DataFrame:
-    """Qid, rank, report_id, chunk_index, page, filename, content, organisation, distance.
-
-    The organisation filter stands below the join. Questions are dealt to `blocks` blocks and passages to `shards` shards, and
-    every block meets every shard through an equality join on both, so neither side is assumed to be small and no key holds
-    all pairs; the rank window keeps k rows per question and task before the shuffle.
+def _matrix(column) -> np.ndarray:
+    """Rows of vectors of one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _angles(vectors: np.ndarray, norms: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip((vectors / norms[:, None]) @ pivots.T, -1, 1))
+
+
+@dataclass
+class Bounds:
+    """What is known of every shard, of which there are at most PIVOTS: its pivot, radius and number of passages."""
+
+    pivots: np.ndarray
+    radii: np.ndarray
+    sizes: np.ndarray
+
+    def order(self, vectors: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per question the shards by their least possible angle, and these angles."""
+        angles = _angles(vectors, norms, self.pivots)
+        least = np.maximum(angles - self.radii - MARGIN, 0)
+        least[:, self.sizes == 0] = np.inf
+        by = np.argsort(least + 1e-9 * angles, axis=1, kind="stable")  # inside several shards: the nearest pivot first
+        return by, np.take_along_axis(least, by, axis=1)
+
+
+class Shards:
+    """The passages by shard."""
+
+    def __init__(self, rows: DataFrame, pivots: int | None = None) -> None:
+        narrow = with_norm(rows.select("report_id", "chunk_index", F.col("embedding").cast("array<double>").alias("embedding"))).where("norm > 0")
+        narrow = staged(narrow, "vectors")
+        n = narrow.count()
+        count = pivots or max(1, min(PIVOTS, round(n ** 0.5 / 2)))
+        chosen = narrow.orderBy(F.xxhash64("report_id", "chunk_index"), "report_id", "chunk_index").limit(count).collect()  # the pivots
+        at = np.array([r["embedding"] for r in chosen]).reshape(len(chosen), -1)
+        at = at / np.array([r["norm"] for r in chosen])[:, None] if len(chosen) else at
+
+        def deal(batches):
+            for batch in batches:
+                angles = _angles(_matrix(batch.column(2)), batch.column(3).to_numpy(), at)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(angles.argmin(axis=1).astype(np.int32)), pa.array(angles.min(axis=1))],
+                                                 names=[*batch.schema.names, "shard", "angle"])
+
+        dealt = staged(narrow.mapInArrow(deal, "report_id long, chunk_index int, embedding array<double>, norm double, shard int, angle double"), "shards") if n else None
+        facts = {r["shard"]: r for r in dealt.groupBy("shard").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()} if n else {}
+        self.bounds = Bounds(at, np.array([facts[k]["radius"] if k in facts else 0.0 for k in range(len(chosen))]),
+                             np.array([facts[k]["n"] if k in facts else 0 for k in range(len(chosen))], np.int64))
+        if n:  # a crowded shard is cut into parts that a task can hold
+            parts = F.element_at(F.array(*[F.lit(max(1, -(-int(x) // ROWS))) for x in self.bounds.sizes]), F.col("shard") + 1)
+            self.rows = dealt.select("shard", F.pmod(F.xxhash64("report_id", "chunk_index"), parts).alias("piece"), "report_id", "chunk_index", "embedding", "norm")
+        else:
+            self.rows = None
+
+    def _asked(self, asked: DataFrame, pick: Callable) -> DataFrame:
+        """asked with a row for each shard that pick chooses out of a question's order."""
+        bounds = self.bounds
+
+        def run(batches):
+            for batch in batches:
+                by, least = bounds.order(_matrix(batch.column(1)), batch.column(2).to_numpy())
+                chosen = [pick(b, x, worst) for b, x, worst in zip(by, least, batch.column(4).to_numpy())]
+                again = np.repeat(np.arange(batch.num_rows), [len(c) for c in chosen])
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(again)).columns, pa.array(np.concatenate([*chosen, np.zeros(0)]).astype(np.int32))],
+                                                 names=[*batch.schema.names, "shard"])
+
+        return asked.mapInArrow(run, "qid long, q array<double>, qn double, block long, worst double, shard int")
+
+    def first_asked(self, asked: DataFrame, k: int) -> DataFrame:
+        """The nearest shards that hold k passages between them."""
+        sizes = self.bounds.sizes
+        return self._asked(asked, lambda by, least, worst: by[:int(np.searchsorted(np.cumsum(sizes[by]), k)) + 1])
+
+    def then_asked(self, asked: DataFrame, k: int) -> DataFrame:
+        """Of the others those that can hold a passage no further than the k-th so far."""
+        sizes = self.bounds.sizes
+
+        def pick(by, least, worst):
+            reach = np.arccos(np.clip(1 - worst, -1, 1)) + MARGIN if np.isfinite(worst) else np.pi + 1
+            later = np.arange(len(by)) > np.searchsorted(np.cumsum(sizes[by]), k)
+            return by[later & (least <= reach)]
+
+        return self._asked(asked, pick)
+
+    def nearest(self, asked: DataFrame, k: int) -> DataFrame:
+        """qid, report_id, chunk_index, distance: of every shard piece a question is asked in its k nearest that are no further than
+        `worst`."""
+        keys = ["shard", "piece", "block"]
+        pieces = self.rows.join(asked.select("shard", "block").distinct(), "shard").select(*[F.col(c).alias(c) for c in [*keys, "report_id", "chunk_index", "embedding", "norm"]])
+        asks = asked.join(self.rows.select("shard", "piece").distinct(), "shard").select(*[F.col(c).alias(c) for c in [*keys, "qid", "q", "qn", "worst"]])
+
+        def task(x: pa.Table, y: pa.Table) -> pa.Table:
+            out = {"qid": [], "report_id": [], "chunk_index": [], "distance": []}
+            if x.num_rows and y.num_rows:
+                vectors, norms = _matrix(x.column("embedding")), x.column("norm").to_numpy()
+                reports, chunks = x.column("report_id").to_numpy(), x.column("chunk_index").to_numpy()
+                for qid, q, qn, worst in zip(y.column("qid").to_pylist(), _matrix(y.column("q")), y.column("qn").to_numpy(), y.column("worst").to_numpy()):
+                    look = vectors @ (q / qn) / norms
+                    floor = np.partition(look, -k)[-k] if len(look) > k else -2.0
+                    near = np.flatnonzero(look >= max(floor, 1 - worst) - MARGIN)
+                    distance = 1.0 - np.cumsum(vectors[near] * q, axis=1)[:, -1] / (qn * norms[near]) if len(near) else np.zeros(0)
+                    best = np.lexsort((chunks[near], reports[near], distance))[:k]
+                    out["qid"] += [qid] * len(best)
+                    out["report_id"] += reports[near[best]].tolist()
+                    out["chunk_index"] += chunks[near[best]].tolist()
+                    out["distance"] += distance[best].tolist()
+            return pa.table(out, pa.schema([("qid", pa.int64()), ("report_id", pa.int64()), ("chunk_index", pa.int32()), ("distance", pa.float64())]))
+
+        return pieces.groupBy(keys).cogroup(asks.groupBy(keys)).applyInArrow(task, "qid long, report_id long, chunk_index int, distance double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "report_id", "chunk_index"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _search(questions: DataFrame, rows: DataFrame, k: int, pivots: int | None = None) -> tuple[Shards, DataFrame, DataFrame, DataFrame]:
+    """Shards, the two rounds of questions (a row per shard asked), and the k nearest of each question."""
+    shards = Shards(rows, pivots)
+    asked = with_norm(questions.select("qid", F.col("embedding").cast("array<double>").alias("embedding"))).where("norm > 0")
+    asked = staged(asked.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("q"), F.col("norm").alias("qn")), "questions")
+    blocks = max(1, -(-asked.count() // QUESTIONS))
+    asked = asked.select("qid", "q", "qn", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"), F.lit(float("inf")).alias("worst"))
+    if shards.rows is None:
+        none = asked.select("qid", F.lit(0).cast("long").alias("report_id"), F.lit(0).alias("chunk_index"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).where("false")
+        return shards, asked.where("false"), asked.where("false"), none
+    first = staged(shards.first_asked(asked, k), "asked-first")
+    near = staged(_ranked(shards.nearest(first, k), k), "near-first")
+    worst = near.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(float("inf")).alias("worst"))
+    then = staged(shards.then_asked(asked.drop("worst").join(worst, "qid").select(*asked.columns), k), "asked-then")
+    return shards, first, then, staged(_ranked(near.drop("rank").unionByName(shards.nearest(then, k)), k), "near")
+
+
+def top_k_per_query(questions: DataFrame, passages: DataFrame, k: int = K, organisation: str | None = None, pivots: int | None = None) -> DataFrame:
+    """Qid, rank, report_id, chunk_index, page, filename, content, organisation, distance; ties by report and chunk.
+
+    The organisation filter stands below the search. Questions and passages without a vector, or with one of length zero, take
+    no part. report_id and chunk_index name one passage. Vectors alone are searched; texts are fetched for the k rows of each
+    question.
     """
     rows = passages if organisation in (None, "ALL") else passages.where(F.col("organisation") == organisation)
-    asked = with_norm(questions.select("qid", "embedding")).select(
-        "qid", F.col("embedding").alias("q"), F.col("norm").alias("qn"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    right = with_norm(rows.select("report_id", "chunk_index", "page", "filename", "content", "organisation", "embedding")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn(
-        "shard", F.pmod(F.xxhash64("report_id", "chunk_index"), F.lit(shards)))
-    cosine = _dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("norm"))
-    scored = right.join(asked, ["block", "shard"]).where((F.col("norm") > 0) & (F.col("qn") > 0)).select(
-        "qid", "report_id", "chunk_index", "page", "filename", "content", "organisation", (F.lit(1.0) - cosine).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "report_id", "chunk_index"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    *_, near = _search(questions, rows, k, pivots)
+    return near.join(rows.select("report_id", "chunk_index", "page", "filename", "content", "organisation"), ["report_id", "chunk_index"]).select(
+        "qid", "report_id", "chunk_index", "page", "filename", "content", "organisation", "distance", "rank")
 
 
 def collapse_copies(ranked: DataFrame, k: int = K) -> DataFrame:
@@ -60,9 +199,9 @@ def collapse_copies(ranked: DataFrame, k: int = K) -> DataFrame:
                     F.array_remove(F.col("ids"), F.col("report_id")).alias("also_in")))
 
 
-def cosine_search(questions: DataFrame, passages: DataFrame, k: int = K, organisation: str | None = None, blocks: int = 1) -> DataFrame:
+def cosine_search(questions: DataFrame, passages: DataFrame, k: int = K, organisation: str | None = None) -> DataFrame:
     """C4 with over-fetch and W5."""
-    return collapse_copies(top_k_per_query(questions, passages, k * OVERFETCH, organisation, blocks), k)
+    return collapse_copies(top_k_per_query(questions, passages, k * OVERFETCH, organisation), k)
 
 
 def retrieval_context(hits: DataFrame) -> DataFrame:

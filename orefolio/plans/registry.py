@@ -705,32 +705,23 @@ def c5(spark, d):
     return Q.retrieval_context(Q.cosine_search(I.questions(spark, d), I.vector_passages(spark, d))).select("qid", "context", "cited")
 
 
-def _asked(spark, d):
-    """Every vector whose id is divisible by 20, and a block for each Q.BLOCK of them."""
-    asked = I.questions(spark, d, 20)
-    return asked, max(1, -(-asked.count() // Q.BLOCK))
-
-
 HITS_20 = HITS.replace("report_id % 50", "report_id % 20")
 
 
 @query("c4_w5_cosine_search_20", ORACLES["c4_w5_cosine_search"].replace(HITS, HITS_20).replace("round(sim, 3)", "round(sim, 4)"))
 def c4_20(spark, d):
-    asked, blocks = _asked(spark, d)
-    hits = Q.cosine_search(asked, I.vector_passages(spark, d), blocks=blocks)
+    hits = Q.cosine_search(I.questions(spark, d, 20), I.vector_passages(spark, d))
     return hits.select("qid", "place", "report_id", "filename", "similarity", F.array_join("also_in", ",").alias("also_in"))
 
 
 @query("w4_top_k_per_query_20", ORACLES["w4_top_k_per_query"].replace(HITS, HITS_20))
 def w4_20(spark, d):
-    asked, blocks = _asked(spark, d)
-    return Q.top_k_per_query(asked, I.vector_passages(spark, d), blocks=blocks).select("qid", "rank", "report_id")
+    return Q.top_k_per_query(I.questions(spark, d, 20), I.vector_passages(spark, d)).select("qid", "rank", "report_id")
 
 
 @query("c5_retrieval_context_20", ORACLES["c5_retrieval_context"].replace(HITS, HITS_20))
 def c5_20(spark, d):
-    asked, blocks = _asked(spark, d)
-    return Q.retrieval_context(Q.cosine_search(asked, I.vector_passages(spark, d), blocks=blocks)).select("qid", "context", "cited")
+    return Q.retrieval_context(Q.cosine_search(I.questions(spark, d, 20), I.vector_passages(spark, d))).select("qid", "context", "cited")
 
 
 BLOCK = "concat('Report: ', filename, chr(10), 'Date: ', coalesce(report_date, ''), chr(10), 'Location: ', trim(coalesce(location, '')), chr(10), 'Mineral: ', trim(coalesce(mineral_type, '')), chr(10), 'Quantity: ', coalesce(quantity_extracted, ''), chr(10), 'Method: ', coalesce(extraction_method, ''), chr(10), 'Summary: ', trim(coalesce(summary, '')), chr(10), 'Topics: ', trim(replace(topics_text, '|', ', ')), chr(10))"

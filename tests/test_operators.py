@@ -115,8 +115,7 @@ def test_search_collapses_copies(spark):
     hits = search.cosine_search(asked, p, 2).orderBy("place").collect()
     assert (hits[0]["report_id"], hits[0]["also_in"], hits[0]["similarity"]) == (1, [2, 3, 4], 1.0)
     assert search.cosine_search(asked, p, 1, "o2").collect()[0]["report_id"] == 2
-    two = search.cosine_search(asked, p, 2, blocks=3).orderBy("place").collect()
-    assert two == hits
+    assert search.cosine_search(asked, p.limit(0), 2).count() == 0 and search.cosine_search(asked.limit(0), p, 2).count() == 0
 
 
 def test_selection_finds_needles(spark):
