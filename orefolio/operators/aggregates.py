@@ -67,20 +67,32 @@ def organisations(documents: DataFrame) -> DataFrame:
             .orderBy(F.desc("reports"), "name"))
 
 
+def term_counts(c: Column) -> Column:
+    """ARRAY<STRUCT<n, first, term>> of a text's words that are no stopwords: how often and where first. Words are sorted with their
+    places, and a term's count is the length of its run, so that nothing leaves the row."""
+    bind = lambda value, body: F.transform(F.array(value), body).getItem(0)
+    kept = F.filter(F.transform(text.words(c), lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: ~x["w"].isin(STOPWORDS))
+
+    def runs(ws: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda k: (k == 0) | (F.get(ws, k)["w"] != F.get(ws, F.greatest(k - 1, F.lit(0)))["w"]))
+        return bind(begins, lambda b: F.transform(b, lambda k, j: F.struct(
+            (F.coalesce(F.get(b, j + 1), F.size(ws)) - k).cast("bigint").alias("n"), F.get(ws, k)["k"].alias("first"), F.get(ws, k)["w"].alias("term"))))
+
+    return bind(F.array_sort(kept), lambda ws: F.when(F.size(ws) > 0, runs(ws)).otherwise(F.array().cast("array<struct<n:bigint,first:int,term:string>>")))
+
+
 def top_terms(docs: DataFrame, n: int = 10, id_col: str = "report_id", text_col: str = "text") -> DataFrame:
-    """A9 per report: id, term, n, rank; ties by first occurrence. Frequencies are counted within the row, so a term
-    shuffles once per report, not once per occurrence."""
-    tokens = docs.select(F.col(id_col).alias("report_id"), F.posexplode(text.words(F.col(text_col))).alias("pos", "term"))
-    counts = (tokens.where(~F.col("term").isin(STOPWORDS))
-              .groupBy("report_id", "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")))
-    rank = F.row_number().over(Window.partitionBy("report_id").orderBy(F.desc("n"), "first"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= n).select("report_id", "term", "n", "rank")
+    """A9 per report: id, term, n, rank; ties by first occurrence. Frequencies are counted and ranked within the row: nothing is
+    shuffled."""
+    ranked = F.slice(F.array_sort(F.transform(term_counts(F.col(text_col)), lambda t: F.struct((-t["n"]).alias("least"), t["first"].alias("first"), t["term"].alias("term")))), 1, n)
+    return docs.select(F.col(id_col).alias("report_id"), F.posexplode(ranked).alias("k", "t")).select(
+        "report_id", "t.term", (-F.col("t.least")).alias("n"), (F.col("k") + 1).alias("rank"))
 
 
 def corpus_terms(docs: DataFrame, n: int = 10, text_col: str = "text") -> DataFrame:
-    """A9 over the corpus: ties in text order."""
-    return (docs.select(F.explode(text.words(F.col(text_col))).alias("term")).where(~F.col("term").isin(STOPWORDS))
-            .groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(n))
+    """A9 over the corpus: ties in text order. A term leaves a report once, with its count."""
+    return (docs.select(F.explode(term_counts(F.col(text_col))).alias("t")).groupBy("t.term").agg(F.sum("t.n").alias("n"))
+            .orderBy(F.desc("n"), "term").limit(n))
 
 
 def report_topics(reports: DataFrame) -> DataFrame:
@@ -110,14 +122,39 @@ def topic_entities(reports: DataFrame, related: int = 6) -> DataFrame:
                     F.coalesce("related_terms", F.array().cast("array<string>")).alias("related_terms")))
 
 
+#: Characters of the grams under which strings are found that contain another one.
+GRAM = 3
+
+
+def _grams(c: Column, of_all: bool) -> Column:
+    """Distinct grams of a string: those of GRAM characters, or the string itself if it is shorter; of_all: those of fewer characters
+    as well, and the empty one."""
+    n = F.length(c)
+    of = lambda size: F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda k: F.substring(c, k, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    if of_all:
+        return F.array_distinct(F.concat(F.array(F.lit("")), *[of(size) for size in range(1, GRAM + 1)]))
+    return F.array_distinct(F.when(n >= GRAM, of(GRAM)).otherwise(F.array(c)))
+
+
+def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs (inner, outer) of distinct strings, columns s, where the one stands in the other. An inner string is looked up under its
+    rarest gram among the outer ones, and what is found is verified; both sides may be of any size."""
+    index = outer.select(F.col("s").alias("outer"), F.explode(_grams(F.col("s"), True)).alias("gram"))
+    common = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = inner.select(F.col("s").alias("inner"), F.explode(_grams(F.col("s"), False)).alias("gram")).join(common, "gram", "left")
+    rarest = asked.groupBy("inner").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(index, "gram").where(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
+
+
 def topic_documents(reports: DataFrame, terms: DataFrame) -> DataFrame:
     """Term, report_id where the term and one of the report's topics contain each other, either way, in any case.
-    Distinct topics meet the terms, not reports; the terms of a listing are few."""
-    topics = report_topics(reports)
-    distinct = topics.select("term").distinct().withColumn("t", F.lower("term"))
-    asked = terms.select(F.col("name"), F.lower("name").alias("q"))
-    match = distinct.join(asked, F.col("t").contains(F.col("q")) | F.col("q").contains(F.col("t")))
-    return match.select("term", "name").join(topics, "term").select("name", "report_id").distinct()
+    Distinct topics meet distinct terms through an index of grams, not reports, and no pair is tried that shares none."""
+    topics = report_topics(reports).withColumn("t", F.lower("term"))
+    asked = terms.select("name", F.lower("name").alias("q")).where("q IS NOT NULL").distinct()
+    some, all_ = asked.select(F.col("q").alias("s")).distinct(), topics.select(F.col("t").alias("s")).distinct()
+    match = (containing(some, all_).select(F.col("inner").alias("q"), F.col("outer").alias("t"))
+             .unionByName(containing(all_, some).select(F.col("outer").alias("q"), F.col("inner").alias("t"))).distinct())
+    return match.join(asked, "q").join(topics.select("t", "report_id"), "t").select("name", "report_id").distinct()
 
 
 def topic_share(reports: DataFrame, terms: DataFrame, organisation: str | None = None) -> DataFrame:

@@ -38,13 +38,18 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def spans(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """ARRAY<STRUCT<at, end>> of a page's chunks (0-based, end exclusive), folded over a sequence that carries the start.
+def _cells(c: Column, size: int) -> Column:
+    """The text in cells of `size` characters, so that a place is looked up and not walked to."""
+    return F.regexp_extract_all(c, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
-    A window ends behind its last ". ", else its last space, found in its second half, else at its full size; the next
-    begins `overlap` earlier, at least one character on.
-    """
-    n = F.length(c)
+
+def _from_cells(cells: Column, size: int, at: Column, end: Column, most: int) -> Column:
+    """Characters at to end (0-based, end exclusive, at most `most` of them) of a text in cells."""
+    near = F.array_join(F.slice(cells, F.floor(at / size).cast("int") + 1, F.lit(most // size + 2)), "")
+    return F.substring(near, (at % size + 1).cast("int"), (end - at).cast("int"))
+
+
+def _fold_spans(cells: Column, n: Column, size: int, overlap: int) -> Column:
     half = size // 2
     rounds = F.sequence(F.lit(1), (n / (half - overlap) + 1).cast("int"))
     start = F.struct(F.lit(0).alias("at"), (n == 0).alias("done"), F.array().cast("array<struct<at:int,end:int>>").alias("spans"))
@@ -52,27 +57,44 @@ def spans(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     def step(acc: Column, _: Column) -> Column:
         at = acc["at"]
         full = F.least(at + size, n)
-        tail = F.reverse(F.substring(c, at + half + 1, F.greatest(full - at - half, F.lit(0))))
-        dot, blank = (F.call_function("locate", F.lit(x), tail) for x in (" .", " "))
-        end = (F.when(full == n, n).when(dot > 0, full - dot).when(blank > 0, full - blank + 1).otherwise(full))
-        moved = _bind(end.cast("int"), lambda e: F.struct(
-            F.greatest(e - overlap, at + 1).alias("at"), (e >= n).alias("done"),
-            F.concat(acc["spans"], F.array(F.struct(at.alias("at"), e.alias("end")))).alias("spans")))
-        return F.when(acc["done"], acc).otherwise(moved)
+        tail = F.reverse(F.when(full > at + half, _from_cells(cells, half, at + half, full, half)).otherwise(""))
+
+        def cut(t: Column) -> Column:
+            dot, blank = (F.call_function("locate", F.lit(x), t) for x in (" .", " "))
+            end = F.when(full == n, n).when(dot > 0, full - dot).when(blank > 0, full - blank + 1).otherwise(full).cast("int")
+            return _bind(end, lambda e: F.struct(F.greatest(e - overlap, at + 1).alias("at"), (e >= n).alias("done"),
+                                                 F.concat(acc["spans"], F.array(F.struct(at.alias("at"), e.alias("end")))).alias("spans")))
+
+        return F.when(acc["done"], acc).otherwise(_bind(tail, cut))
 
     return F.aggregate(rounds, start, step, lambda acc: acc["spans"])
 
 
+def spans(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """ARRAY<STRUCT<at, end>> of a page's chunks (0-based, end exclusive), folded over a sequence that carries the start.
+
+    A window ends behind its last ". ", else its last space, found in its second half, else at its full size; the next
+    begins `overlap` earlier, at least one character on. A step looks at a few cells of the page, whatever its length.
+    """
+    return _bind(_cells(c, size // 2), lambda cells: _fold_spans(cells, F.length(c), size, overlap))
+
+
+def pieces(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """The chunks of a page in order, stripped."""
+    half = size // 2
+    cut = lambda cells: F.transform(_fold_spans(cells, F.length(c), size, overlap), lambda s: F.trim(
+        _from_cells(cells, half, s["at"], s["end"], size), F.lit(BLANKS)))
+    return _bind(_cells(c, half), cut)
+
+
 def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """report_id, page, chunk_index, content (and the pages' other columns); blank pieces are dropped and chunk_index
     runs over the report. A raw text without pages comes in as page 0."""
-    tidy = pages.withColumn("__t", text.tidy_text(F.coalesce("text", F.lit(""))))
     keep = [c for c in pages.columns if c != "text"]
-    cut = (tidy.where(F.length("__t") > 0).select(*keep, "__t", F.posexplode(spans(F.col("__t"), size, overlap)).alias("__k", "__s"))
-           .select(*keep, "__k", F.trim(F.substring("__t", F.col("__s.at") + 1, F.col("__s.end") - F.col("__s.at")), F.lit(BLANKS)).alias("content"))
-           .where(F.length("content") > 0))
+    cut = _bind(text.tidy_text(F.coalesce("text", F.lit(""))), lambda t: pieces(t, size, overlap))
+    rows = pages.select(*keep, F.posexplode(cut).alias("__k", "content")).where(F.length("content") > 0)
     order = Window.partitionBy("report_id").orderBy("page", "__k")
-    return cut.withColumn("chunk_index", F.row_number().over(order) - 1).drop("__k")
+    return rows.withColumn("chunk_index", F.row_number().over(order) - 1).drop("__k").select(*keep, "content", "chunk_index")
 
 
 def pages_or_raw(reports: DataFrame) -> DataFrame:
@@ -130,23 +152,23 @@ def embed(passages: DataFrame, fn: Callable[[list[str]], list[list[float]]] | No
     return passages.mapInPandas(run, schema)
 
 
-def cue_hits(c: Column) -> Column:
-    """Hits per field group: non-overlapping occurrences of its cues in the lower-cased text."""
-    low = F.lower(c)
-    count = lambda cue: ((F.length(low) - F.length(F.replace(low, F.lit(cue), F.lit("")))) / len(cue)).cast("int")
+def _hits(low: Column) -> list[Column]:
+    """Hits per field group in a lower-cased text that is computed already."""
+    n = F.length(low)
+    count = lambda cue: F.floor((n - F.length(F.replace(low, cue, F.lit("")))) / F.length(cue)).cast("int")
+    return [F.aggregate(F.array(*map(F.lit, cues)), F.lit(0), lambda total, cue: total + count(cue)).alias(group) for group, cues in FIELD_CUES.items()]
 
-    def total(cues):
-        out = count(cues[0])
-        for cue in cues[1:]:
-            out = out + count(cue)
-        return out
 
-    return F.struct(*[total(cues).alias(group) for group, cues in FIELD_CUES.items()])
+def cue_hits(c: Column) -> Column:
+    """Hits per field group: non-overlapping occurrences of each of its cues in the lower-cased text, which is made once."""
+    return _bind(F.lower(c), lambda low: F.struct(*_hits(low)))
 
 
 def with_cue_score(passages: DataFrame) -> DataFrame:
     """2 x groups hit + 0.5 x hits (three per group at most) + 12 x digits per character."""
-    rows = passages.withColumn("hits", cue_hits(F.col("content")))
-    breadth = sum(((F.col(f"hits.{g}") > 0).cast("int") for g in FIELD_CUES), F.lit(0))
-    depth = sum((F.least(F.col(f"hits.{g}"), F.lit(3)) for g in FIELD_CUES), F.lit(0))
-    return rows.withColumn("score", breadth * F.lit(2.0) + depth * F.lit(0.5) + text.mentions_figure(F.col("content")) * F.lit(12.0))
+    def scored(hits: Column) -> Column:
+        breadth = sum(((hits[g] > 0).cast("int") for g in FIELD_CUES), F.lit(0))
+        depth = sum((F.least(hits[g], F.lit(3)) for g in FIELD_CUES), F.lit(0))
+        return F.struct(hits.alias("hits"), (breadth * F.lit(2.0) + depth * F.lit(0.5) + text.mentions_figure(F.col("content")) * F.lit(12.0)).alias("score"))
+
+    return passages.withColumn("__s", _bind(cue_hits(F.col("content")), scored)).select(*passages.columns, "__s.hits", "__s.score")

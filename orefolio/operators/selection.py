@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .passages import FIELD_CUES, with_cue_score
 
 BUDGET = 8000
@@ -47,12 +48,14 @@ def choose(lengths: list[int], scores: list[float], groups: list[set[str]], budg
 def select_passages(passages: DataFrame, budget: int = BUDGET) -> DataFrame:
     """report_id, excerpt, pages. passages: report_id, page, chunk_index, content.
 
-    Reports within the budget are joined in order by aggregation alone. For the others the greedy choice runs per report
-    on lengths, scores and groups only; texts stay in Spark and are joined by place afterwards.
+    Chunks are made once and staged with their lengths. Reports within the budget are joined in order by aggregation alone. For
+    the others the greedy choice runs per report on lengths, scores and groups only; texts stay in Spark and are joined by place
+    afterwards.
     """
-    total = F.sum(F.length("content")).over(Window.partitionBy("report_id"))
-    rows = passages.withColumn("total", total)
-    over = with_cue_score(rows.where(F.col("total") > budget)).withColumn(
+    rows = staged(passages.select("report_id", "page", "chunk_index", "content", F.length("content").alias("n")), "chunks")
+    total = rows.groupBy("report_id").agg((F.sum("n") > budget).alias("over"))
+    sized = rows.join(total, "report_id")
+    over = with_cue_score(sized.where("over")).withColumn(
         "groups", F.array_compact(F.array(*[F.when(F.col(f"hits.{g}") > 0, F.lit(g)) for g in FIELD_CUES])))
 
     def per_report(frame: pd.DataFrame) -> pd.DataFrame:
@@ -60,12 +63,11 @@ def select_passages(passages: DataFrame, budget: int = BUDGET) -> DataFrame:
         found = choose(frame["n"].tolist(), frame["score"].tolist(), [set(g) for g in frame["groups"]], budget)
         return pd.DataFrame({"report_id": frame["report_id"].iloc[found].to_numpy(), "chunk_index": frame["chunk_index"].iloc[found].to_numpy()})
 
-    chosen = (over.select("report_id", "chunk_index", F.length("content").alias("n"), "score", "groups").groupBy("report_id")
-              .applyInPandas(per_report, "report_id long, chunk_index int"))
+    chosen = over.select("report_id", "chunk_index", "n", "score", "groups").groupBy("report_id").applyInPandas(per_report, "report_id long, chunk_index int")
     previous = F.lag("chunk_index").over(Window.partitionBy("report_id").orderBy("chunk_index"))
     mark = F.when(F.col("page") > 0, F.concat(F.lit("[... page "), F.col("page").cast("string"), F.lit(" ...]"))).otherwise("[...]")
     part = F.when(F.col("chunk_index") != F.col("previous") + 1, F.concat(mark, F.lit("\n\n"), F.col("content"))).otherwise(F.col("content"))
-    kept = (rows.where(F.col("total") <= budget).select("report_id", "page", "chunk_index", F.col("content").alias("part"))
+    kept = (sized.where("NOT over").select("report_id", "page", "chunk_index", F.col("content").alias("part"))
             .unionByName(rows.join(chosen, ["report_id", "chunk_index"]).withColumn("previous", previous)
                          .select("report_id", "page", "chunk_index", part.alias("part"))))
     return kept.groupBy("report_id").agg(
