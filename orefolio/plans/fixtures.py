@@ -63,6 +63,25 @@ SELECT r.id, concat(repeat('Survey notes of the region. ', 12), r.page1, repeat(
 FROM ({reports}) r
 """.replace("{reports}", REPORTS)
 
+#: Values in Hindi and Telugu, texts in several scripts, and sentences for the keyword rules; figure, period and term as they are meant.
+INDIC = """
+SELECT b.id, CASE b.id % 6 WHEN 0 THEN concat('पहली तिमाही 1998: ', b.deva, ' टन') WHEN 1 THEN concat('త్రైమాసికం 2 1998: ', b.telu, ' టన్నులు') WHEN 2 THEN concat('वित्तीय वर्ष 1998 में ', b.latin, ' टन')
+    WHEN 3 THEN concat(b.telu, ' టన్నులు') WHEN 4 THEN 'पहली तिमाही 1998' ELSE concat('मार्च 1998: ', b.deva, ' टन') END AS quantity,
+  CASE WHEN b.id % 6 = 4 THEN NULL ELSE b.figure END AS figure,
+  CASE b.id % 7 WHEN 0 THEN 'दूसरी तिमाही १९९८' WHEN 1 THEN 'మూడవ త్రైమాసికం ౧౯౯౮' WHEN 2 THEN 'दिसंबर 1998' WHEN 3 THEN 'ఆగస్టు ౧౯౯౮' WHEN 4 THEN '१९९८' WHEN 5 THEN 'తెలియదు' END AS reported,
+  CASE WHEN b.id % 7 < 5 THEN 1998 END AS p_year, CASE b.id % 7 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 3 END AS p_quarter,
+  CASE b.id % 8 WHEN 0 THEN ' कोयला ' WHEN 1 THEN 'బొగ్గు' WHEN 2 THEN 'लौह-अयस्क' WHEN 3 THEN 'खुली  खदान' WHEN 4 THEN 'భూగర్భ' WHEN 5 THEN 'चूना पत्थर.' WHEN 6 THEN 'చలువరాయి' END AS stated,
+  CASE b.id % 8 WHEN 0 THEN 'coal' WHEN 1 THEN 'coal' WHEN 2 THEN 'iron ore' WHEN 3 THEN 'opencast' WHEN 4 THEN 'underground' WHEN 5 THEN 'limestone' END AS term,
+  concat(CASE WHEN b.id % 2 = 0 THEN 'coal कोयला ' ELSE 'Report ' END, CASE WHEN b.id % 3 = 0 THEN 'బొగ్గు గని ' ELSE '' END, CASE WHEN b.id % 5 = 0 THEN 'தமிழ் ' ELSE '' END, CASE WHEN b.id % 7 = 0 THEN 'বাংলা ગુજરાતી ' ELSE '' END,
+    CASE WHEN b.id % 11 = 0 THEN 'ଓଡ଼ିଆ' ELSE '' END) AS body,
+  concat('The ', CASE b.id % 7 WHEN 0 THEN 'Lignite and coal' WHEN 1 THEN 'iron' WHEN 2 THEN 'BAUXITE' WHEN 3 THEN 'copper, gold' WHEN 4 THEN 'Gold' WHEN 5 THEN 'coal' ELSE 'stone' END, ' of ',
+    CASE b.id % 6 WHEN 0 THEN 'Jharkhand and Bihar' WHEN 1 THEN 'ODISHA' WHEN 2 THEN 'madhya pradesh' WHEN 3 THEN 'Telangana' WHEN 4 THEN 'Bihar' ELSE 'the plain' END, ' is worked ',
+    CASE b.id % 5 WHEN 0 THEN 'under ground' WHEN 1 THEN 'Underground, formerly opencast' WHEN 2 THEN 'by Open Cast' WHEN 3 THEN 'OPENCAST' ELSE 'by hand' END) AS told
+FROM (SELECT o_orderkey AS id, 45000 + 3500 * (o_orderkey % 3) AS figure, cast(45000 + 3500 * (o_orderkey % 3) AS varchar(20)) AS latin,
+  concat(translate(substring(cast(45000 + 3500 * (o_orderkey % 3) AS varchar(20)), 1, 2), '0123456789', '०१२३४५६७८९'), ',', translate(substring(cast(45000 + 3500 * (o_orderkey % 3) AS varchar(20)), 3, 3), '0123456789', '०१२३४५६७८९')) AS deva,
+  translate(cast(45000 + 3500 * (o_orderkey % 3) AS varchar(20)), '0123456789', '౦౧౨౩౪౫౬౭౮౯') AS telu FROM {orders}) b
+"""
+
 DECISIONS = """
 SELECT concat('missing:mineral_type:', cast(o_orderkey AS varchar(20))) AS finding_id,
   CASE o_orderkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'flagged' WHEN 2 THEN 'pending' ELSE 'dismissed' END AS status,
@@ -160,7 +179,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array("r1", "r2").alias("report_ids_used")))
 
 
-def questions(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
+def questions(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     """qid, embedding: vectors whose id is divisible by `every`, as questions over the embeddings table."""
     return (spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") % every == 0)
             .select(F.col("vec_id").alias("qid"), "embedding"))

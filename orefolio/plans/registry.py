@@ -40,6 +40,14 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def also(name: str):
+    """A second name of a query."""
+    def add(fn):
+        first = next(n for n, f in QUERIES.items() if f is fn)
+        return query(name, ORACLES.get(first))(fn)
+    return add
+
+
 # --- SQL pieces -------------------------------------------------------------------------------------------------------
 
 REPORTS = "reports AS (" + I.duck(I.REPORTS) + ")"
@@ -163,19 +171,19 @@ def f5_scope(spark, d):
     return flat(D.all_findings(I.reports(spark, d), "NATION_6"))
 
 
-@query("f6_apply_decisions", WITH + f", {MISSING}, {DECISIONS} SELECT finding_id, status, note, resolved_by FROM latest WHERE finding_id IN (SELECT id FROM missing)")
+@query("f6_apply_decisions", WITH + f", {FINDINGS}, {DECISIONS} SELECT finding_id, status, note, resolved_by FROM latest WHERE finding_id IN (SELECT id FROM findings)")
 def f6(spark, d):
-    return D.apply_decisions(D.missing_fields(I.reports(spark, d)), I.decisions(spark, d)).drop("resolved_at")
+    return D.apply_decisions(D.all_findings(I.reports(spark, d)), I.decisions(spark, d)).drop("resolved_at")
 
 
-@query("j2_findings_with_decisions", WITH + f", {MISSING}, {DECISIONS} SELECT m.id, coalesce(l.status, 'pending') AS decision, l.note FROM missing m LEFT JOIN latest l ON m.id = l.finding_id")
+@query("j2_findings_with_decisions", WITH + f", {FINDINGS}, {DECISIONS} SELECT m.id, coalesce(l.status, 'pending') AS decision, l.note FROM findings m LEFT JOIN latest l ON m.id = l.finding_id")
 def j2(spark, d):
-    return D.with_decisions(D.missing_fields(I.reports(spark, d)), I.decisions(spark, d)).select("id", "decision", "note")
+    return D.with_decisions(D.all_findings(I.reports(spark, d)), I.decisions(spark, d)).select("id", "decision", "note")
 
 
-@query("p8_findings_by_status", WITH + f", {MISSING}, {DECISIONS} SELECT m.id, l.status AS decision FROM missing m JOIN latest l ON m.id = l.finding_id")
+@query("p8_findings_by_status", WITH + f", {FINDINGS}, {DECISIONS} SELECT m.id, l.status AS decision FROM findings m JOIN latest l ON m.id = l.finding_id")
 def p8(spark, d):
-    return D.by_status(D.with_decisions(D.missing_fields(I.reports(spark, d)), I.decisions(spark, d)), "decided").select("id", "decision")
+    return D.by_status(D.with_decisions(D.all_findings(I.reports(spark, d)), I.decisions(spark, d)), "decided").select("id", "decision")
 
 
 @query("a5_finding_counts", WITH + f", {FINDINGS}, {DECISIONS}, j AS (SELECT f.*, coalesce(l.status, 'pending') AS decision FROM findings f LEFT JOIN latest l ON f.id = l.finding_id) "
@@ -191,21 +199,24 @@ def w1(spark, d):
     return D.positions(I.reports(spark, d))
 
 
-@query("w2_order_findings", WITH + f", {MISSING}, {FAILURES}, u AS (SELECT * FROM missing UNION ALL SELECT * FROM failures) SELECT id, severity FROM u "
-       "ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, id LIMIT 500")
-def w2(spark, d):
-    r = I.reports(spark, d)
-    return D.order_findings(D.missing_fields(r).unionByName(D.failures(r))).select("id", "severity").limit(500)
+ORDERED = WITH + f", {FINDINGS} SELECT id, severity, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, id) AS position FROM findings"
 
 
-@query("w2_order_all_findings", WITH + f", {FINDINGS} SELECT id, severity, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, id) AS position FROM findings")
-def w2_all(spark, d):
-    ordered = D.order_findings(D.all_findings(I.reports(spark, d))).select("id", "severity", F.monotonically_increasing_id().alias("at"))
-    rows = staged(ordered, "ordered").select("id", "severity", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+def in_places(ordered: DataFrame) -> DataFrame:
+    """The rows of a sorted table with their places in it, from 1."""
+    columns = ordered.columns
+    rows = staged(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered").select(
+        *columns, F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     # One row per partition of the sort, so the running sum is over few rows.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return rows.join(offsets, "part").select("id", "severity", (F.col("offset") + F.col("at") + 1).alias("position"))
+    return rows.join(offsets, "part").select(*columns, (F.col("offset") + F.col("at") + 1).alias("position"))
+
+
+@query("w2_order_findings", ORDERED)
+@query("w2_order_all_findings", ORDERED)
+def w2(spark, d):
+    return in_places(D.order_findings(D.all_findings(I.reports(spark, d))).select("id", "severity"))
 
 
 # --- 2.3 scalar functions -----------------------------------------------------------------------------------------------
@@ -256,12 +267,12 @@ def n10(spark, d):
 
 
 @query("n_documents", """SELECT doc_id, trim(regexp_replace(replace(text, chr(13), ''), '[ \\t]+', ' ', 'g'), chr(10) || chr(9) || chr(12) || ' ') AS n12_tidy, length(replace(text, chr(0), '')) AS s3_length,
-  md5(substring(text, 1, 500)) AS s3_capped, '' AS n16_scripts, CAST(NULL AS VARCHAR) AS n17_script, false AS n17_complex,
+  md5(substring(replace(text, chr(0), ''), 1, 50000)) AS s3_capped, '' AS n16_scripts, CAST(NULL AS VARCHAR) AS n17_script, false AS n17_complex,
   CAST(len(regexp_extract_all(text, '\\p{Nd}')) AS DOUBLE) / greatest(length(text), 1) AS n29_figures FROM documents""")
 def n_documents(spark, d):
     t = F.col("text")
     return spark.read.parquet(f"{d}/documents.parquet").select(
-        "doc_id", text.tidy_text(t).alias("n12_tidy"), F.length(text.clean_text(t)).cast("bigint").alias("s3_length"), F.md5(text.clean_text(t, 500).cast("binary")).alias("s3_capped"),
+        "doc_id", text.tidy_text(t).alias("n12_tidy"), F.length(text.clean_text(t)).cast("bigint").alias("s3_length"), F.md5(text.clean_text(t, 50_000).cast("binary")).alias("s3_capped"),
         F.array_join(text.scripts_in(t), ",").alias("n16_scripts"), text.dominant_script(t).alias("n17_script"), text.is_complex_script(t).alias("n17_complex"),
         text.mentions_figure(t).alias("n29_figures"))
 
@@ -287,27 +298,23 @@ def n21(spark, d):
     return I.flat_reports(spark, d).select("id", F.array_join(N.parse_reply_array(said), ",").alias("items"))
 
 
-@query("n23_n24_variants", WITH + f"""SELECT id, CASE WHEN id % 9 IN (0, 1) THEN '' WHEN id % 9 = 2 THEN concat(quantity_extracted, '|', q_num) WHEN id % 9 = 4 THEN concat(quantity_extracted, '|', q_num, '.0')
-  WHEN id % 9 > 5 THEN concat(b, ' MT|', q_num, ' MT|', b, '|', q_num) END AS variants FROM (SELECT *, concat(q_num // 1000, ',', lpad(cast(q_num % 1000 AS varchar), 3, '0')) AS b FROM reports) WHERE id % 9 NOT IN (3, 5)""")
-def n23(spark, d):
-    return I.flat_reports(spark, d).where("id % 9 NOT IN (3, 5)").select("id", F.array_join(numbers.search_variants(F.col("quantity_extracted")), "|").alias("variants"))
+VARIANTS = WITH + f"""SELECT id, CASE WHEN id % 9 IN (0, 1) THEN '' WHEN id % 9 = 2 THEN concat(quantity_extracted, '|', q_num) WHEN id % 9 = 4 THEN concat(quantity_extracted, '|', q_num, '.0')
+  WHEN id % 9 = 3 THEN concat('Q1 1998: ', b, ' t|Q1 1998: ', q_num, ' t') WHEN id % 9 = 5 THEN concat('FY1998: ', b, ' tonnes|FY1998: ', q_num, ' tonnes|', b, ' tonnes|1998')
+  ELSE concat(b, ' MT|', q_num, ' MT|', b, '|', q_num) END AS variants FROM (SELECT *, concat(q_num // 1000, ',', lpad(cast(q_num % 1000 AS varchar), 3, '0')) AS b FROM reports)"""
 
 
-@query("n23_n24_variants_all", WITH + f"""SELECT id, CASE WHEN id % 9 IN (0, 1) THEN '' WHEN id % 9 = 2 THEN concat(quantity_extracted, '|', q_num) WHEN id % 9 = 4 THEN concat(quantity_extracted, '|', q_num, '.0')
-  WHEN id % 9 = 3 THEN concat('Q1 1998: ', b, ' t|Q1 1998: ', q_num, ' t') WHEN id % 9 = 5 THEN concat('FY1998: ', b, ' tonnes|FY1998: ', q_num, ' tonnes|', b, ' tonnes|1998')
-  ELSE concat(b, ' MT|', q_num, ' MT|', b, '|', q_num) END AS variants FROM (SELECT *, concat(q_num // 1000, ',', lpad(cast(q_num % 1000 AS varchar), 3, '0')) AS b FROM reports)""")
-def n23_all(spark, d):
+@query("n23_n24_variants", VARIANTS)
+@query("n23_n24_variants_all", VARIANTS)
+def n23(spark, d):
     return I.flat_reports(spark, d).select("id", F.array_join(numbers.search_variants(F.col("quantity_extracted")), "|").alias("variants"))
 
 
-@query("n25_words", "SELECT doc_id, len(w) AS words, array_to_string(list_slice(w, 1, 20), ' ') AS head FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}][\\p{L}\\p{N}_]*'), lambda x: length(x) >= 3) AS w FROM documents)")
-def n25(spark, d):
-    w = text.words(F.col("text"))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("bigint").alias("words"), F.array_join(F.slice("w", 1, 20), " ").alias("head"))
+WORDS = "SELECT doc_id, len(w) AS words, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}][\\p{L}\\p{N}_]*'), lambda x: length(x) >= 3) AS w FROM documents)"
 
 
-@query("n25_words_all", "SELECT doc_id, len(w) AS words, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}][\\p{L}\\p{N}_]*'), lambda x: length(x) >= 3) AS w FROM documents)")
-def n25_all(spark, d):
+@query("n25_words", WORDS)
+@query("n25_words_all", WORDS)
+def n25(spark, d):
     w = text.words(F.col("text"))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("bigint").alias("words"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
 
@@ -322,6 +329,39 @@ def n26(spark, d):
     return I.flat_reports(spark, d).select("id", text.rule_fields(F.col("page2")).alias("r")).select("id", "r.*")
 
 
+INDIC = "indic AS (" + I.duck(I.INDIC) + ")"
+DIGITS = f"'{numbers.DEVANAGARI_DIGITS}{numbers.TELUGU_DIGITS}', '01234567890123456789'"
+IN_SCRIPT = {"Devanagari": "900}-\\x{97F", "Telugu": "C00}-\\x{C7F", "Bengali": "980}-\\x{9FF", "Tamil": "B80}-\\x{BFF", "Gujarati": "A80}-\\x{AFF", "Odia": "B00}-\\x{B7F"}
+
+
+def _script(c: str, name: str) -> str:
+    return f"len(regexp_extract_all({c}, '[\\x{{{IN_SCRIPT[name]}}}]'))"
+
+
+@query("n_indic_numbers", f"WITH {INDIC} SELECT id, translate(quantity, {DIGITS}) AS n6_folded, CAST(figure AS DOUBLE) AS n7_quantity, p_year AS n8_year, p_quarter AS n8_quarter, term AS n5_term FROM indic")
+def n_indic(spark, d):
+    rows = I.spark_sql(spark, d, I.INDIC)
+    p = periods.period_of(F.col("reported"))
+    return rows.select("id", numbers.fold_digits(F.col("quantity")).alias("n6_folded"), numbers.quantity_value(F.col("quantity")).alias("n7_quantity"), p["year"].alias("n8_year"),
+                       p["quarter"].alias("n8_quarter"), text.known_term(text.canonical(F.col("stated"))).alias("n5_term"))
+
+
+@query("n16_n17_scripts", f"""WITH {INDIC} SELECT id, array_to_string(list_filter([{", ".join(f"CASE WHEN {_script('body', n)} > 0 THEN '{n}' END" for n in IN_SCRIPT)}], lambda x: x IS NOT NULL), ',') AS n16_scripts,
+  CASE WHEN {_script('body', 'Devanagari')} = 0 AND {_script('body', 'Telugu')} = 0 THEN NULL WHEN {_script('body', 'Devanagari')} >= {_script('body', 'Telugu')} THEN 'Devanagari' ELSE 'Telugu' END AS n17_script,
+  {_script('body', 'Devanagari')} + {_script('body', 'Telugu')} > 0 AS n17_complex FROM indic""")
+def n16(spark, d):
+    t = F.col("body")
+    return I.spark_sql(spark, d, I.INDIC).select("id", F.array_join(text.scripts_in(t), ",").alias("n16_scripts"), text.dominant_script(t).alias("n17_script"), text.is_complex_script(t).alias("n17_complex"))
+
+
+@query("n26_rules_in_text", f"""WITH {INDIC}, l AS (SELECT id, lower(told) AS t FROM indic) SELECT id,
+  CASE WHEN contains(t, 'lignite') THEN 'Lignite' WHEN contains(t, 'iron') THEN 'Iron Ore' WHEN contains(t, 'bauxite') THEN 'Bauxite' WHEN contains(t, 'copper') THEN 'Copper' WHEN contains(t, 'gold') THEN 'Gold' WHEN contains(t, 'coal') THEN 'Coal' END AS mineral,
+  CASE WHEN contains(t, 'jharkhand') THEN 'Jharkhand, India' WHEN contains(t, 'odisha') THEN 'Odisha, India' WHEN contains(t, 'madhya pradesh') THEN 'Madhya Pradesh, India' WHEN contains(t, 'telangana') THEN 'Telangana, India' WHEN contains(t, 'bihar') THEN 'Bihar, India' END AS state,
+  CASE WHEN regexp_matches(t, 'underground|under ground') THEN 'Underground' WHEN regexp_matches(t, 'opencast|open cast') THEN 'Opencast' END AS method FROM l""")
+def n26_told(spark, d):
+    return I.spark_sql(spark, d, I.INDIC).select("id", text.rule_fields(F.col("told")).alias("r")).select("id", "r.*")
+
+
 # --- 2.1 sources and table maintenance ----------------------------------------------------------------------------------
 
 @query("s1_read_reports", WITH + "SELECT id, filename, status, CAST(NULL AS VARCHAR) AS summary FROM reports WHERE status = 'completed'")
@@ -330,6 +370,18 @@ def s1(spark, d):
     return S.conform(I.reports(spark, d).drop("summary"), SCHEMA).where("status = 'completed'").select("id", "filename", "status", "summary")
 
 
+@query("s1_read_old_reports", WITH + """SELECT id, filename, status, CASE WHEN id % 2 = 0 THEN summary END AS summary, CASE WHEN id % 2 = 0 THEN x_reserve_estimate END AS reserve_estimate,
+  CAST(CASE WHEN id % 2 = 0 THEN 2 END AS INTEGER) AS pages FROM reports""")
+def s1_old(spark, d):
+    """Files of the time before summaries, pages and extracted data beside new ones."""
+    r = staged(I.reports(spark, d), "reports")
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    r.where("id % 2 = 0").write.parquet(f"{path}/new")
+    r.where("id % 2 = 1").drop("summary", "page_texts", "extracted_data", "topics").write.parquet(f"{path}/old")
+    found = S.read_reports(spark, f"{path}/new", f"{path}/old")
+    return found.select("id", "filename", "status", "summary", F.col("extracted_data.reserve_estimate").alias("reserve_estimate"), F.when(F.col("page_texts").isNotNull(), F.size("page_texts")).alias("pages"))
+
+
 @query("s2_report_pages", WITH + "SELECT id AS report_id, CAST(1 AS INTEGER) AS page, page1 AS text FROM reports UNION ALL SELECT id, 2, page2 FROM reports")
 def s2(spark, d):
     return S.report_pages(I.reports(spark, d))
@@ -341,12 +393,12 @@ def s3(spark, d):
     return S.clean_reports(dirty).select("id", "raw_text", F.size("page_texts").alias("pages"))
 
 
-@query("s4_pick_page_text", f"""WITH {PAGES}, n AS (SELECT report_id, page, text AS ocr, CASE WHEN report_id % 3 = 0 THEN ' ' WHEN report_id % 3 = 1 AND page > 1 THEN '' ELSE left(text, 90) END AS native FROM pages_of),
+@query("s4_pick_page_text", f"""WITH {PAGES}, n AS (SELECT report_id, page, text AS ocr, CASE WHEN report_id % 3 = 0 THEN ' ' WHEN report_id % 3 = 1 AND page > 1 THEN '' WHEN report_id % 2 = 0 THEN left(text, 90) ELSE text END AS native FROM pages_of),
   g AS (SELECT report_id, string_agg(native, chr(10) ORDER BY page) AS nat, string_agg(ocr, chr(10) ORDER BY page) AS o, bool_and(trim(native) = '') AS blank FROM n GROUP BY 1)
   SELECT report_id, md5(CASE WHEN length(trim(nat, chr(10) || ' ' || chr(9))) < 100 THEN o ELSE nat END) AS flat, length(trim(nat, chr(10) || ' ' || chr(9))) < 100 AS flat_is_ocr, blank AS pages_are_ocr FROM g""")
 def s4(spark, d):
     rows = I.pages(spark, d).select("report_id", "page", F.col("text").alias("ocr"), F.when(F.col("report_id") % 3 == 0, " ").when(
-        (F.col("report_id") % 3 == 1) & (F.col("page") > 1), "").otherwise(F.left("text", F.lit(90))).alias("native"))
+        (F.col("report_id") % 3 == 1) & (F.col("page") > 1), "").when(F.col("report_id") % 2 == 0, F.left("text", F.lit(90))).otherwise(F.col("text")).alias("native"))
     return S.pick_page_text(rows).select("report_id", F.md5(F.col("flat").cast("binary")).alias("flat"), "flat_is_ocr", "pages_are_ocr")
 
 
@@ -412,24 +464,31 @@ def s16(spark, d):
     return S.recent_queries(I.history(spark, d)).select("id", "question")
 
 
+@query("s16_append_history", f"WITH {HISTORY} SELECT id, question, answer, r1, r2 FROM history")
+def s16_append(spark, d):
+    """Appended in three batches."""
+    h = staged(I.history(spark, d), "history")
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    for part in range(3):
+        S.append_history(h.where(F.pmod(F.hash("id"), F.lit(3)) == part), path)
+    found = spark.read.parquet(path)
+    return found.select("id", "question", "answer", F.get("report_ids_used", F.lit(0)).alias("r1"), F.get("report_ids_used", F.lit(1)).alias("r2"))
+
+
 @query("s17_latest_upload", WITH + "SELECT filename, max(id) AS id, arg_max(status, id) AS status FROM reports WHERE id > 50 GROUP BY 1")
 def s17(spark, d):
     return S.latest_upload(I.reports(spark, d), 50)
 
 
-def _parsed(spark, d):
-    return _all_parsed(spark, d).where("id % 17 <> 0")
-
-
 def _all_parsed(spark, d):
     return I.flat_reports(spark, d).select(
         "id", F.when(F.col("status") != "error", F.col("page1")).alias("fields"), F.concat("error_message", F.lit("\0!")).alias("failure"), F.lit(False).alias("provider_failed"))
 
 
-@query("s18_quarantine", WITH + """SELECT id, 'error' AS status, coalesce(concat(error_message || '!'), '') AS error_message FROM reports WHERE id % 17 <> 0 AND status = 'error' AND error_message IS NOT NULL
-  UNION ALL SELECT id, 'error', 'No fields could be read' FROM reports WHERE id % 17 <> 0 AND status = 'error' AND error_message IS NULL""")
+@query("s18_quarantine", WITH + """SELECT id, 'error' AS status, coalesce(concat(error_message || '!'), '') AS error_message FROM reports WHERE status = 'error' AND error_message IS NOT NULL
+  UNION ALL SELECT id, 'error', 'No fields could be read' FROM reports WHERE status = 'error' AND error_message IS NULL""")
 def s18(spark, d):
-    return S.quarantine(_parsed(spark, d))[1]
+    return S.quarantine(_all_parsed(spark, d))[1]
 
 
 @query("s18_quarantine_both", WITH + """SELECT id, 'completed' AS status, CAST(NULL AS VARCHAR) AS error_message, page1 AS fields FROM reports WHERE status <> 'error'
@@ -484,6 +543,12 @@ def p6(spark, d):
     return V.explore(V.to_document(I.reports(spark, d)), "coal", "Opencast").select("id", "mine", "method")
 
 
+@query("p6_explore_by_production", WITH + f""", {DOC}, x AS (SELECT id, mine_name AS mine, CAST(coalesce(nullif(regexp_extract(regexp_replace(coalesce(quantity_extracted, ''), '[^0-9.]', '', 'g'), '^([0-9]*\\.?[0-9]*)', 1), ''), '0') AS DOUBLE) AS production FROM docs)
+  SELECT *, row_number() OVER (ORDER BY production DESC, id) AS position FROM x""")
+def p6_sorted(spark, d):
+    return in_places(V.explore(V.to_document(I.reports(spark, d))).select("id", "mine", "production"))
+
+
 @query("p7_search_reports", WITH + "SELECT id FROM reports WHERE contains(lower(filename), 'nation_7') OR contains(lower(coalesce(mine_name, '')), 'nation_7') OR contains(lower(coalesce(company_name, '')), 'nation_7') OR contains(lower(location), 'nation_7') OR contains(lower(coalesce(mineral_type, '')), 'nation_7') ORDER BY id LIMIT 100")
 def p7(spark, d):
     return V.search_reports(I.reports(spark, d), "Nation_7", 1000).select("id")
@@ -682,48 +747,32 @@ def c3(spark, d):
 
 HITS = """p AS (SELECT vec_id AS report_id, vec_id % 3 AS chunk_index, vec_id % 7 AS page, concat('file', vec_id) AS filename, concat('Text of ', vec_id % 90) AS content, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
   ranked AS (SELECT q.report_id AS qid, p.*, list_cosine_similarity(q.e, p.e) AS sim, row_number() OVER (PARTITION BY q.report_id ORDER BY 1 - list_cosine_similarity(q.e, p.e), p.report_id, p.chunk_index) AS rank
-    FROM p q JOIN p ON q.report_id % 50 = 0),
+    FROM p q JOIN p ON q.report_id % 20 = 0),
   firsts AS (SELECT *, row_number() OVER (PARTITION BY qid, content ORDER BY rank) AS n FROM ranked WHERE rank <= 32),
   others AS (SELECT qid, content, list(report_id ORDER BY rank) AS ids FROM ranked WHERE rank <= 32 GROUP BY 1, 2),
   hits AS (SELECT f.qid, row_number() OVER (PARTITION BY f.qid ORDER BY f.rank) AS place, f.report_id, f.page, f.filename, f.content, f.sim, list_filter(o.ids, lambda x: x <> f.report_id) AS also_in
     FROM firsts f JOIN others o USING (qid, content) WHERE n = 1 QUALIFY place <= 8)"""
 
 
-@query("c4_w5_cosine_search", f"WITH {HITS} SELECT qid, CAST(place AS INTEGER) AS place, report_id, filename, round(sim, 3) AS similarity, array_to_string(also_in, ',') AS also_in FROM hits")
+@also("c4_w5_cosine_search_20")
+@query("c4_w5_cosine_search", f"WITH {HITS} SELECT qid, CAST(place AS INTEGER) AS place, report_id, filename, round(sim, 4) AS similarity, array_to_string(also_in, ',') AS also_in FROM hits")
 def c4(spark, d):
     hits = Q.cosine_search(I.questions(spark, d), I.vector_passages(spark, d))
-    return hits.select("qid", "place", "report_id", "filename", F.round("similarity", 3).alias("similarity"), F.array_join("also_in", ",").alias("also_in"))
+    return hits.select("qid", "place", "report_id", "filename", "similarity", F.array_join("also_in", ",").alias("also_in"))
 
 
+@also("w4_top_k_per_query_20")
 @query("w4_top_k_per_query", f"WITH {HITS} SELECT qid, CAST(rank AS INTEGER) AS rank, report_id FROM ranked WHERE rank <= 8")
 def w4(spark, d):
     return Q.top_k_per_query(I.questions(spark, d), I.vector_passages(spark, d)).select("qid", "rank", "report_id")
 
 
+@also("c5_retrieval_context_20")
 @query("c5_retrieval_context", f"WITH {HITS} SELECT qid, string_agg(concat('[', filename, CASE WHEN page > 0 THEN concat(', page ', page) ELSE '' END, ']', chr(10), content), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context, count(*) AS cited FROM hits GROUP BY 1")
 def c5(spark, d):
     return Q.retrieval_context(Q.cosine_search(I.questions(spark, d), I.vector_passages(spark, d))).select("qid", "context", "cited")
 
 
-HITS_20 = HITS.replace("report_id % 50", "report_id % 20")
-
-
-@query("c4_w5_cosine_search_20", ORACLES["c4_w5_cosine_search"].replace(HITS, HITS_20).replace("round(sim, 3)", "round(sim, 4)"))
-def c4_20(spark, d):
-    hits = Q.cosine_search(I.questions(spark, d, 20), I.vector_passages(spark, d))
-    return hits.select("qid", "place", "report_id", "filename", "similarity", F.array_join("also_in", ",").alias("also_in"))
-
-
-@query("w4_top_k_per_query_20", ORACLES["w4_top_k_per_query"].replace(HITS, HITS_20))
-def w4_20(spark, d):
-    return Q.top_k_per_query(I.questions(spark, d, 20), I.vector_passages(spark, d)).select("qid", "rank", "report_id")
-
-
-@query("c5_retrieval_context_20", ORACLES["c5_retrieval_context"].replace(HITS, HITS_20))
-def c5_20(spark, d):
-    return Q.retrieval_context(Q.cosine_search(I.questions(spark, d, 20), I.vector_passages(spark, d))).select("qid", "context", "cited")
-
-
 BLOCK = "concat('Report: ', filename, chr(10), 'Date: ', coalesce(report_date, ''), chr(10), 'Location: ', trim(coalesce(location, '')), chr(10), 'Mineral: ', trim(coalesce(mineral_type, '')), chr(10), 'Quantity: ', coalesce(quantity_extracted, ''), chr(10), 'Method: ', coalesce(extraction_method, ''), chr(10), 'Summary: ', trim(coalesce(summary, '')), chr(10), 'Topics: ', trim(replace(topics_text, '|', ', ')), chr(10))"
 
 
@@ -732,7 +781,8 @@ def c6(spark, d):
     return Q.corpus_context(I.reports(spark, d), "NATION_3")
 
 
-@query("c7_answer_inputs", WITH + f""", {HITS}, c AS (SELECT qid, count(*) AS cited FROM hits GROUP BY 1), asked AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT -1)
+@also("c7_answer_inputs_20")
+@query("c7_answer_inputs", WITH + f""", {HITS}, c AS (SELECT qid, count(*) AS cited FROM hits GROUP BY 1), asked AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 20 = 0 UNION ALL SELECT -1)
   SELECT qid, CASE WHEN cited IS NULL THEN 'full-corpus' ELSE 'semantic' END AS mode, coalesce(cited, 0) AS cited FROM asked LEFT JOIN c USING (qid)""")
 def c7(spark, d):
     asked = I.questions(spark, d).withColumn("question", F.lit("How much was produced?"))
@@ -740,13 +790,6 @@ def c7(spark, d):
     return Q.answer_inputs(asked.unionByName(extra), I.vector_passages(spark, d), I.reports(spark, d)).select("qid", "mode", "cited")
 
 
-@query("c7_answer_inputs_20", ORACLES["c7_answer_inputs"].replace(HITS, HITS_20).replace("vec_id % 50", "vec_id % 20"))
-def c7_20(spark, d):
-    asked = I.questions(spark, d, 20).withColumn("question", F.lit("How much was produced?"))
-    extra = spark.range(2).select((-F.col("id") - 1).alias("qid"), F.lit(None).cast("array<float>").alias("embedding"), F.when(F.col("id") == 0, "Why?").otherwise("  ").alias("question"))
-    return Q.answer_inputs(asked.unionByName(extra), I.vector_passages(spark, d), I.reports(spark, d)).select("qid", "mode", "cited")
-
-
 def _count(cue: str) -> str:
     return f"(length(l) - length(replace(l, '{cue}', ''))) // {len(cue)}"
 
@@ -841,6 +884,13 @@ def s10(spark, d):
     return S.get_report(r, E.locate_evidence(r.where("id = 7"), S.report_pages(r.where("id = 7"))), 7).select("id", "page_count")
 
 
+@query("s10_get_report_evidence", f"{WITH}, {WANTED}, {SHORT}, {LOCATED}, e AS ({EVIDENCE}) SELECT r.id, r.status, CAST(2 AS INTEGER) AS page_count, coalesce((SELECT string_agg(e.id, ',' ORDER BY e.id) FROM e WHERE document_id = r.id), '') AS evidence FROM reports r WHERE r.id = (SELECT max(o_orderkey) FROM orders)")
+def s10_evidence(spark, d):
+    r = I.reports(spark, d)
+    last = r.agg(F.max("id")).first()[0]
+    return S.get_report(r, E.locate_evidence(r.where(F.col("id") == last), S.report_pages(r)), last).select("id", "status", "page_count", F.array_join("evidence", ",").alias("evidence"))
+
+
 @query("a13_corpus_profile", f"""WITH {CHUNKS}, p AS (SELECT report_id, count(*) AS pages, CAST(sum(length(trim(text, chr(10) || chr(9) || ' '))) AS BIGINT) AS chars FROM raw_pages GROUP BY 1), c AS (SELECT report_id, count(*) AS passages FROM chunks GROUP BY 1)
   SELECT report_id, pages, chars, chars >= pages * 120 AS text_layer, coalesce(passages, 0) AS passages, 'Latin' AS script FROM p LEFT JOIN c USING (report_id)""")
 def a13(spark, d):
@@ -957,16 +1007,13 @@ def f8(spark, d):
     return X.scoreable_labels(_labels(spark, d)).select("document")
 
 
-@query("f8_run_gate", WITH + "SELECT 'documents changed since they were labelled' AS reason, count(*) AS n FROM reports WHERE status = 'completed' AND id % 13 <> 0 AND id % 10 = 0 UNION ALL SELECT 'documents are absent', count(*) FROM reports WHERE status = 'completed' AND id % 13 = 0 "
-       "UNION ALL SELECT 'extractions came from the fallback', count(*) FROM reports WHERE status = 'completed' AND id % 6 = 0")
-def f8b(spark, d):
-    labels = _labels(spark, d)
-    source = labels.select("document", F.when(F.col("id") % 6 == 0, "mock").otherwise("real").alias("provider"))
-    return X.run_gate(labels, _shelf(spark, d), source).where("reason <> 'labels are malformed'")
+GATE = WITH + ("SELECT 'documents changed since they were labelled' AS reason, count(*) AS n FROM reports WHERE status = 'completed' AND id % 13 <> 0 AND id % 10 = 0 UNION ALL SELECT 'documents are absent', count(*) FROM reports WHERE status = 'completed' AND id % 13 = 0 "
+               f"UNION ALL SELECT 'extractions came from the fallback', count(*) FROM reports WHERE status = 'completed' AND id % 6 = 0 UNION ALL SELECT 'labels are malformed', count(*) FROM ({ORACLES['f7_label_problems']})")
 
 
-@query("f8_run_gate_all", f"SELECT * FROM ({ORACLES['f8_run_gate']}) UNION ALL SELECT 'labels are malformed', count(*) FROM ({ORACLES['f7_label_problems']})")
-def f8_all(spark, d):
+@query("f8_run_gate", GATE)
+@query("f8_run_gate_all", GATE)
+def f8_gate(spark, d):
     labels = _labels(spark, d)
     source = labels.select("document", F.when(F.col("id") % 6 == 0, "mock").otherwise("real").alias("provider"))
     return X.run_gate(labels, _shelf(spark, d), source)
