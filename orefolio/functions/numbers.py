@@ -34,7 +34,7 @@ _S = r"(?U:\s)"
 _D = r"\p{Nd}"
 _YEARS = rf"{_S}*[-/]?{_S}*(?:{_D}{{4}}{_S}*[-/]{_S}*{_D}{{2,4}}(?![{_D},])|{_D}{{2,4}}(?![{_D},]))?"
 
-#: Period labels in front of a figure: English, Hindi, Telugu.
+# The patterns of period labels in front of a figure (English, Hindi, Telugu), of a figure and of a figure with its unit.
 PERIOD_LABELS = [
     rf"(?i){EDGE_BEFORE}(?:q[1-4]|(?:fy|ay){_S}*[-/]?{_S}*{_D}{{2,4}}|h[12]|(?:{'|'.join(EN_MONTHS)})[a-z]*)" + _YEARS,
     rf"(?:(?:{HI_ORDINAL}){_S}*{HI_QUARTER}|{HI_QUARTER}{_S}*[1-4]?|(?:वित्तीय|वित्त){_S}*वर्ष|छमाही|अर्धवार्षिक|{either(HI_MONTHS)})" + _YEARS,
@@ -66,6 +66,7 @@ def production_number(c: Column) -> Column:
     return F.coalesce(F.regexp_extract(kept, r"^(\d*\.?\d*)", 1).try_cast("double"), F.lit(0.0))
 
 
+# See PERIOD_LABELS.
 FIGURE = r"\p{Nd}[\p{Nd},]*\.?\p{Nd}*"
 WITH_UNIT = rf"(?i){FIGURE}\s*(?:million|billion|lakh|crore|thousand)?\s*(?:tonnes?|tons?|mtpa|mt|cubic metres|cu\.? ?m)(?![\p{{L}}\p{{N}}_])"
 

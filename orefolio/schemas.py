@@ -1,5 +1,6 @@
 """Explicit schemas of the engine's tables. Nothing is inferred."""
 
+# Names of the fields that are read from a report.
 EXTRACTED_TEXT = ["report_date", "location", "district", "state", "mineral_type", "quantity_extracted", "extraction_method",
                   "company_name", "mine_name", "area_sq_km", "reserve_estimate", "summary", "financial_data", "environmental_notes"]
 EXTRACTED_LISTS = ["key_findings", "topics", "minerals_mentioned", "locations_mentioned"]
@@ -23,9 +24,10 @@ expected MAP<STRING, STRING>, evidence MAP<STRING, STRUCT<page: INT, quote: STRI
 CALLS = "key STRING, ts TIMESTAMP"
 SOURCE = "STRUCT<document_id: BIGINT, document_name: STRING, value: STRING>"
 
-#: Fields in which reports of one mine are compared: field, label, severity, whether the period matters.
+# Fields in which reports of one mine are compared: field, label, severity, whether the period matters.
 COMPARABLE = [("quantity_extracted", "Quantity extracted", "high", True), ("reserve_estimate", "Reserve estimate", "high", True),
               ("extraction_method", "Extraction method", "medium", False), ("mineral_type", "Mineral type", "medium", False)]
+# Fields a report must state, and fields looked for in its pages, with their labels.
 REQUIRED = [("mineral_type", "Mineral type"), ("quantity_extracted", "Quantity extracted"), ("location", "Location")]
 DEPENDED_ON = sorted({f for f, _ in REQUIRED} | {f for f, *_ in COMPARABLE})
 CITABLE = [("quantity_extracted", "Quantity extracted"), ("reserve_estimate", "Reserve estimate"), ("mineral_type", "Mineral type"),

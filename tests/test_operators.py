@@ -25,16 +25,16 @@ def conflict_ids(spark, rows):
 
 
 def q(value, date=None, **more):
-    return {"mine_name": "Jharia Mine", "quantity_extracted": value, "report_date": date, "mineral_type": "Coal", "location": "x"} | more
+    return {"mine_name": "Amlohri Mine", "quantity_extracted": value, "report_date": date, "mineral_type": "Coal", "location": "x"} | more
 
 
 def test_conflicts(spark):
-    assert conflict_ids(spark, [q("52.50 MT")] * 5 + [q("98.40 MT")]) == ["conflict:quantity_extracted:1:6"]
-    assert conflict_ids(spark, [q("52.50 MT"), q("98.40 MT", status="processing")]) == []
-    assert conflict_ids(spark, [q("45,000 t", "Q1 2026"), q("52,000 t", "Q2 2026")]) == []
-    assert conflict_ids(spark, [q("45,000 t", "Q1 2026"), q("52,000 t", "Q1 2026")]) == ["conflict:quantity_extracted:1:2"]
-    assert conflict_ids(spark, [q("45,000 t"), q("52,000 t", "Q2 2026")]) == ["conflict:quantity_extracted:1:2"]
-    assert conflict_ids(spark, [q("46,000 t", "Q1 2026"), q("46,000 t", "Q2 2026"), q("45,000 t", "Q1 2026")]) == ["conflict:quantity_extracted:1:3"]
+    assert conflict_ids(spark, [q("31.20 MT")] * 5 + [q("77.10 MT")]) == ["conflict:quantity_extracted:1:6"]
+    assert conflict_ids(spark, [q("31.20 MT"), q("77.10 MT", status="processing")]) == []
+    assert conflict_ids(spark, [q("61,500 t", "Q1 2026"), q("73,000 t", "Q2 2026")]) == []
+    assert conflict_ids(spark, [q("61,500 t", "Q1 2026"), q("73,000 t", "Q1 2026")]) == ["conflict:quantity_extracted:1:2"]
+    assert conflict_ids(spark, [q("61,500 t"), q("73,000 t", "Q2 2026")]) == ["conflict:quantity_extracted:1:2"]
+    assert conflict_ids(spark, [q("62,900 t", "Q1 2026"), q("62,900 t", "Q2 2026"), q("61,500 t", "Q1 2026")]) == ["conflict:quantity_extracted:1:3"]
     assert conflict_ids(spark, [q(None, "Q1 2026"), q(None, "Q3 2026", mineral_type="Iron Ore")]) == ["conflict:mineral_type:1:2"]
 
 
@@ -129,14 +129,14 @@ def test_selection_finds_needles(spark):
 
 
 def test_evidence(spark):
-    reserve = "Proved reserves: 780 million tonnes"
-    pages = ["Spending on schools was 780 lakh.", "The production was 1,25,000 MT this year. Reserves of 780 million tonnes were proved."]
+    reserve = "Proved reserves: 640 million tonnes"
+    pages = ["Spending on schools was 640 lakh.", "The production was 2,36,000 MT this year. Reserves of 640 million tonnes were proved."]
     def found(pages, **values):
         rows = make_reports(spark, [{"page_texts": pages} | values])
         return {r["field"]: r for r in evidence.locate_evidence(rows, source.report_pages(rows)).collect()}
-    assert found(pages, quantity_extracted="1,25,000 MT")["quantity_extracted"]["page_number"] == 2
-    assert found(pages, quantity_extracted="125000 MT")["quantity_extracted"]["page_number"] == 2
-    assert found(pages, quantity_extracted="999 MT") == {} and found([], quantity_extracted="1,25,000 MT") == {}
+    assert found(pages, quantity_extracted="2,36,000 MT")["quantity_extracted"]["page_number"] == 2
+    assert found(pages, quantity_extracted="236000 MT")["quantity_extracted"]["page_number"] == 2
+    assert found(pages, quantity_extracted="888 MT") == {} and found([], quantity_extracted="2,36,000 MT") == {}
     r = make_reports(spark, [{"page_texts": pages}]).withColumn("extracted_data", F.expr(f"named_struct('reserve_estimate', '{reserve}', 'mineral_type', cast(null as string), 'quantity_extracted', cast(null as string), 'extraction_method', cast(null as string), 'mine_name', cast(null as string), 'location', cast(null as string))"))
     assert [x["page_number"] for x in evidence.locate_evidence(r, source.report_pages(r)).collect()] == [2]
     one = r.withColumn("page_texts", F.slice("page_texts", 1, 1))
