@@ -6,15 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import quantity_value
-from .text import canonical, known_term, words_of
+from .text import bind, canonical, known_term, words_of
 
 
 def parsed(value: Column) -> Column:
     """STRUCT<raw, canon, joined, term, number, tokens>."""
-    canon = canonical(value)
-    return F.struct(value.alias("raw"), canon.alias("canon"), F.replace(canon, F.lit(" "), F.lit("")).alias("joined"),
-                    known_term(canon).alias("term"), quantity_value(value).alias("number"),
-                    F.array_distinct(words_of(canon)).alias("tokens"))
+    return bind(canonical(value), lambda canon: F.struct(
+        value.alias("raw"), canon.alias("canon"), F.replace(canon, F.lit(" "), F.lit("")).alias("joined"), known_term(canon).alias("term"),
+        quantity_value(value).alias("number"), F.array_distinct(words_of(canon)).alias("tokens")))
 
 
 def same_figure(a: Column, b: Column) -> Column:

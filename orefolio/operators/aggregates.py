@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.text import bind
 from ..schemas import DEPENDED_ON, EXTRACTED_ONLY
 from .findings import completed, scope, value_of
 
@@ -70,7 +71,6 @@ def organisations(documents: DataFrame) -> DataFrame:
 def term_counts(c: Column) -> Column:
     """ARRAY<STRUCT<n, first, term>> of a text's words that are no stopwords: how often and where first. Words are sorted with their
     places, and a term's count is the length of its run, so that nothing leaves the row."""
-    bind = lambda value, body: F.transform(F.array(value), body).getItem(0)
     kept = F.filter(F.transform(text.words(c), lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: ~x["w"].isin(STOPWORDS))
 
     def runs(ws: Column) -> Column:

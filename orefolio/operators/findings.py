@@ -155,9 +155,15 @@ def order_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(severity_rank(F.col("severity")), "id")
 
 
+def _narrow(reports: DataFrame, content: bool) -> DataFrame:
+    fields = sorted({f for f, *_ in COMPARABLE} | {f for f, _ in REQUIRED} | {"mine_name", "location", "company_name", "report_date"})
+    extracted = F.struct(*[F.col(f"extracted_data.{f}").alias(f) for f in fields])
+    return reports.select("id", "filename", "status", "error_message", *[f for f in fields if f not in EXTRACTED_ONLY], *(["raw_text"] if content else []), extracted.alias("extracted_data"))
+
+
 def all_findings(reports: DataFrame, organisation: str | None = None, content: bool = False) -> DataFrame:
-    """every finding; scope applies before anything is compared."""
-    rows = scope(reports, organisation)
+    """every finding; scope applies before anything is compared. What the comparisons read of a report is staged once."""
+    rows = staged(_narrow(scope(reports, organisation), content), "compared")
     parts = [conflicts(rows), duplicates(rows), missing_fields(rows), failures(rows)] + ([content_duplicates(rows)] if content else [])
     return reduce(DataFrame.unionByName, [p.select(FINDING) for p in parts])
 

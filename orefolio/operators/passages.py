@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import text
+from ..functions.text import bind
 
 SIZE, OVERLAP = 1200, 150
 BLANKS = " \n\t"
@@ -34,10 +35,6 @@ FIELD_CUES = {
 }
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.transform(F.array(value), body).getItem(0)
-
-
 def _cells(c: Column, size: int) -> Column:
     """The text in cells of `size` characters, so that a place is looked up and not walked to."""
     return F.regexp_extract_all(c, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
@@ -62,10 +59,10 @@ def _fold_spans(cells: Column, n: Column, size: int, overlap: int) -> Column:
         def cut(t: Column) -> Column:
             dot, blank = (F.call_function("locate", F.lit(x), t) for x in (" .", " "))
             end = F.when(full == n, n).when(dot > 0, full - dot).when(blank > 0, full - blank + 1).otherwise(full).cast("int")
-            return _bind(end, lambda e: F.struct(F.greatest(e - overlap, at + 1).alias("at"), (e >= n).alias("done"),
+            return bind(end, lambda e: F.struct(F.greatest(e - overlap, at + 1).alias("at"), (e >= n).alias("done"),
                                                  F.concat(acc["spans"], F.array(F.struct(at.alias("at"), e.alias("end")))).alias("spans")))
 
-        return F.when(acc["done"], acc).otherwise(_bind(tail, cut))
+        return F.when(acc["done"], acc).otherwise(bind(tail, cut))
 
     return F.aggregate(rounds, start, step, lambda acc: acc["spans"])
 
@@ -76,7 +73,7 @@ def spans(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     A window ends behind its last ". ", else its last space, found in its second half, else at its full size; the next
     begins `overlap` earlier, at least one character on. A step looks at a few cells of the page, whatever its length.
     """
-    return _bind(_cells(c, size // 2), lambda cells: _fold_spans(cells, F.length(c), size, overlap))
+    return bind(_cells(c, size // 2), lambda cells: _fold_spans(cells, F.length(c), size, overlap))
 
 
 def pieces(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
@@ -84,14 +81,14 @@ def pieces(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     half = size // 2
     cut = lambda cells: F.transform(_fold_spans(cells, F.length(c), size, overlap), lambda s: F.trim(
         _from_cells(cells, half, s["at"], s["end"], size), F.lit(BLANKS)))
-    return _bind(_cells(c, half), cut)
+    return bind(_cells(c, half), cut)
 
 
 def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """report_id, page, chunk_index, content (and the pages' other columns); blank pieces are dropped and chunk_index
     runs over the report. A raw text without pages comes in as page 0."""
     keep = [c for c in pages.columns if c != "text"]
-    cut = _bind(text.tidy_text(F.coalesce("text", F.lit(""))), lambda t: pieces(t, size, overlap))
+    cut = bind(text.tidy_text(F.coalesce("text", F.lit(""))), lambda t: pieces(t, size, overlap))
     rows = pages.select(*keep, F.posexplode(cut).alias("__k", "content")).where(F.length("content") > 0)
     order = Window.partitionBy("report_id").orderBy("page", "__k")
     return rows.withColumn("chunk_index", F.row_number().over(order) - 1).drop("__k").select(*keep, "content", "chunk_index")
@@ -110,7 +107,7 @@ def chunk_paragraphs(docs: DataFrame, size: int = 2000, carry: int = 34, text_co
     """Paragraphs packed up to `size` characters; a pack that is full hands its last `carry` words to the next. A
     first paragraph that is too long is packed by sentences."""
     parts = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n\n"), lambda p: F.trim(p, F.lit(BLANKS))), lambda p: F.length(p) > 0)
-    pieces = _bind(parts, lambda ps: F.flatten(F.transform(ps, lambda p: F.when(F.length(p) > size, F.split(p, r"(?<=\. )")).otherwise(F.array(p)))))
+    pieces = bind(parts, lambda ps: F.flatten(F.transform(ps, lambda p: F.when(F.length(p) > size, F.split(p, r"(?<=\. )")).otherwise(F.array(p)))))
     start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -127,8 +124,8 @@ def chunk_paragraphs(docs: DataFrame, size: int = 2000, carry: int = 34, text_co
 def hash_embedding(c: Column, dimension: int = DIMENSION) -> Column:
     """The default, reproducible embedding: words counted in hashed places, scaled to length one."""
     places = F.transform(text.words(c, 1), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dimension)).cast("int"))
-    count = _bind(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.size(F.filter(ps, lambda p: p == k)).cast("double")))
-    return _bind(count, lambda v: _bind(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)),
+    count = bind(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.size(F.filter(ps, lambda p: p == k)).cast("double")))
+    return bind(count, lambda v: bind(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)),
                                         lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
 
 
@@ -161,7 +158,7 @@ def _hits(low: Column) -> list[Column]:
 
 def cue_hits(c: Column) -> Column:
     """Hits per field group: non-overlapping occurrences of each of its cues in the lower-cased text, which is made once."""
-    return _bind(F.lower(c), lambda low: F.struct(*_hits(low)))
+    return bind(F.lower(c), lambda low: F.struct(*_hits(low)))
 
 
 def with_cue_score(passages: DataFrame) -> DataFrame:
@@ -171,4 +168,4 @@ def with_cue_score(passages: DataFrame) -> DataFrame:
         depth = sum((F.least(hits[g], F.lit(3)) for g in FIELD_CUES), F.lit(0))
         return F.struct(hits.alias("hits"), (breadth * F.lit(2.0) + depth * F.lit(0.5) + text.mentions_figure(F.col("content")) * F.lit(12.0)).alias("score"))
 
-    return passages.withColumn("__s", _bind(cue_hits(F.col("content")), scored)).select(*passages.columns, "__s.hits", "__s.score")
+    return passages.withColumn("__s", bind(cue_hits(F.col("content")), scored)).select(*passages.columns, "__s.hits", "__s.score")
