@@ -4,12 +4,13 @@ The patterns give the base spans. The network is trained in numpy on windows of
 (`SAMPLE_DOCS`, smallest hash of id and text among those with a place to look at; `SAMPLE_WINDOWS` of one document at most). Its labelled spans are the base spans as
 they stand and rewritten ones: seven base spans in ten are written as people disguise or misspell it (`rewrite`: spelled-out
 at and dot, brackets, other separators, broken grouping, lines cut within a number), which no pattern matches and which
-keeps its label. Numbers that are no base span stay as they are, labelled outside.
+keeps its label. Between the words of these texts stand ordinary numbers (`ordinary`: dates, times, versions, ranges, prices, book
+numbers, measures), labelled outside like all numbers of the text that are no base span.
 
 In a text, overlapping windows are laid over every place with a digit, an at sign or a spelled-out one (`TRIGGER`).
 The tag probabilities of all windows over a place are averaged, a window counting less near its edges; the places that are
 not surely outside are then decoded together into one path over the text. Base spans always stay; of the path's spans those
-that are sure enough (`SURE`) and touch no base span are added.
+that are sure enough (`SURE`), touch no base span and hold what their kind demands (`plausible`) are added.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ WINDOW, STRIDE = 96, 48
 EMBED, HIDDEN = 12, 20
 TAGS = 1 + 2 * len(KINDS)
 #: Least mean probability of an added span's tags, and the probability from which a place is outside for certain.
-SURE, OUTSIDE = 0.9, 0.999
+SURE, OUTSIDE = 0.4, 0.999
 
 # The base patterns of the contract. Lookbehind and possessive repeats only keep them linear.
 EMAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -127,16 +128,34 @@ def rewrite(kind: str, text: str, rng: random.Random) -> str:
     return rng.choice(["", f"00{head} ", f"+ {head} ", f"tel. {head}."]) + body if len(digits) > 9 else " ".join(digits)
 
 
+def ordinary(rng: random.Random) -> str:
+    """A number as it stands in texts without being personal data."""
+    n = rng.randrange
+    year, part = 1900 + n(140), lambda k: "".join(str(n(10)) for _ in range(k))
+    return rng.choice([
+        lambda: f"{year}-{n(1, 13):02}-{n(1, 29):02}", lambda: f"{n(1, 29)}.{n(1, 13)}.{year}", lambda: f"{n(1, 13)}/{n(1, 29)}/{year} {n(24):02}:{n(60):02}:{n(60):02}",
+        lambda: f"{n(30)}.{n(30)}.{n(400)}" + rng.choice(["", "-", "-rc", "_"]) + str(n(9)), lambda: rng.choice(["/", " - ", ", "]).join(str(year + k) for k in range(n(2, 6))),
+        lambda: rng.choice([", ", " ", "; "]).join(f"{n(3)}.{n(100):02}" for _ in range(n(2, 7))), lambda: rng.choice([" - ", "-", ", "]).join(str(n(1, 900)) for _ in range(n(2, 5))),
+        lambda: f"97{n(8, 10)}-{n(10)}-{part(2)}-{part(6)}-{n(10)}", lambda: " ".join(part(3) for _ in range(n(2, 6))), lambda: f"{n(1, 999)},{part(3)},{part(3)}.{part(2)}",
+        lambda: f"{n(1, 99)} x {n(1, 99)} x {n(1, 99)} x {n(1, 99)} mm", lambda: part(n(4, 24)), lambda: f"{n(90)}.{part(5)}, -{n(180)}.{part(5)}", lambda: f"{n(1, 99)} at {n(1, 99)}.{n(99)}",
+    ])()
+
+
 def rewritten(text: str, seed: int) -> tuple[str, list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """The text with seven base spans in ten rewritten, the spans in their new places, and the rewritten ones among them."""
+    """The text with seven base spans in ten rewritten and with an ordinary number before every span in two, the spans in their new
+    places, and the rewritten ones among them."""
     rng, out, spans, new, last, size = random.Random(seed), [], [], [], 0, 0
     for kind, a, b in sorted(base_spans(text), key=lambda s: (s[1], -s[2])):
         if a < last:
             continue
         turn = rng.random() < 0.7
         part = rewrite(kind, text[a:b], rng) if turn else text[a:b]
-        out += [text[last:a], part]
-        size += a - last
+        before = text[last:a]
+        if rng.random() < 0.5 and (gap := before.rfind(" ", 0, max(0, len(before) - 8))) >= 0:
+            number = ordinary(rng)
+            before = before[:gap] + " " + number + before[gap:] if not base_spans(number) else before
+        out += [before, part]
+        size += len(before)
         spans.append((kind, size, size + len(part)))
         if turn:
             new.append(spans[-1])
@@ -144,6 +163,28 @@ def rewritten(text: str, seed: int) -> tuple[str, list[tuple[str, int, int]], li
     return "".join([*out, text[last:]]), spans, new
 
 
+_AT = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\sat\s", re.IGNORECASE)
+_DOT_AND_NAME = re.compile(r"(?:\.|\bdot\b|[\[({<]dot[\])}>])[\s\])}>]*[A-Za-z]{2,}\W*$", re.IGNORECASE)
+_DATE = re.compile(r"(?<![0-9])(?:(?:1[89]|2[01])[0-9]{2}[-/. ][01]?[0-9][-/. ][0-3]?[0-9]|[0-3]?[0-9][-/. ][0-3]?[0-9][-/. ](?:1[89]|2[01])[0-9]{2})(?![0-9])")
+
+
+def plausible(kind: str, text: str) -> bool:
+    """Whether a found span has what its kind demands, however it is written: an address its at and a dot before a last name; four
+    numbers up to 255 with one separator; 16 to 19 digits passing Luhn in groups with one separator; 8 to 15 digits in at most six
+    groups that are no date."""
+    groups = re.findall(r"[0-9]+", text)
+    between = {re.sub(r"\s", " ", g) for g in re.split(r"[0-9]+", text)[1:-1]}
+    n = sum(map(len, groups))
+    if kind == "email":
+        at = _AT.search(text)
+        return at is not None and at.start() > 0 and _DOT_AND_NAME.search(text, at.end()) is not None
+    if kind == "ip":
+        return len(groups) == 4 and len(between) == 1 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    if kind == "card":
+        return 16 <= n <= 19 and len(between) <= 1 and luhn("".join(groups))
+    return 8 <= n <= 15 and len(groups) <= 6 and not _DATE.search(text) and "," not in text and ":" not in text
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
@@ -345,8 +386,9 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger
                     a += 1
                 while a < b and texts[k][b - 1].isspace():
                     b -= 1
-                if sure >= SURE and a < b and free[k][a:b].all():
-                    out[k].append((KINDS[(path[start] - 1) // 2], a, b))
+                kind = KINDS[(path[start] - 1) // 2]
+                if sure >= SURE and a < b and free[k][a:b].all() and plausible(kind, texts[k][a:b]):
+                    out[k].append((kind, a, b))
     return [sorted(spans, key=lambda s: s[1]) for spans in out]
 
 
