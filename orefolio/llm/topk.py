@@ -1,12 +1,16 @@
 """Operator 7: exact top-k search by best-first walks through M-trees.
 
 The largest inner product is the smallest Euclidean distance once every candidate gets one more coordinate that brings
-all norms to the same length (and the query a zero there). Candidates are dealt by a hash of their id into blocks of about
-`BLOCK` rows; each block becomes an M-tree whose pages are rows of a table: an inner page holds its children's pivots,
-covering radii, distances to the parent's pivot and smallest ids; a leaf page holds vectors with their distances to its
-pivot. Every block of queries meets every tree. A walk always opens the page with the smallest lower bound, and stored
-parent distances rule entries out by the triangle inequality before a distance is computed. Bounds only rule out what is
-strictly worse, scores are computed in integers, and equal scores go to smaller ids, so the result is exact.
+all norms to the same length (and the query a zero there). Candidates are dealt to the nearest of at most `REGIONS` pivots and, within
+such a region, by a hash into blocks of about `BLOCK` rows; each block becomes an M-tree whose pages are rows of a table: an
+inner page holds its children's pivots, covering radii, distances to the parent's pivot and smallest ids; a leaf page holds
+vectors with their distances to its pivot.
+
+A query walks the trees of the region whose pivot scores best first. No member of a region scores more than the pivot's score plus
+the query's length times the region's radius, so after that only regions are walked whose bound reaches the k-th score so far.
+A walk always opens the page with the smallest lower bound, and stored parent distances rule entries out by the triangle
+inequality before a distance is computed. Bounds only rule out what is strictly worse, scores are computed in integers, and
+equal scores go to smaller ids, so the result is exact (as long as scores stay below 2^53).
 """
 
 from __future__ import annotations
@@ -15,13 +19,14 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, tagged
 
 SCALE = 256
-BLOCK, QUERY_BLOCK = 4096, 1024
+BLOCK, QUERY_BLOCK, REGIONS, PER_REGION = 4096, 1024, 256, 1024
 LEAF, FAN = 128, 16
 SLACK = 1e-6
 PAGE = "tree int, page int, leaf boolean, pivots binary, radii binary, parent binary, refs binary, least binary, longest double"
@@ -146,15 +151,15 @@ class Tree:
 
 
 def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and v, floor(SCALE x component); rows whose vector is null, empty or holds null or non-finite components,
-    or that have no id, are left out."""
+    """vec_id and v, floor(SCALE x component); rows whose vector is null or holds null or non-finite components, or that have no id,
+    are left out. An empty vector scores 0 with all others."""
     x = F.transform(rows[vector_col], lambda c: c.cast("double"))
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return (rows.where(rows[id_col].isNotNull() & (F.size(rows[vector_col]) > 0) & F.coalesce(sound, F.lit(False)))
+    return (rows.where(rows[id_col].isNotNull() & F.coalesce(sound, F.lit(False)))
             .select(rows[id_col].cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * SCALE)).alias("v")))
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
+def _matrix(column, width: int) -> np.ndarray:
     out = np.zeros((len(column), width), np.int64)
     for k, v in enumerate(column):
         out[k, :len(v)] = v
@@ -168,18 +173,61 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     padded with zeros. Repeated rows are candidates of their own, repeated queries are answered each. Without candidates
     or queries the result is empty.
     """
+    found = _top_k(vectors, queries, k)
+    return found[0] if found else vectors.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
+
+
+def _top_k(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, int] | None:
+    """The result, the queries by region in the first and in the second round, and the number of regions; None without vectors."""
     counts = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    trees = max(1, -(-counts[0] // BLOCK))
-    width = counts[1] or 1
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    if not counts[0]:
+        return None
+    width = max(1, counts[1])
+    wanted = max(1, min(REGIONS, counts[0] // PER_REGION))
+    pivots = _matrix([r["v"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()], width).astype(float)  # REGIONS at most
+    squares = np.einsum("ij,ij->i", pivots, pivots)
+
+    def deal(batches):
+        for batch in batches:
+            points = _matrix(batch.column(2).to_pylist(), width).astype(float)
+            near = (squares - 2 * points @ pivots.T).argmin(axis=1)
+            away = np.linalg.norm(points - pivots[near], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(away)], names=["__rid", "vec_id", "v", "region", "away"])
+
+    dealt = staged(tagged(vectors).select("__rid", "vec_id", "v").mapInArrow(deal, "__rid long, vec_id long, v array<long>, region int, away double"), "regions")
+    facts = {r["region"]: r for r in dealt.groupBy("region").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
+    radii = np.array([facts[j]["radius"] + SLACK if j in facts else -np.inf for j in range(len(pivots))])
+    pieces = [max(1, -(-(facts[j]["n"] if j in facts else 0) // BLOCK)) for j in range(len(pivots))]
+    first = (np.cumsum(pieces) - pieces).tolist()  # number of a region's first tree
+    of_region = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("region") + 1)
+    trees = (of_region(first) + F.pmod(F.xxhash64("vec_id", "__rid"), of_region(pieces))).cast("int")
 
     def build(key, rows: pd.DataFrame) -> pd.DataFrame:
         found = build_pages(rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"], width), int(key[0]))
         return pd.DataFrame(found, columns=[c.split()[0] for c in PAGE.split(", ")])
 
-    index = staged(tagged(vectors).withColumn("tree", F.pmod(F.xxhash64("vec_id", "__rid"), F.lit(trees)).cast("int")).groupBy("tree")
-                   .applyInPandas(build, PAGE), "mtree")
-    asked = staged(tagged(queries), "queries").withColumn("block", F.pmod(F.xxhash64("__rid"), F.lit(blocks)).cast("int"))
+    index = staged(dealt.withColumn("tree", trees).groupBy("tree").applyInPandas(build, PAGE), "mtree")
+    asked = staged(tagged(queries).select("__rid", "vec_id", "v"), "queries")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = asked.select("__rid", "vec_id", "v", F.pmod(F.xxhash64("__rid"), F.lit(blocks)).cast("int").alias("block"), F.lit(float("-inf")).alias("least"))
+
+    def of_regions(pick):
+        """Queries with a row for each region that pick (scores of the pivots, bounds, k-th score) chooses."""
+        def run(batches):
+            for batch in batches:
+                points = _matrix(batch.column(2).to_pylist(), width).astype(float)
+                scores = points @ pivots.T
+                bounds = scores + np.linalg.norm(points, axis=1)[:, None] * radii
+                chosen = [pick(s, b, x) for s, b, x in zip(scores, bounds, batch.column(4).to_numpy())]
+                again = np.repeat(np.arange(batch.num_rows), [len(c) for c in chosen])
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(again)).columns, pa.array(np.concatenate([*chosen, np.zeros(0)]).astype(np.int32))],
+                                                 names=["__rid", "vec_id", "v", "block", "least", "region"])
+
+        return lambda rows: rows.mapInArrow(run, "__rid long, vec_id long, v array<long>, block int, least double, region int")
+
+    best = lambda scores: int(np.where(np.isfinite(radii), scores, -np.inf).argmax())
+    to_first = of_regions(lambda scores, bounds, least: np.array([best(scores)]))
+    to_others = of_regions(lambda scores, bounds, least: np.flatnonzero((bounds * (1 + 1e-9 * np.sign(bounds)) + SLACK >= least) & np.isfinite(radii) & (np.arange(len(radii)) != best(scores))))
 
     def search(key, pages: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         out = {"__rid": [], "query_id": [], "vec_id": [], "score": []}
@@ -191,12 +239,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                         out[name].append(value)
         return pd.DataFrame(out, dtype="int64")
 
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    local = (index.withColumn("block", every(blocks)).groupBy("tree", "block")
-             .cogroup(asked.withColumn("tree", every(trees)).groupBy("tree", "block"))
-             .applyInPandas(search, "__rid long, query_id long, vec_id long, score long"))
-    rank = F.row_number().over(Window.partitionBy("__rid").orderBy(F.desc("score"), "vec_id"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def walk(some: DataFrame) -> DataFrame:
+        one = F.explode(F.sequence(of_region(first), of_region(first) + of_region(pieces) - 1)).alias("tree")
+        some = some.select("__rid", "vec_id", "v", "block", one)
+        met = index.join(some.select("tree", "block").distinct(), "tree").select(*[F.col(c).alias(c) for c in ["block", *index.columns]])
+        return (met.groupBy("tree", "block").cogroup(some.select(*[F.col(c).alias(c) for c in some.columns]).groupBy("tree", "block"))
+                .applyInPandas(search, "__rid long, query_id long, vec_id long, score long"))
+
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(Window.partitionBy("__rid").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    one = staged(to_first(asked), "asked-first")
+    near = staged(ranked(walk(one)), "near-first")
+    least = near.groupBy("__rid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("least"))
+    two = staged(to_others(asked.drop("least").join(least, "__rid", "left").fillna(float("-inf"), ["least"]).select(*asked.columns)), "asked-others")
+    result = ranked(near.drop("rank").unionByName(walk(two))).select("query_id", "rank", "vec_id", "score")
+    return result, one, two, len(pivots)
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
