@@ -188,7 +188,11 @@ def test_simhash_links(spark):
     assert all(got.get(x, x) == find(x) for x in ordered)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("per_region, block, query_block", [(1024, 4096, 1024), (20, 40, 5)])
+def test_top_k(spark, monkeypatch, per_region, block, query_block):
+    monkeypatch.setattr(topk, "PER_REGION", per_region)
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", query_block)
     rng = np.random.default_rng(1)
     vectors = np.round(rng.standard_normal((700, 16)) / 3, 3)
     vectors[100:400] = vectors[100]  # many ties
@@ -207,6 +211,20 @@ def test_top_k(spark):
     assert topk.top_k(few, few.where("vec_id = 0")).count() == 2
 
 
+def test_far_regions_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PER_REGION", 50)
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-200, 200, (20, 8))
+    vectors = np.concatenate([c + rng.integers(-3, 4, (60, 8)) for c in centres])
+    table = spark.createDataFrame([(k, [int(x) for x in v]) for k, v in enumerate(vectors)], "vec_id long, v array<long>")
+    queries = table.where("vec_id % 40 = 0")
+    found, one, two, regions = topk._top_k(table, queries, 3)
+    scores = vectors @ vectors.T
+    want = [(q, r, k, int(scores[q, k])) for q in range(0, 1200, 40) for r, k in enumerate(sorted((k for k in range(1200) if k != q), key=lambda k: (-scores[q, k], k))[:3], 1)]
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.orderBy("query_id", "rank").collect()] == want
+    assert regions == 24 and one.count() == 30 and two.count() < 30 * 23 / 2
+
+
 def test_tree_prunes():
     rng = np.random.default_rng(0)
     centres = rng.integers(-200, 200, (20, 8))
@@ -349,6 +367,21 @@ def test_base_spans():
     assert pii.base_spans("1" * 50_000 + "." * 9 + "a" * 50_000) == []
 
 
+HARMLESS = ["2024-03-05 12:30:11 build 10.4.22-7 passed 1 200 300", "The book 978-3-16-148410-0 costs 12.99 or 1,299.00 in all.", "Weights were 0.25, 0.50, 0.75, 1.00 in order.",
+            "Seasons 1998/1999/2000/2001 were dry.", "See pages 120 - 134 - 156 of the report.", "Rooms 101, 102, 103, 104 are free; call after 10 at 14.30", "Version 3.11.2 came after 3.10.14 on 14.02.2023",
+            "invoice 20240117-00042 of 1 234 567 units", "coordinates 48.85661, 2.35222 and -33.86882, 151.20929", "sections 1.2.3.4.5 and 7-8-9-10", "lot 1200 3400 5600 7800 was sold",
+            "order 12-34-56 shipped 2021/12/24", "population 1.234.567 in 2019, 1.245.001 in 2020", "speed 300 000 000 m per s", "the at sign and the dot in names", "mail box 12 at gate 4"]
+
+
+@pytest.mark.parametrize("kind, yes, no", [
+    ("email", ["x_y (at) mail (dot) de", "bob[at]site.co.uk", "carl @ host.example.net", "anna.k at example dot org"], ["at mail.de", "12 at 3.45", "bob at home", "a dot b"]),
+    ("ip", ["10[.]0[.]12[.]7", "8 dot 8 dot 4 dot 4", "172-16-254-1", "9,9,9,9"], ["10.4.22-7", "0.25, 0.50, 0.75", "1998/1999/2000/2001", "978-3-16-148410-0", "300-1-1-1"]),
+    ("card", ["4111.1111.1111.1111", "4012_8888_8888_1881", "5500/0000/0000/0004"], ["4111.1111.1111.1112", "120 - 134 - 156", "4111-1111 1111.1111", "1234 5678"]),
+    ("phone", ["(415) 555-2671", "0049 30 1234567", "+ 44 20 7946 0958"], ["2024-03-05 12", "14.02.2023", "1 200 300", "1,234,567,890", "12:30:11 12345"])])
+def test_plausible_spans(kind, yes, no):
+    assert [t for t in yes if not pii.plausible(kind, t)] == [] and [t for t in no if pii.plausible(kind, t)] == []
+
+
 def test_pii(spark, docs, real):
     texts = spark.createDataFrame([(101, "write to jo.smith42@mail7.example.com or +1 (415) 555-2671 from 10.0.0.1"), (102, None), (103, "4111 1111 1111 1111 ok"), (103, "4111 1111 1111 1111 ok")], "doc_id long, text string")
     large = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
@@ -368,6 +401,7 @@ def test_pii(spark, docs, real):
     added = {r["doc_id"]: [tuple(s) for s in r["spans"] if s not in r["base"]] for r in found}
     hit = sum(len(set(wanted[i]) & set(added[i])) for i in wanted)
     assert hit / sum(map(len, wanted.values())) > 0.6 and hit / sum(map(len, added.values())) > 0.8
+    assert [s for t, s in zip(HARMLESS, pii.added_spans(HARMLESS, [pii.base_spans(t) for t in HARMLESS], tagger)) if s] == []
     assert pii.find_pii(docs, tagger).count() == len(TEXTS) and pii.find_pii(docs.limit(0), tagger).count() == 0
     assert pii.train(docs.limit(0)).p["move"].shape == (pii.TAGS, pii.TAGS)
     assert pii.plain_digest([("phone", 1, 2), ("email", 5, 9), ("email", 3, 4)]) == hashlib.sha256(b"email:3:4,email:5:9,phone:1:2").hexdigest()
