@@ -790,6 +790,17 @@ def c7(spark, d):
     return Q.answer_inputs(asked.unionByName(extra), I.vector_passages(spark, d), I.reports(spark, d)).select("qid", "mode", "cited")
 
 
+@query("c7_answer_contexts", WITH + f""", {HITS}, c AS (SELECT qid, string_agg(concat('[', filename, CASE WHEN page > 0 THEN concat(', page ', page) ELSE '' END, ']', chr(10), content), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context,
+    array_to_string(list_sort(list_distinct(list(report_id))), ',') AS used FROM hits GROUP BY 1), asked AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 20 = 0 UNION ALL SELECT -1),
+  f AS (SELECT left(string_agg({BLOCK}, chr(10) || '---' || chr(10) ORDER BY id), 6000) AS fallback FROM reports WHERE status = 'completed')
+  SELECT qid, md5(coalesce(context, fallback)) AS context, coalesce(used, '') AS reports_used FROM asked LEFT JOIN c USING (qid), f""")
+def c7_contexts(spark, d):
+    asked = I.questions(spark, d).withColumn("question", F.lit("How much was produced?"))
+    extra = spark.range(2).select((-F.col("id") - 1).alias("qid"), F.lit(None).cast("array<float>").alias("embedding"), F.when(F.col("id") == 0, "Why?").otherwise("  ").alias("question"))
+    rows = Q.answer_inputs(asked.unionByName(extra), I.vector_passages(spark, d), I.reports(spark, d))
+    return rows.select("qid", F.md5(F.col("context").cast("binary")).alias("context"), F.array_join("reports_used", ",").alias("reports_used"))
+
+
 def _count(cue: str) -> str:
     return f"(length(l) - length(replace(l, '{cue}', ''))) // {len(cue)}"
 

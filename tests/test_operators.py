@@ -209,6 +209,30 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.check_index_model(meta, old.limit(0), "m2", 8).first()["accepted"]
 
 
+def test_csv_parts_hold_all_rows_each_with_its_header(spark, tmp_path):
+    rows = spark.range(100).select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit('he said "no", '), "id")).alias("said"))
+    sinks.write_csv_parts(rows.repartition(4), str(tmp_path / "parts"))
+    files = [f.read_bytes() for f in (tmp_path / "parts").glob("part-*")]
+    assert len(files) == 4 and all(f.startswith(b"id,said\r\n") and f.endswith(b"\r\n") for f in files)
+    import csv
+    import io
+    got = [r for f in files for r in list(csv.reader(io.StringIO(f.decode(), newline="")))[1:]]
+    assert sorted((int(a), b) for a, b in got) == [(k, f'he said "no", {k}' if k % 3 == 0 else "") for k in range(100)]
+
+
+def test_labels_of_a_folder(spark, tmp_path):
+    import json
+
+    spoken = {"one": "en", "two": "hi", "three": "te"}
+    for k, (name, language) in enumerate(spoken.items()):
+        body = {"document": name, "language": language, "expected": {"mine_name": f"m{k}", "location": "x"}, "evidence": {"mine_name": {"page": k, "quote": "q"}}} | ({"corpus": "real"} if k else {})
+        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=1, ensure_ascii=False))
+    rows = {r["document"]: r for r in source.read_labels(spark, str(tmp_path)).collect()}
+    assert {d: (r["label_file"], r["corpus"], r["evidence"]["mine_name"]["page"], len(r["expected"])) for d, r in rows.items()} == {
+        "one": ("one.json", "synthetic", 0, 2), "two": ("two.json", "real", 1, 2), "three": ("three.json", "real", 2, 2)}
+    assert [r["document"] for r in source.read_labels(spark, str(tmp_path), "te").collect()] == ["three"]
+
+
 def test_fixtures_are_the_same_rows_in_both_engines(spark, sf_dir):
     import duckdb
 

@@ -7,7 +7,7 @@ from orefolio.plans import fixtures, registry
 WHOLE = [
     "n23_n24_variants_all", "j10_wanted_variants", "n24_figures_in_text", "n_indic_numbers", "n16_n17_scripts", "n26_rules_in_text",
     "w2_order_all_findings", "s18_quarantine_both", "f8_run_gate_all", "p6_explore_by_production", "s1_read_old_reports", "s16_append_history",
-    "c4_w5_cosine_search_20", "w4_top_k_per_query_20", "c5_retrieval_context_20", "c7_answer_inputs_20",
+    "c4_w5_cosine_search_20", "w4_top_k_per_query_20", "c5_retrieval_context_20", "c7_answer_inputs_20", "c7_answer_contexts",
     "n25_words_all", "s3_clean_text", "e1_locate_evidence", "e1_evidence_in_long_pages", "s10_get_report_evidence",
     "t1_rate_audit", "t1_rate_audit_stream", "t2_ingest_stream", "t3_passage_stream", "t4_decision_stream", "s12_write_passages",
 ]
