@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,16 @@ def tagged(df: DataFrame, name: str = "__rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def tagged_apart(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """docs with row tags, all own columns under other names, so that none clashes with a column of the operators; the name a column
+    of docs has there; and what gives rows the columns of docs back."""
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    aside = {c: f"__own{k}" for k, c in enumerate(docs.columns)}
+    name = lambda c: aside[c]
+    rows = tagged(docs.select(*[quoted(c).alias(name(c)) for c in docs.columns]))
+    return rows, name, lambda found: found.select(*[quoted(name(c)).alias(c) for c in docs.columns])
+
+
 def text_of(df: DataFrame, column: str = "text"):
     """The text, null read as empty."""
     return F.coalesce(df[column], F.lit(""))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, staged, tagged, text_of
+from .common import ascii_lower, documents, staged, tagged, tagged_apart, text_of
 
 KEY = ["digest", "verify", "n_chars"]
 
@@ -56,14 +56,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. Rows are staged with their tags, so that no tag is computed twice."""
-    rows = staged(tagged(docs), "tagged")
-    norm = ascii_lower(text_of(rows, text_col))
-    keyed = staged(rows.select("__rid", rows[id_col].alias("id"), norm.alias("norm"))
+    """The documents that stay, with all their columns, whatever their names. Rows are staged with their tags, so that no tag is
+    computed twice."""
+    rows, name, back = tagged_apart(docs)
+    rows = staged(rows, "tagged")
+    norm = ascii_lower(text_of(rows, name(text_col)))
+    keyed = staged(rows.select("__rid", rows[name(id_col)].alias("id"), norm.alias("norm"))
                    .select("__rid", "id", F.unhex(F.sha2("norm", 256)).alias("digest"),
                            F.xxhash64("norm").alias("verify"), F.length("norm").alias("n_chars")), "digests")
     stay = merge_runs(keyed).select(F.col("winner.__rid").alias("__rid"))
-    return rows.join(stay, "__rid", "left_semi").select(*docs.columns)
+    return back(rows.join(stay, "__rid", "left_semi"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

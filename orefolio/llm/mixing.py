@@ -1,6 +1,6 @@
 """Operator 2: mixing sources to target weights by weighted fair queueing, in DataFrame functions only.
 
-Documents of a source are shuffled by a hash of their id. A copy of a document finishes at the virtual time
+Documents of a source are shuffled by a hash of their id and text, so rows that share an id, or have none, lie apart. A copy of a document finishes at the virtual time
 "words of its source so far / target of its source"; its second copy follows after a whole pass over the source. All
 copies in order of finish time, cut off at the total budget, are the mix.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, staged, tagged, text_of
+from .common import WORD, documents, staged, tagged, tagged_apart, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE) -> D
 def _shuffled(rows: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
     return rows.select("__rid", rows[id_col].alias("doc_id"), rows[source_col].alias("source"), *keep,
                        F.regexp_count(text_of(rows, text_col), F.lit(WORD)).cast("long").alias("size"),
-                       F.md5(F.coalesce(rows[id_col].cast("string"), F.lit("")).cast("binary")).alias("u"))
+                       F.md5(F.concat_ws("|", F.coalesce(rows[id_col].cast("string"), F.lit("")), F.md5(text_of(rows, text_col).cast("binary"))).cast("binary")).alias("u"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -123,13 +123,13 @@ def _cut(finished: DataFrame) -> DataFrame:
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the documents' columns, a row per copy taken. Rows are staged with their tags, so that no tag is
-    computed twice."""
-    rows = staged(tagged(docs), "tagged")
-    copies = (mix_tagged(rows, id_col, text_col, source_col)
+    """The mix itself: the documents' columns, whatever their names, a row per copy taken. Rows are staged with their tags, so that no
+    tag is computed twice."""
+    rows, name, back = tagged_apart(docs)
+    rows = staged(rows, "tagged")
+    copies = (mix_tagged(rows, name(id_col), name(text_col), name(source_col))
               .where("taken > 0").select("__rid", (F.col("taken") / F.col("size")).cast("int").alias("__copies")))
-    return (rows.join(copies, "__rid")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns))
+    return back(rows.join(copies, "__rid").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +138,8 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS u
+  SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', md5(coalesce(text, '')))) AS u
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -160,16 +160,16 @@ WITH sizes AS (
                  ELSE least(cap, weight * (SELECT max(level) FROM f WHERE ratio >= level)) END AS target
   FROM f
 ), q AS (
-  SELECT z.doc_id, z.size, z.u, t.src_id, t.source_size, t.target, t.budget,
-         CAST(sum(z.size) OVER (PARTITION BY t.src_id ORDER BY z.u, z.doc_id
+  SELECT z.rid, z.doc_id, z.size, z.u, t.src_id, t.source_size, t.target, t.budget,
+         CAST(sum(z.size) OVER (PARTITION BY t.src_id ORDER BY z.u, z.doc_id, z.rid
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum
   FROM sizes z JOIN t ON z.source IS NOT DISTINCT FROM t.source
 ), c AS (
-  SELECT doc_id, size, u, src_id, budget, k,
+  SELECT rid, doc_id, size, u, src_id, budget, k,
          sum(size) OVER (ORDER BY CAST(cum + k * source_size AS DOUBLE) / target, src_id, u, doc_id, k
                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through
   FROM q, (VALUES (0), (1)) v(k) WHERE size > 0 AND target > 0
-), m AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM c WHERE through <= budget GROUP BY doc_id)
+), m AS (SELECT rid, CAST(sum(size) AS BIGINT) AS taken FROM c WHERE through <= budget GROUP BY rid)
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(m.taken, 0) AS taken
-FROM q LEFT JOIN m ON q.doc_id = m.doc_id
+FROM q LEFT JOIN m ON q.rid = m.rid
 """

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged, tagged, text_of
+from .common import documents, staged, tagged, tagged_apart, text_of
 
 SHINGLE = 3
 SEED = 42
@@ -150,10 +150,12 @@ def grouped(prints: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns. Rows are staged with their tags, so that no tag is computed twice."""
-    rows = staged(tagged(docs), "tagged")
-    stay = grouped(tagged_fingerprints(rows, id_col, text_col)).where("keeper").select("__rid")
-    return rows.join(stay, "__rid", "left_semi").select(*docs.columns)
+    """One document of each group, with all its columns, whatever their names. Rows are staged with their tags, so that no tag is
+    computed twice."""
+    rows, name, back = tagged_apart(docs)
+    rows = staged(rows, "tagged")
+    stay = grouped(tagged_fingerprints(rows, name(id_col), name(text_col))).where("keeper").select("__rid")
+    return back(rows.join(stay, "__rid", "left_semi"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
