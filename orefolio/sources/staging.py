@@ -20,8 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What this process has staged and not released.
+_STAGED: list[str] = []
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete all that was staged so far, once the results that were made of it are written; returns the number of folders. A result
+    that is read later than that no longer has its input."""
+    gone = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back: computed once, safe from lost executors, with true sizes for later joins."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

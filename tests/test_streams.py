@@ -173,3 +173,13 @@ def test_commit_does_not_overwrite(spark, tmp_path):
     root = str(tmp_path / "t")
     assert versioned.commit(spark, root, 1, {"a": 1}) and not versioned.commit(spark, root, 1, {"a": 2})
     assert versioned.manifest(spark, root) == (1, {"a": 1}) and versioned.versions(spark, root) == [1]
+
+
+def test_staged_tables_are_released(spark, tmp_path, monkeypatch):
+    from orefolio.sources import staging
+
+    monkeypatch.setattr(staging, "_STAGED", [])
+    rows = staging.staged(spark.range(5), "a")
+    staging.staged(rows, "b").write.parquet(str(tmp_path / "result"))
+    assert len(staging._STAGED) == 2 and staging.release_staged(spark) == 2 and staging.release_staged(spark) == 0
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 5
