@@ -74,8 +74,7 @@ class Shards:
         n = narrow.count()
         count = pivots or max(1, min(PIVOTS, round(n ** 0.5 / 2)))
         chosen = narrow.orderBy(F.xxhash64("report_id", "chunk_index"), "report_id", "chunk_index").limit(count).collect()  # the pivots
-        at = np.array([r["embedding"] for r in chosen]).reshape(len(chosen), -1)
-        at = at / np.array([r["norm"] for r in chosen])[:, None] if len(chosen) else at
+        at = np.array([r["embedding"] for r in chosen]) / np.array([r["norm"] for r in chosen])[:, None] if chosen else np.zeros((0, 0))
 
         def deal(batches):
             for batch in batches:
