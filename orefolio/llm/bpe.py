@@ -33,7 +33,7 @@ from .common import documents, slices, staged, text_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bounds of what is sent to every task: words, and bytes of each.
-HOT_WORDS, HOT_BYTES = 1 << 21, 32
+HOT_WORDS, HOT_BYTES = 1 << 20, 32
 #: Bound of the documents that frequent words are chosen from.
 SAMPLE_DOCS = 50_000
 LONG_WORD = 400
@@ -319,7 +319,12 @@ def hot_words(rows: DataFrame, ranks: Ranks, most: int = HOT_WORDS) -> tuple[pa.
     parts = 8 * rows.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: by cores, not by size
     found = (counts.where(F.col("n") >= least).select("w").repartition(parts)
              .select("w", fold_merges(latin(F.col("w")), ranks).alias("ids")).toArrow())
-    return tuple(pa.concat_arrays([*column.cast(kind.type).chunks, kind]) for column, kind in zip(found.columns, none))
+    out = []
+    for kind in none:  # a column at a time, so that the driver holds each twice only while it is joined
+        column, found = found.column(0), found.remove_column(0)
+        out.append(pa.concat_arrays([*column.cast(kind.type).chunks, kind]))
+        del column
+    return tuple(out)
 
 
 def _encoded(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, most: int, decode_too: bool) -> DataFrame:
