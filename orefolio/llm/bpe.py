@@ -327,7 +327,17 @@ def hot_words(rows: DataFrame, ranks: Ranks, most: int = HOT_WORDS) -> tuple[pa.
     return tuple(out)
 
 
+#: Characters of a plan's text that Spark keeps of every execution; the literal of the ranks would take 1.8 million.
+PLAN_TEXT = 20_000
+
+
+def keep_plan_texts_short(spark: SparkSession) -> None:
+    """From now on, in this session: Spark keeps the texts of a thousand executions, none of which needs to be long."""
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
+
+
 def _encoded(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, most: int, decode_too: bool) -> DataFrame:
+    keep_plan_texts_short(docs.sparkSession)
     table = read_ranks(ranks_path)
     ranks = Ranks(table)
     rows = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
