@@ -41,12 +41,17 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = ends[min(shingle, len(words)) - 1:].tolist()
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, BLOCK):
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at:at + BLOCK], stops[at:at + BLOCK])),
-                             ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    blocks = (np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at:at + BLOCK], stops[at:at + BLOCK])), np.uint64)
+              for at in range(0, n, BLOCK))
+    return majority(blocks, n)
+
+
+def majority(blocks, n: int) -> int:
+    """The SimHash of n unsigned 64-bit hashes that come in arrays."""
+    ones = np.zeros(64, np.int64)
+    for hashes in blocks:
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
@@ -68,41 +73,48 @@ def tagged_fingerprints(rows: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, "__rid long, doc_id long, fp long")
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Links (a < b) between distinct fingerprints of column fp, enough to connect all at two or fewer differing bits."""
-    low = F.col("fp").bitwiseAND(F.lit((1 << SEGMENT) - 1))
-    high = F.shiftrightunsigned("fp", SEGMENT)
-    variant = lambda part, seg: F.transform(
-        F.sequence(F.lit(0), F.lit(SEGMENT - 1)),
-        lambda i: part.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-        .bitwiseOR(F.call_function("shiftleft", (i + seg * SEGMENT).cast("long"), F.lit(SEGMENT))))
-    index = prints.select("fp", F.explode(F.concat(variant(low, 0), variant(high, 1))).alias("key"))
+def cuts(segments: int) -> list[tuple[int, int]]:
+    """Lowest bit and width of each segment of a fingerprint."""
+    ends = [64 * k // segments for k in range(segments + 1)]
+    return [(low, high - low) for low, high in zip(ends, ends[1:])]
+
+
+def links(prints: DataFrame, segments: int = 2, reach: int = 2) -> DataFrame:
+    """Links (a < b) between distinct fingerprints of column fp, enough to connect all at two or fewer differing bits.
+
+    With more segments, fingerprints at up to 2 * segments - 1 differing bits share a variant, and others do by chance: variants of
+    two or three fingerprints then give their pairs up to reach bits; those of more give the links within two bits.
+    """
+    shift = lambda value, by: F.call_function("shiftleft", value.cast("long"), by)
+    parts = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)) for low, width in cuts(segments)]
+    variant = lambda part, seg, width: F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda i: part.bitwiseAND(F.bitwise_not(shift(F.lit(1), i))).bitwiseOR(shift(i + seg * SEGMENT, F.lit(SEGMENT))))
+    index = prints.select("fp", F.explode(F.concat(*[variant(part, seg, cuts(segments)[seg][1]) for seg, part in enumerate(parts)])).alias("key"))
+    first, last = F.col("first"), F.col("last")
+    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= reach
     shared = staged(
         index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first"), F.max("fp").alias("last"),
-                                 F.bit_xor("fp").alias("mixed")).where("n > 1"), "variants")
-    middle = F.col("mixed").bitwiseXOR(F.col("first")).bitwiseXOR(F.col("last"))
+                                 F.bit_xor("fp").alias("mixed")).where((F.col("n") > 2) | (F.col("n") == 2) & close(first, last)), "variants")
+    middle = F.col("mixed").bitwiseXOR(first).bitwiseXOR(last)
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    first, last = F.col("first"), F.col("last")
-    few = (shared.where("n <= 3")
-           .select(F.explode(F.when(F.col("n") == 2, F.array(pair(first, last)))
-                             .otherwise(F.array(pair(first, middle), pair(middle, last), pair(first, last)))).alias("p"))
-           .select("p.a", "p.b"))
-    # A dense variant names two values of a segment; fingerprints are found by their two segments, not by 64 variants.
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("key", SEGMENT).bitwiseAND(F.lit(SEGMENT - 1)).cast("int"))
+    pairs = F.when(F.col("n") == 2, F.array(pair(first, last))).otherwise(F.array(pair(first, middle), pair(middle, last), pair(first, last)))
+    few = shared.where("n <= 3").select(F.explode(F.filter(pairs, lambda p: close(p["a"], p["b"]))).alias("p")).select("p.a", "p.b")
+    # A dense variant names two values of a segment; fingerprints are found by their segments, not by 64 variants.
+    bit = shift(F.lit(1), F.shiftright("key", SEGMENT).bitwiseAND(F.lit(SEGMENT - 1)).cast("int"))
     masked = F.col("key").bitwiseAND(F.lit((1 << SEGMENT) - 1))
     values = (shared.where("n > 3").select(F.shiftright("key", SEGMENT + 5).alias("seg"), F.explode(F.array(masked, masked.bitwiseOR(bit))).alias("part"))
               .distinct())
-    halves = F.array(F.struct(F.lit(0).cast("long").alias("seg"), low.alias("part")), F.struct(F.lit(1).cast("long").alias("seg"), high.alias("part")))
-    dense = (prints.select("fp", F.explode(halves).alias("half")).select("fp", "half.seg", "half.part")
+    pieces = F.array(*[F.struct(F.lit(seg).cast("long").alias("seg"), part.alias("part")) for seg, part in enumerate(parts)])
+    dense = (prints.select("fp", F.explode(pieces).alias("piece")).select("fp", "piece.seg", "piece.part")
              .join(values, ["seg", "part"], "left_semi").select("fp").distinct())
     around = F.transform(F.sequence(F.lit(0), F.lit(63)),
-                         lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+                         lambda i: F.col("fp").bitwiseXOR(shift(F.lit(1), i)))
     many = (dense.select("fp", F.explode(F.concat(F.array("fp"), around)).alias("key"))
             .groupBy("key").agg(F.collect_set("fp").alias("fps"))  # at most 65
             .where(F.size("fps") > 1)
             .select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b"))
-    return (few.unionByName(many).distinct()
-            .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
+    return few.unionByName(many).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
