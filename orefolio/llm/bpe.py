@@ -1,7 +1,7 @@
 """Operator 3: byte-level BPE encoding and decoding.
 
-Merges are folded by Spark higher-order functions over the bytes of distinct words, by ranks that stand in the plan as a
-literal. Words are the matches of the split pattern.
+Merges are folded by Spark higher-order functions over the bytes of distinct words, by ranks that are one row, broadcast to
+rows of many words each. Words are the matches of the split pattern.
 
 1. Count the words of `SAMPLE_DOCS` documents at most (those with the smallest hash of their id).
 2. Fold the most frequent of them, `HOT_WORDS` at most, once each. Their number and length are bounded, so they go to every
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from itertools import chain
 
 import numpy as np
@@ -51,11 +50,13 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-class Ranks:
-    """The ranks as literals of the plan: ids of single bytes by value, and ids of merged pairs in buckets, keys and ids
-    side by side. A piece is known by its id, which is its rank; a pair's key is first id x 2^20 + second id."""
+def rank_row(spark: SparkSession, path: str = RANKS) -> DataFrame:
+    """One row, ranks: ids of single bytes by value, and ids of merged pairs in buckets, keys and ids side by side. A piece
+    is known by its id, which is its rank; a pair's key is first id x 2^20 + second id. A task builds the row. It is no
+    literal, since Spark's driver writes a literal out in every text of a plan and keeps these."""
 
-    def __init__(self, table: dict[bytes, int]):
+    def build(_):
+        table = read_ranks(path)
         keys: list[list[int]] = [[] for _ in range(BUCKETS)]
         ids: list[list[int]] = [[] for _ in range(BUCKETS)]
         for piece, rank in table.items():
@@ -65,9 +66,16 @@ class Ranks:
                     at = (first * SPREAD + second) % BUCKETS
                     keys[at].append((first << 20) + second)
                     ids[at].append(rank)
-        single = [table[bytes([k])] for k in range(256)]
-        self.literal = F.from_json(F.lit(json.dumps({"single": single, "keys": keys, "ids": ids})),
-                                   "single array<int>, keys array<array<bigint>>, ids array<array<int>>")
+        columns = [pa.array([table[bytes([k])] for k in range(256)], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.int32()))]
+        ranks = pa.StructArray.from_arrays([in_one(c) for c in columns], ["single", "keys", "ids"])
+        yield pa.RecordBatch.from_arrays([ranks], names=["ranks"])
+
+    return staged(spark.range(0, 1, 1, 1).mapInArrow(build, "ranks struct<single array<int>, keys array<array<bigint>>, ids array<array<int>>>"), "ranks")
+
+
+def in_one(column: pa.Array) -> pa.ListArray:
+    """All of a column as one list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
 
 
 def pair_rank(ranks: Column, first: Column, second: Column) -> Column:
@@ -82,13 +90,15 @@ def _bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def fold_merges(word: Column, ranks: Ranks) -> Column:
-    """ids of a word given as a Latin-1 string of its bytes; the literal stands in the plan once."""
-    return _bind(ranks.literal, lambda literal: _fold(word, literal))
+def fold_merges(rows: DataFrame, words: str, ranks: DataFrame) -> DataFrame:
+    """rows with a column folded, the ids of each of a row's words; these are Latin-1 strings of their bytes. A row should
+    have many words, as it gets the ranks beside it."""
+    folded = _bind(F.col("ranks"), lambda ranks: F.transform(words, lambda w: _fold(w, ranks)))
+    return rows.crossJoin(F.broadcast(ranks)).select(*rows.columns, folded.alias("folded"))
 
 
 def _fold(word: Column, ranks: Column) -> Column:
-    """Always merge the leftmost pair of lowest rank.
+    """ids of a word: always merge the leftmost pair of lowest rank.
 
     The fold carries p, the ids so far, and r, the rank of every pair of neighbours. A merge at k puts the pair's rank in
     place of both ids and looks up the two pairs that are new.
@@ -300,7 +310,7 @@ def latin(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
-def hot_words(rows: DataFrame, ranks: Ranks, most: int = HOT_WORDS) -> tuple[pa.StringArray, pa.ListArray]:
+def hot_words(rows: DataFrame, ranks: DataFrame, most: int = HOT_WORDS) -> tuple[pa.StringArray, pa.ListArray]:
     """The most frequent words of the sample, `most` at most, and their ids: all words from a count on, ties in or out
     together. rows: doc_id, text."""
     none = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
@@ -317,29 +327,25 @@ def hot_words(rows: DataFrame, ranks: Ranks, most: int = HOT_WORDS) -> tuple[pa.
         return none
     pa.set_memory_pool(pa.system_memory_pool())
     parts = 8 * rows.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: by cores, not by size
-    found = (counts.where(F.col("n") >= least).select("w").repartition(parts)
-             .select("w", fold_merges(latin(F.col("w")), ranks).alias("ids")).toArrow())
+
+    def gather(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([in_one(column) for column in batch.columns], names=["words", "raw"])
+
+    lists = (counts.where(F.col("n") >= least).select("w", latin(F.col("w")).alias("raw")).repartition(parts)
+             .mapInArrow(gather, "words array<string>, raw array<string>"))
+    found = fold_merges(lists, "raw", ranks).select("words", "folded").toArrow()
     out = []
     for kind in none:  # a column at a time, so that the driver holds each twice only while it is joined
         column, found = found.column(0), found.remove_column(0)
-        out.append(pa.concat_arrays([*column.cast(kind.type).chunks, kind]))
+        out.append(pa.concat_arrays([*(chunk.flatten().cast(kind.type) for chunk in column.chunks), kind]))
         del column
     return tuple(out)
 
 
-#: Characters of a plan's text that Spark keeps of every execution; the literal of the ranks would take 1.8 million.
-PLAN_TEXT = 20_000
-
-
-def keep_plan_texts_short(spark: SparkSession) -> None:
-    """From now on, in this session: Spark keeps the texts of a thousand executions, none of which needs to be long."""
-    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
-
-
 def _encoded(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, most: int, decode_too: bool) -> DataFrame:
-    keep_plan_texts_short(docs.sparkSession)
     table = read_ranks(ranks_path)
-    ranks = Ranks(table)
+    ranks = rank_row(docs.sparkSession, ranks_path)
     rows = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
     hot = docs.sparkSession.sparkContext.broadcast(hot_words(rows, ranks, most))
     kind = dict(rows.dtypes)["doc_id"]
@@ -356,8 +362,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, most:
             left = -1 - values[values < 0]
             if narrow:
                 values = np.where(values < 0, 0xFFFF, values).astype("<u2")
-            one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
-            yield pa.RecordBatch.from_arrays([one(batch.column(0)), one(as_binary(values, ends)), pa.array([left.astype("<i4").tobytes()], pa.binary()),
+            yield pa.RecordBatch.from_arrays([in_one(batch.column(0)), in_one(as_binary(values, ends)), pa.array([left.astype("<i4").tobytes()], pa.binary()),
                                               pa.array([opened], pa.list_(pa.string()))], names=["doc_id", "ids", "left", "opened"])
 
     def fill(batches):
@@ -379,7 +384,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, most:
 
     walked = staged(rows.mapInArrow(walk, f"doc_id array<{kind}>, ids array<binary>, left binary, opened array<string>"), "walked")
     hot.destroy()
-    folded = walked.select("doc_id", "ids", "left", F.transform("opened", lambda w: fold_merges(w, ranks)).alias("folded"))
+    folded = fold_merges(walked, "opened", ranks).select("doc_id", "ids", "left", "folded")
     return folded.mapInArrow(fill, f"doc_id {kind}, ids binary" + ", decoded binary" * decode_too)
 
 
