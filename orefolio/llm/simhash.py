@@ -29,6 +29,8 @@ SHINGLE = 3
 SEED = 42
 SEGMENT = 32
 BLOCK = 1 << 15
+#: Fingerprints whose variants a task counts: each has 64, which a task holds while it combines equal ones.
+SHARE = 1 << 13
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -90,7 +92,8 @@ def links(prints: DataFrame, segments: int = 2, reach: int = 2) -> DataFrame:
     variant = lambda part, seg, width: F.transform(
         F.sequence(F.lit(0), F.lit(width - 1)),
         lambda i: part.bitwiseAND(F.bitwise_not(shift(F.lit(1), i))).bitwiseOR(shift(i + seg * SEGMENT, F.lit(SEGMENT))))
-    index = prints.select("fp", F.explode(F.concat(*[variant(part, seg, cuts(segments)[seg][1]) for seg, part in enumerate(parts)])).alias("key"))
+    spread = prints.repartition(prints.count() // SHARE + 1)  # a file of few bytes gives many variants
+    index = spread.select("fp", F.explode(F.concat(*[variant(part, seg, cuts(segments)[seg][1]) for seg, part in enumerate(parts)])).alias("key"))
     first, last = F.col("first"), F.col("last")
     close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= reach
     shared = staged(
