@@ -61,3 +61,20 @@ def test_organisation_first(spark):
     found = search.top_k_per_query(asked, spark.createDataFrame(rows, PASSAGES), 7, "o0").orderBy("rank").collect()
     want = scan([(1, rows[1][6])], [r for r in rows if r[5] == "o0"], 7)[1]
     assert [(r["report_id"], r["organisation"]) for r in found] == [(x[1], "o0") for x in want]
+
+
+def test_asks_are_narrow_and_bins_are_bounded(spark, monkeypatch):
+    """A question's vector is not repeated for every shard it is asked in, and batches of what is asked stay small."""
+    monkeypatch.setattr(search, "ROWS", 400)
+    monkeypatch.setattr(search, "BINS", 4)
+    monkeypatch.setattr(search, "CHOSEN", 16)
+    rows = clustered()
+    asked = [(r[0], r[6]) for r in rows[:1500:30]]
+    shards, first, then, near = search._search(spark.createDataFrame(asked, "qid long, embedding array<float>"), spark.createDataFrame(rows, PASSAGES), 8)
+    assert first.columns == then.columns == ["qid", "block", "worst", "shard"]
+    held = {r["bin"]: r["count"] for r in shards.rows.groupBy("bin").count().collect()}
+    assert sum(held.values()) == 1500 and len(held) < len(shards.bounds.sizes)
+    cut = {b for s, b in enumerate(shards.first_bin) if shards.parts[s] > 1}
+    assert all(n <= max(375, *shards.bounds.sizes) for b, n in held.items() if b not in cut)
+    want = scan(asked, rows, 8)
+    assert {(r["qid"], r["rank"]): r["report_id"] for r in near.collect()} == {(q, k + 1): x[1] for q, found in want.items() for k, x in enumerate(found)}
