@@ -183,3 +183,15 @@ def test_staged_tables_are_released(spark, tmp_path, monkeypatch):
     staging.staged(rows, "b").write.parquet(str(tmp_path / "result"))
     assert len(staging._STAGED) == 2 and staging.release_staged(spark) == 2 and staging.release_staged(spark) == 0
     assert spark.read.parquet(str(tmp_path / "result")).count() == 5
+
+
+def test_passage_stream_keeps_the_last_version_of_a_batch(spark, tmp_path):
+    """Three versions of a report in one batch, the last of them not completed yet."""
+    schema = "id long, filename string, company_name string, raw_text string, page_texts array<string>, status string, arrived int"
+    rows = [(1, "a.pdf", "o", "", ["old one", "old two"], "completed", 1), (1, "a.pdf", "o", "", ["new one"], "completed", 2), (1, "a.pdf", "o", "", ["later"], "processing", 3),
+            (2, "b.pdf", "o", "", ["other"], "completed", 1)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    streams.passage_stream(live, f"file://{tmp_path}/out", f"file://{tmp_path}/log", order="arrived").awaitTermination()
+    found = sinks.read_passages(spark, f"file://{tmp_path}/out").select("report_id", "page", "chunk_index", "content").collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 0, "new one"), (2, 1, 0, "other")]
