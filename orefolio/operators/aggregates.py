@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.text import bind
 from ..schemas import DEPENDED_ON, EXTRACTED_ONLY
+from ..sources.staging import staged
 from .findings import completed, scope, value_of
 
 # Words that say nothing about a report, by language.
@@ -148,13 +149,18 @@ def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
 def topic_documents(reports: DataFrame, terms: DataFrame) -> DataFrame:
     """Term, report_id where the term and one of the report's topics contain each other, either way, in any case.
-    Distinct topics meet distinct terms through an index of grams, not reports, and no pair is tried that shares none."""
-    topics = report_topics(reports).withColumn("t", F.lower("term"))
+    Distinct topics meet distinct terms through an index of grams, not reports, and no pair is tried that shares none.
+
+    A report's topics are made distinct in their row. Of the joins by topic, which a few topics may fill, the rows of the matches are
+    the ones that are held and the reports' rows run past them."""
+    clean = F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: F.lower(text.clean(t)))
+    topics = reports.select(F.col("id").alias("report_id"), F.explode_outer(F.array_distinct(clean)).alias("t")).where("t IS NOT NULL")
     asked = terms.select("name", F.lower("name").alias("q")).where("q IS NOT NULL").distinct()
-    some, all_ = asked.select(F.col("q").alias("s")).distinct(), topics.select(F.col("t").alias("s")).distinct()
+    some, all_ = staged(asked.select(F.col("q").alias("s")).distinct(), "terms"), staged(topics.select(F.col("t").alias("s")).distinct(), "topics")
     match = (containing(some, all_).select(F.col("inner").alias("q"), F.col("outer").alias("t"))
              .unionByName(containing(all_, some).select(F.col("outer").alias("q"), F.col("inner").alias("t"))).distinct())
-    return match.join(asked, "q").join(topics.select("t", "report_id"), "t").select("name", "report_id").distinct()
+    names = staged(match.join(asked, "q").select("t", "name").distinct(), "matches")
+    return topics.join(names, "t").select("name", "report_id").distinct()
 
 
 def topic_share(reports: DataFrame, terms: DataFrame, organisation: str | None = None) -> DataFrame:
